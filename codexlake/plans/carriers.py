@@ -1,22 +1,663 @@
-"""Queries that apply the library's operators to the star-schema and text tables."""
+"""Queries that apply the library's operators to the star-schema and text tables.
+
+Names start with the operator's number in the survey's inventory. Every limit has a total order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from codexlake.functions import scalar
+from codexlake.functions import text as T
+from codexlake.operators import aggregates as A
+from codexlake.operators import graph, relational, search, vectors, windows
 from codexlake.registry import query
 from codexlake.sources.tables import table
 
+WORDS = r"[\p{L}\p{N}_\-]+"
+
+
+def _cites(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+# ---- A: scans -------------------------------------------------------------------------------------------------------
+
+
+@query("a01_filtered_scan", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus = 'F'")
+def filtered_scan(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    return o.filter((F.col("o_orderdate") >= day("1995-01-01")) & (F.col("o_orderdate") < day("1997-01-01")) & (F.col("o_orderstatus") == "F")).select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("a02_keyset_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100")
+def keyset_page(spark, sf_dir):
+    return relational.keyset_page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 100)
+
+
+@query("a03_point_lookup", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 42")
+def point_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "customer").filter("c_custkey = 42").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("a04_multi_get", "SELECT pos::INT AS pos, c_custkey, c_name FROM (VALUES (0, 9), (1, 3), (2, 777777777), (3, 5)) v(pos, k) JOIN customer ON c_custkey = k ORDER BY pos")
+def multi_get(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    wanted = spark.createDataFrame([(i, k) for i, k in enumerate((9, 3, 777777777, 5))], "pos int, c_custkey long")
+    return c.join(F.broadcast(wanted), "c_custkey").select("pos", "c_custkey", "c_name").orderBy("pos")
+
+
+@query("a05_narrow_projection", "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def narrow(spark, sf_dir):
+    hit = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(hit, "p_partkey", "left_semi")
+
+
+@query("a06_newest", "SELECT event_id, ts FROM events ORDER BY event_id DESC LIMIT 20")
+def newest(spark, sf_dir):
+    return relational.newest(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id", 20)
+
+
+@query("a12_html_metadata", r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html[^>]*lang="([a-z]+)"', 1) AS lang,
+    len(regexp_extract_all(html, 'href="([^"]*)"', 1))::BIGINT AS n_links FROM pages""")
+def html_metadata(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html[^>]*lang="([a-z]+)"', 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'))).cast("long").alias("n_links"))
+
+
+@query("a15_h05_identifier_detection", r"""SELECT page_id, CASE WHEN url ~ '(?i)^https?://' THEN 'url' ELSE 'title' END AS kind, url AS value FROM pages""")
+def detect(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.detect_item(F.col("url")).alias("d")).select("page_id", "d.kind", "d.value")
+
+
+@query("a20_inverted_abstract", "SELECT doc_id, list_aggregate(string_split(text, ' ')[1:60], 'string_agg', ' ') AS abstract FROM documents")
+def inverted_abstract(spark, sf_dir):
+    """Texts are taken apart into {word: [positions]} and put together again."""
+    from codexlake.sources.readers import abstract_from_positions
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 60)).alias("pos", "word"))
+    inv = d.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("pos")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("inv"))
+    return inv.select("doc_id", abstract_from_positions(F.col("inv")).alias("abstract"))
+
+
+@query("a21_batched_lookup", """SELECT o_orderkey, coalesce(c_name, s_name) AS name, CASE WHEN c_name IS NOT NULL THEN 1 ELSE 2 END AS provider FROM orders
+    LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON c_custkey = o_custkey LEFT JOIN supplier ON s_suppkey = o_custkey AND c_name IS NULL WHERE coalesce(c_name, s_name) IS NOT NULL""")
+def batched_lookup(spark, sf_dir):
+    """First provider, then another for what it did not resolve."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    got = relational.cascade_lookup(o, c, [("a", F.col("id"), F.col("c_custkey"))], right_id="c_name")
+    got = got.select("o_orderkey", "id", F.col("match_id").alias("first"))
+    s = table(spark, sf_dir, "supplier")
+    rest = relational.cascade_lookup(got, s, [("b", F.when(F.col("first").isNull(), F.col("id")), F.col("s_suppkey"))], right_id="s_name")
+    return rest.select("o_orderkey", F.coalesce("first", "match_id").alias("name"), F.when(F.col("first").isNotNull(), 1).otherwise(2).alias("provider")).filter("name IS NOT NULL")
+
+
+# ---- B: sinks as table versions --------------------------------------------------------------------------------------
+
+
+@query("b01_upsert", """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0)
+    UNION ALL SELECT c_custkey, 'new ' || c_name, c_acctbal + 2 FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT -c_custkey, c_name, 0 FROM customer WHERE c_custkey % 10 = 1""")
+def upsert(spark, sf_dir):
+    """Every tenth customer twice in a batch (the last wins), others are new."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    hit = c.filter("c_custkey % 10 = 0").withColumn("c_name", F.concat(F.lit("new "), "c_name"))
+    batch = hit.withColumn("batch_seq", F.lit(1)).unionByName(hit.withColumns({"c_acctbal": F.col("c_acctbal") + 2, "batch_seq": F.lit(2)}))
+    batch = batch.unionByName(c.filter("c_custkey % 10 = 1").withColumns({"c_custkey": -F.col("c_custkey"), "c_acctbal": F.lit(0.0), "batch_seq": F.lit(3)}))
+    return relational.upsert(c, batch, key="c_custkey", unique=None, keep=())
+
+
+@query("b04_sparse_update", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE s_name END AS s_name, CASE WHEN s_suppkey % 2 = 1 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def sparse_update(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    patch = s.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.upper("s_name")).alias("s_name"), F.when(F.col("s_suppkey") % 2 == 1, F.lit(0.0)).alias("s_acctbal"))
+    return relational.sparse_update(s, patch, "s_suppkey")
+
+
+@query("b06_cascade_delete", "SELECT 'orders' AS tbl, count(*) AS n FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey % 7 <> 0 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def cascade_delete(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    gone = o.filter("o_orderkey % 7 = 0").select("o_orderkey")
+    live, lines = relational.delete(o, gone, "o_orderkey", [(li, "l_orderkey")])
+    return live.agg(F.count(F.lit(1)).alias("n")).select(F.lit("orders").alias("tbl"), "n").unionByName(lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit("lineitem").alias("tbl"), "n"))
+
+
+@query("b12_csv_lines", "SELECT c_custkey, '\"' || replace(c_name, '\"', '\"\"') || '\",' || c_mktsegment AS line FROM customer")
+def csv_lines(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit('"'), F.replace("c_name", F.lit('"'), F.lit('""')), F.lit('",'), "c_mktsegment").alias("line"))
+
+
+@query("b17_archive", "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS archived FROM customer GROUP BY 1")
+def archive(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    empty = c.limit(0).withColumns({"archive_rule": F.lit(""), "archived_at": F.lit("2026-01-01")})
+    live, gone = relational.archive(c, empty, c.filter("c_acctbal < 0"), "overdrawn", "2026-01-01", "c_custkey")
+    both = live.select("c_mktsegment", F.lit(0).alias("a")).unionByName(gone.select("c_mktsegment", F.lit(1).alias("a")))
+    return both.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("archived"))
+
+
+@query("b21_insert_ignore", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
+def insert_ignore(spark, sf_dir):
+    return relational.insert_ignore(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), ["name"])
+
+
+@query("b22_file_names", r"SELECT p_partkey, substr(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g'), 1, 40) AS file FROM part")
+def file_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.substring(F.regexp_replace("p_name", "[^A-Za-z0-9]+", "_"), 1, 40).alias("file"))
+
+
+@query("b23_chunks", "SELECT chunk, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS chunk FROM orders) GROUP BY 1")
+def chunks(spark, sf_dir):
+    return relational.chunked(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+# ---- C: predicates ---------------------------------------------------------------------------------------------------
+
+
+@query("c05_e08_tier_histogram", "SELECT CASE WHEN p_size >= 40 THEN 1 WHEN p_size >= 30 THEN 2 WHEN p_retailprice > 1000 AND p_brand IS NOT NULL THEN 3 WHEN p_name <> '' THEN 4 ELSE 5 END AS tier, count(*) AS n FROM part GROUP BY 1")
+def tiers(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    t = F.when(F.col("p_size") >= 40, 1).when(F.col("p_size") >= 30, 2).when((F.col("p_retailprice") > 1000) & F.col("p_brand").isNotNull(), 3).when(F.col("p_name") != "", 4).otherwise(5)
+    return A.counts_by(p, t, "tier")
+
+
+@query("c07_low_first", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 1000 ORDER BY c_acctbal, c_custkey LIMIT 50")
+def low_first(spark, sf_dir):
+    return table(spark, sf_dir, "customer").filter("c_acctbal < 1000").select("c_custkey", "c_acctbal").orderBy("c_acctbal", "c_custkey").limit(50)
+
+
+@query("c10_like_fallback", "SELECT doc_id, 0.5::DOUBLE AS score FROM documents WHERE text ILIKE '%mail7.example%'")
+def like_fallback(spark, sf_dir):
+    return search.fallback(table(spark, sf_dir, "documents"), "mail7.example", ["text"]).select("doc_id", F.col("score").cast("double").alias("score"))
+
+
+@query("c12_advanced_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 50000 AND 150000 AND lower(o_orderpriority) LIKE '%urgent%'")
+def advanced_filter(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.filter(F.col("o_orderstatus").isin("F", "O") & F.col("o_totalprice").between(50000, 150000) & F.contains(F.lower("o_orderpriority"), F.lit("urgent"))).select("o_orderkey")
+
 
-@query(
-    "d12_coupling",
-    """WITH cites AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem)
-       SELECT a.src AS src_a, b.src AS src_b, count(*) AS weight
-       FROM cites a JOIN cites b ON a.dst = b.dst AND a.src < b.src
-       GROUP BY 1, 2 ORDER BY weight DESC, src_a, src_b LIMIT 50""",
-)
+@query("c13_recent", "SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 60 MINUTE AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1")
+def recent(spark, sf_dir):
+    e, now = table(spark, sf_dir, "events"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    return e.filter((F.col("ts") > now - F.expr("INTERVAL 60 MINUTES")) & (F.col("ts") <= now)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c14_json_predicate", "SELECT event_id, (props::JSON->>'$.k')::INT AS k FROM events WHERE (props::JSON->>'$.k')::INT > 50")
+def json_predicate(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k > 50")
+
+
+@query("c15_source_tier", """SELECT count(*) FILTER (WHERE t = 'a') AS n_a, count(*) FILTER (WHERE t = 'b') AS n_b, count(*) FILTER (WHERE t = 'c') AS n_c
+    FROM (SELECT CASE WHEN o_totalprice > 200000 THEN 'a' WHEN o_orderpriority LIKE '1%' THEN 'b' ELSE 'c' END AS t FROM orders)""")
+def source_tier(spark, sf_dir):
+    t = F.when(F.col("o_totalprice") > 200000, "a").when(F.col("o_orderpriority").startswith("1"), "b").otherwise("c")
+    return table(spark, sf_dir, "orders").agg(*[F.count_if(t == k).alias(f"n_{k}") for k in "abc"])
+
+
+@query("c16_slim_projection", "SELECT doc_id, substr(text, 1, 150) AS abstract, coalesce(source, '') AS source FROM documents")
+def slim(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 150).alias("abstract"), F.coalesce("source", F.lit("")).alias("source"))
+
+
+@query("c17_junk_titles", r"""SELECT doc_id, CASE WHEN trim(t) = '' THEN 'empty' WHEN regexp_replace(trim(t), '[^\p{L}]', '', 'g') = '' THEN 'digits' END AS reason
+    FROM (SELECT doc_id, regexp_replace(substr(text, 1, 12), '[A-Za-z]', '', 'g') AS t FROM documents) WHERE trim(t) = '' OR regexp_replace(trim(t), '[^\p{L}]', '', 'g') = ''""")
+def junk_titles(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 12), "[A-Za-z]", "").alias("t"))
+    return d.select("doc_id", scalar.junk_reason(F.col("t")).alias("reason")).filter(F.col("reason").isin("empty", "digits"))
+
+
+# ---- D: joins --------------------------------------------------------------------------------------------------------
+
+
+@query("d02_all_labels", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3)")
+def all_labels(spark, sf_dir):
+    return relational.having_all(table(spark, sf_dir, "part").select("p_partkey"), table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_returnflag"), "p_partkey", "l_returnflag", ["A", "N", "R"])
+
+
+@query("d03_collection_listing", "SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation) ORDER BY c_custkey")
+def collection(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    first = n.agg(F.min("n_name").alias("n_name"))
+    one = n.join(F.broadcast(first), "n_name").select(F.col("n_nationkey").alias("c_nationkey"))
+    return table(spark, sf_dir, "customer").join(F.broadcast(one), "c_nationkey").select("c_custkey", "c_name").orderBy("c_custkey")
+
+
+@query("d04_labels_of", "SELECT o_custkey, string_agg(s, ',' ORDER BY s) AS labels FROM (SELECT DISTINCT o_custkey, o_orderstatus AS s FROM orders) GROUP BY 1")
+def labels_of(spark, sf_dir):
+    return relational.labels_of(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus").select("o_custkey", F.array_join("labels", ",").alias("labels"))
+
+
+@query("d05_counts_with_zero", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def counts_with_zero(spark, sf_dir):
+    return relational.with_counts(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("d06_queue_join", "SELECT event_type, round(avg(c_acctbal), 4) AS avg_bal, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY 1")
+def queue_join(spark, sf_dir):
+    return table(spark, sf_dir, "events").join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey")).groupBy("event_type").agg(F.round(F.avg("c_acctbal"), 4).alias("avg_bal"), F.count(F.lit(1)).alias("n"))
+
+
+@query("d07_not_queued", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def not_queued(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("d08_absent_or_newer", """SELECT e.event_id FROM events e LEFT JOIN (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY 1) l ON l.user_id = e.user_id WHERE l.t IS NULL OR e.ts > l.t""")
+def absent_or_newer(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    ledger = e.filter("event_type = 'error'").select("user_id", F.col("ts").alias("tried"))
+    return relational.absent_or_newer(e, ledger, "user_id", "ts", "tried").select("event_id")
+
+
+@query("d11_fill_from_twin", """SELECT n_nationkey, min_by(c_name, (-c_acctbal, c_custkey)) AS best_customer FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+def fill_from_twin(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min_by("c_name", F.struct(-F.col("c_acctbal"), F.col("c_custkey"))).alias("best_customer"))
+    return table(spark, sf_dir, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey")).select("n_nationkey", "best_customer")
+
+
+_CITES = "WITH cites AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem) "
+
+
+@query("d12_coupling", _CITES + "SELECT a.src AS src_a, b.src AS src_b, count(*) AS weight FROM cites a JOIN cites b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2 ORDER BY weight DESC, src_a, src_b LIMIT 50")
 def coupling(spark, sf_dir):
-    from codexlake.operators.graph import coupling as couple
+    return graph.coupling(_cites(spark, sf_dir)).orderBy(F.desc("weight"), "src_a", "src_b").limit(50)
+
+
+@query("d13_cocitation", _CITES + "SELECT a.dst AS dst_a, b.dst AS dst_b, count(*) AS weight FROM cites a JOIN cites b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2 ORDER BY weight DESC, dst_a, dst_b LIMIT 50")
+def cocitation(spark, sf_dir):
+    return graph.cocitation(_cites(spark, sf_dir)).orderBy(F.desc("weight"), "dst_a", "dst_b").limit(50)
+
+
+@query("d14_l02_frontier", _CITES + "SELECT dst, count(*) AS n FROM cites WHERE dst NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY 1 ORDER BY n DESC, dst LIMIT 50")
+def frontier(spark, sf_dir):
+    held = table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").alias("work"))
+    return graph.frontier(_cites(spark, sf_dir), held).orderBy(F.desc("n"), "dst").limit(50)
+
+
+@query("d15_references", "SELECT DISTINCT l_partkey AS dst, p_name AS ref_id FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 25) ON p_partkey = l_partkey WHERE l_orderkey = 3")
+def references(spark, sf_dir):
+    works = table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").alias("work"), F.col("p_name").alias("ref_id"))
+    return graph.references(_cites(spark, sf_dir), works, 3)
+
+
+@query("d16_identifier_cascade", """SELECT o_orderkey, coalesce(a.c_custkey, b.c_custkey) AS match_id, CASE WHEN a.c_custkey IS NOT NULL THEN 'key' WHEN b.c_custkey IS NOT NULL THEN 'mirror' END AS match_by FROM orders
+    LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) a ON a.c_custkey = o_custkey LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) b ON b.c_custkey = o_custkey + 1""")
+def identifier_cascade(spark, sf_dir):
+    even = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select("c_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return relational.cascade_lookup(o, even, [("key", F.col("o_custkey"), F.col("c_custkey")), ("mirror", F.col("o_custkey") + 1, F.col("c_custkey"))], "c_custkey").select("o_orderkey", "match_id", "match_by")
+
+
+@query("d18_fuzzy_titles")
+def fuzzy_titles(spark, sf_dir):
+    """Near-equal first lines of documents, blocked by their first word."""
+    from codexlake.operators.dedup import fuzzy_title_pairs
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title")).filter("length(title) BETWEEN 25 AND 400")
+    return fuzzy_title_pairs(d)
+
+
+@query("d20_import_anti", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_partkey NOT IN (SELECT s_suppkey FROM supplier)")
+def import_anti(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
+    p, s = table(spark, sf_dir, "part").filter("p_size < 10"), table(spark, sf_dir, "supplier")
+    return li.join(p.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti").join(s.select(F.col("s_suppkey").alias("l_partkey")), "l_partkey", "left_anti")
+
+
+@query("d21_snapshot_compare", "SELECT a.o_orderkey, b.v - a.v AS delta FROM (SELECT o_orderkey, floor(o_totalprice) AS v FROM orders) a JOIN (SELECT o_orderkey, floor(o_totalprice * 1.5) AS v FROM orders WHERE o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey")
+def snapshot_compare(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    a = o.select("o_orderkey", F.floor("o_totalprice").cast("double").alias("a"))
+    b = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.floor(F.col("o_totalprice") * 1.5).cast("double").alias("b"))
+    return a.join(b, "o_orderkey").select("o_orderkey", (F.col("b") - F.col("a")).alias("delta"))
+
+
+@query("d26_tag_in_text", r"SELECT c.w AS tag, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+'))) AS w FROM documents) c JOIN (SELECT DISTINCT unnest(string_split(lower(text), ' ')[1:3]) AS w FROM benchmark) t ON t.w = c.w GROUP BY 1")
+def tag_in_text(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("tag"))
+    tags = table(spark, sf_dir, "benchmark").select(F.explode(F.slice(F.split(F.lower("text"), " "), 1, 3)).alias("tag")).distinct()
+    return words.join(tags, "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- E: aggregates ---------------------------------------------------------------------------------------------------
+
+
+@query("e02_one_pass_stats", "SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS avg_price, count(*) FILTER (WHERE o_totalprice > 150000) AS n_large FROM orders GROUP BY 1")
+def one_pass(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("avg_price"), F.count_if(F.col("o_totalprice") > 150000).alias("n_large"))
+
+
+@query("e03_status_counts", "SELECT coalesce(CASE WHEN quality = 1 THEN 'good' END, 'unread') AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def status_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return A.counts_by(d, F.when(F.col("quality") == 1, "good"), "status", "unread")
+
+
+@query("e04_goals", "SELECT count(*) FILTER (WHERE ts >= date_trunc('month', TIMESTAMP '2024-01-24 10:00:00')) AS month_to_date, count(*) FILTER (WHERE ts >= date_trunc('week', TIMESTAMP '2024-01-24 10:00:00')) AS week_to_date FROM events WHERE event_type = 'purchase'")
+def goals(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return A.goals(e, "ts", F.lit("2024-01-24 10:00:00").cast("timestamp"), F.col("event_type") == "purchase")
+
+
+@query("e07_conditional_avg", "SELECT round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS avg_done, round(avg(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END), 4) AS avg_pending, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::BIGINT AS success FROM orders")
+def conditional_avg(spark, sf_dir):
+    done = F.col("o_orderstatus") == "F"
+    return table(spark, sf_dir, "orders").agg(F.round(F.avg(F.when(done, F.col("o_totalprice"))), 4).alias("avg_done"), F.round(F.avg(F.when(~done, F.col("o_totalprice"))), 4).alias("avg_pending"), F.sum(F.when(F.col("o_totalprice") > 100000, 1).otherwise(0)).alias("success"))
+
+
+@query("e09_dashboard", "SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1990 GROUP BY 1")
+def dashboard(spark, sf_dir):
+    return A.counts_by(table(spark, sf_dir, "orders").filter(F.year("o_orderdate") >= 1990), F.year("o_orderdate"), "year")
+
+
+@query("e10_top_authors", r"SELECT w AS key, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, key LIMIT 15")
+def top_authors(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"))).alias("w"))
+    return A.top(A.counts_by(w, "w"), 15)
+
+
+@query("e11_upper_median", "SELECT round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS largest, (SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET (SELECT count(*) // 2 FROM orders)) AS upper_median FROM orders")
+def upper_median(spark, sf_dir):
+    return A.upper_median(table(spark, sf_dir, "orders"), "o_totalprice").withColumn("total", F.round("total", 2))
+
+
+@query("e12_decades", "SELECT (floor(n_chars / 10.0) * 10)::INT AS decade, count(*) AS n FROM documents GROUP BY 1")
+def decades(spark, sf_dir):
+    return A.decade_histogram(table(spark, sf_dir, "documents"), "n_chars")
+
+
+@query("e14_duplicate_groups", "SELECT md5(lower(trim(text))) AS key, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, key LIMIT 500")
+def duplicate_groups(spark, sf_dir):
+    return A.duplicate_groups(table(spark, sf_dir, "documents"), F.md5(F.lower(F.trim("text"))), "doc_id")
+
+
+@query("e17_case_variants", "SELECT count(*) AS n FROM (SELECT lower(o_orderpriority) FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1)")
+def case_variants(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.lower("o_orderpriority")).agg(F.countDistinct("o_orderpriority").alias("v")).filter("v > 1").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e20_retrieval_metrics", """SELECT count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 3)::DOUBLE AS hit_at_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 3)::DOUBLE AS hit_at_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 3)::DOUBLE AS hit_at_k,
+    round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 3)::DOUBLE AS mrr, 0::BIGINT AS not_in_library, count(*) FILTER (WHERE r > 10) AS missed
+    FROM (SELECT o_custkey, min(rk) FILTER (WHERE o_orderstatus = 'P') AS r0, coalesce(min(rk) FILTER (WHERE o_orderstatus = 'P'), 1000) AS r FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) GROUP BY 1) WHERE r0 IS NOT NULL""")
+def retrieval(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    hits = o.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("doc"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    return A.retrieval_metrics(hits, o.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("doc"), F.lit(True).alias("known")))
+
+
+@query("e22_snapshot_delta", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT event_type AS k, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1) a FULL JOIN (SELECT event_type AS k, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1) b ON a.k = b.k")
+def snapshot_delta(spark, sf_dir):
+    e, day = table(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp_ntz")
+    return A.snapshot_delta(A.counts_by(e.filter(F.col("ts") < day), "event_type", "k"), A.counts_by(e.filter(F.col("ts") >= day), "event_type", "k"), "k", "n")
+
+
+@query("e23_top_terms", r"SELECT w AS key, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) AS w FROM documents) WHERE w NOT IN ('the', 'and') GROUP BY 1 ORDER BY n DESC, key LIMIT 8")
+def top_terms(spark, sf_dir):
+    w = A.top_words(table(spark, sf_dir, "documents"), "text", 8, ("the", "and"))
+    return w.select(F.col("w").alias("key"), "n") if "w" in w.columns else w
+
+
+@query("e25_keyword_union", """SELECT o_custkey, string_agg(w, ',' ORDER BY k, w) AS keywords FROM (SELECT o_custkey, lower(w) AS low, min_by(w, o_orderkey) AS w, min(o_orderkey) AS k FROM (SELECT o_custkey, o_orderkey, o_orderpriority AS w FROM orders) GROUP BY 1, 2) GROUP BY 1""")
+def keyword_union(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.array("o_orderpriority").alias("kw"))
+    return A.merge_keywords(o, "o_custkey", "kw", "o_orderkey").select("o_custkey", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("e26_source_maxima", "SELECT user_id, event_type AS provider, max(value) AS score FROM events GROUP BY 1, 2")
+def source_maxima(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.create_map("event_type", "value").alias("m"))
+    return A.merge_sources(e, "user_id", "m").select("user_id", F.explode("sources").alias("provider", "score"))
+
+
+@query("e29_health", """SELECT 'order without customer' AS "check", count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'line without order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT 'line without part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def health(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    return A.health({
+        "order without customer": (t("orders"), t("customer"), "o_custkey", "c_custkey"), "line without order": (t("lineitem"), t("orders"), "l_orderkey", "o_orderkey"),
+        "line without part": (t("lineitem"), t("part"), "l_partkey", "p_partkey"), "label without document": (t("labels"), t("documents"), "doc_id", "doc_id"),
+    })
+
+
+# ---- F: windows ------------------------------------------------------------------------------------------------------
+
+
+@query("f01_survivors", """SELECT keep_id, doc_id AS drop_id FROM (SELECT doc_id, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS rn FROM (SELECT d.doc_id, md5(lower(trim(text))) AS k, coalesce(quality, 0) * 100 + n_chars AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+    WINDOW w AS (PARTITION BY k ORDER BY q DESC, doc_id)) WHERE rn > 1""")
+def survivors(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("id", F.col("doc_id"))
+    return windows.survivors(d, [F.md5(F.lower(F.trim("text")))], F.coalesce("quality", F.lit(0)) * 100 + F.col("n_chars"), created="doc_id")
+
+
+@query("f03_rank_fusion", """SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS score FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rk FROM documents UNION ALL SELECT doc_id, row_number() OVER (ORDER BY length(text) - length(replace(text, 'e', '')) DESC, doc_id) FROM documents) WHERE rk <= 100 GROUP BY 1""")
+def rank_fusion(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))).alias("e"))
+
+    def ranking(order):  # the 100 best only: a heap a task, then ranks over a hundred rows
+        return d.orderBy(*order).limit(100).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+    fused = windows.rank_fusion([ranking([F.desc("n_chars"), F.col("doc_id")]), ranking([F.desc("e"), F.col("doc_id")])], "doc_id")
+    return fused.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query("f04_cap_per_group", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 2")
+def cap_per_group(spark, sf_dir):
+    return windows.capped_per_group(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", [F.desc("n_chars"), F.col("doc_id")], 2).select("source", "doc_id")
+
+
+@query("f05_round_robin", """SELECT doc_id, turn::INT AS turn FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, min(doc_id) OVER (PARTITION BY source) AS seen FROM documents) ORDER BY turn, seen LIMIT 100""")
+def round_robin(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return windows.round_robin(d, "source", [F.col("doc_id")], F.col("doc_id")).orderBy("turn", "seen").limit(100).select("doc_id", "turn")
+
+
+@query("f08_m10_ledger_latest", "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def ledger_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return relational.latest(e, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id")
+
+
+@query("f09_arg_max", "SELECT l_orderkey, min_by(l_partkey, (-l_extendedprice, l_linenumber, l_partkey)) AS best FROM lineitem GROUP BY 1")
+def arg_max(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct(-F.col("l_extendedprice"), F.col("l_linenumber"), F.col("l_partkey"))).alias("best"))
+
+
+@query("f10_evict_oldest", "SELECT event_id FROM (SELECT event_id, sum(n) OVER () - coalesce(sum(n) OVER (ORDER BY epoch(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM (SELECT *, 1 + event_id % 7 AS n FROM events)) WHERE rest > 1500")
+def evict_oldest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("path"), (1 + F.col("event_id") % 7).alias("size"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("mtime"))
+    return windows.evict_oldest(e, 1500).select("event_id")
+
+
+# ---- G: order and sets -----------------------------------------------------------------------------------------------
+
+
+@query("g01_default_page", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
+def default_page(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(100).limit(50)
+
+
+@query("g04_priority_dequeue", "SELECT c_custkey FROM customer ORDER BY CASE WHEN c_acctbal BETWEEN 6000 AND 8000 THEN 0 ELSE 1 END, c_acctbal DESC, c_custkey LIMIT 30")
+def dequeue(spark, sf_dir):
+    return table(spark, sf_dir, "customer").orderBy(F.when(F.col("c_acctbal").between(6000, 8000), 0).otherwise(1), F.desc("c_acctbal"), "c_custkey").limit(30).select("c_custkey")
+
+
+@query("g09_capped_total", "SELECT least(count(*), 1000) AS total FROM orders WHERE o_orderstatus = 'O'")
+def capped_total(spark, sf_dir):
+    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").agg(F.least(F.count(F.lit(1)), F.lit(1000)).alias("total"))
+
+
+@query("g10_union_keys", "SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey + 1000000 FROM supplier")
+def union_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).union(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("k"))).distinct()
+
+
+@query("g13_overlap", """SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark) a JOIN (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark) b ON a.item_id < b.item_id AND a.item_id % 10 = b.item_id % 10 WHERE len(list_intersect(a.w, b.w)) > 0""")
+def overlap(spark, sf_dir):
+    w = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 10).alias("block"), F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
+    x = w.toDF("a", "block", "wa").join(w.toDF("b", "block", "wb"), "block").filter("a < b")
+    both = F.size(F.array_intersect("wa", "wb"))
+    return x.filter(both > 0).select("a", "b", F.round(both / F.size(F.array_union("wa", "wb")), 6).alias("jaccard"))
+
+
+@query("g14_set_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
+def set_difference(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey").exceptAll(table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_partkey").distinct()).distinct()
+
+
+# ---- H: scalar functions ---------------------------------------------------------------------------------------------
+
+
+@query("h02_hash_key", "SELECT doc_id, substr(sha256('doc:' || lower(substr(text, 1, 80))), 1, 24) AS id FROM documents")
+def hash_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.concat(F.lit("doc:"), F.lower(F.substring("text", 1, 80))), 256), 1, 24).alias("id"))
+
+
+@query("h03_cite_key", r"SELECT item_id, lower(string_split(text, ' ')[1]) || '2024' || coalesce(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_à-ÿ]+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the', 'of', 'in', 'on', 'for', 'and', 'with'))[1], '') AS cite FROM (SELECT item_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM benchmark)")
+def cite_keys(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("title"))
+    person = "array<struct<family:string,given:string,orcid:string,affiliation:string>>"
+    r = b.select("item_id", "title", F.lit(2024).alias("year"), F.lit(None).cast("string").alias("cite_key"), F.array(F.struct(F.split_part("title", F.lit(" "), F.lit(1)).alias("family"), F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("affiliation"))).cast(person).alias("authors"))
+    return r.select("item_id", scalar.cite_key().alias("cite"))
+
+
+@query("h06_normalize_doi", r"SELECT page_id, lower(regexp_replace(url, '^https?://', '')) AS u FROM pages")
+def normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.normalize_doi(F.regexp_replace("url", "^https?://", "")).alias("u"))
+
+
+@query("h08_fold")
+def folded(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.udf_fold()("text").alias("folded"))
+
+
+@query("h15_url_rank", "SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 0 WHEN url ~ '(?i)https?://(dx\\.)?doi\\.org/' THEN 30 WHEN lower(url) ~ 'sciencedirect|springer|wiley|nature|ieee|acm|oup|cambridge|tandf|sage|elsevier|mdpi|plos|frontiersin|hindawi|bmc|cell' THEN 20 ELSE 10 END AS rank FROM pages".replace("~ '(?i)", "SIMILAR TO '.*(?i)").replace("SIMILAR TO '.*(?i)https?://(dx\\\\.)?doi\\\\.org/'", "ILIKE '%//doi.org/%'").replace("lower(url) ~ ", "regexp_matches(lower(url), ").replace("bmc|cell' THEN", "bmc|cell') THEN"))
+def url_ranks(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.url_rank(F.col("url")).alias("rank"))
+
+
+@query("h20_passages")
+def passages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.udf_passages()("text")).alias("ord", "text"))
+    return d.select("doc_id", "ord", F.length("text").alias("n"))
+
+
+@query("h24_priority", "SELECT c_custkey, round_even(greatest(0.0::DOUBLE, 1 - least(1, greatest(0, c_acctbal / 10000))) * CASE WHEN c_mktsegment = 'BUILDING' THEN 10.0 ELSE 0.05 END::DOUBLE, 3) AS priority FROM customer")
+def priority(spark, sf_dir):
+    gap = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("c_acctbal") / 10000)))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.bround(gap * F.when(F.col("c_mktsegment") == "BUILDING", 10.0).otherwise(0.05), 3).alias("priority"))
+
+
+@query("h26_highlight", "SELECT item_id, regexp_replace(text, '(?i)(the|of)', '<mark>\\1</mark>', 'g') AS marked FROM benchmark")
+def highlight(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", search.highlight(F.col("text"), ["the", "of"]).alias("marked"))
+
+
+# ---- I: search -------------------------------------------------------------------------------------------------------
+
+
+_BM25 = r"""WITH tok AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+'), lambda w: length(w) > 1) AS ws FROM documents),
+p AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ws) AS term FROM tok) GROUP BY 1, 2),
+dl AS MATERIALIZED (SELECT doc, len(ws) AS dl FROM tok), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+'), lambda w: length(w) > 1)[1:4]) AS term FROM benchmark WHERE item_id % 10 = 0),
+s AS (SELECT qid, p.doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS matched FROM q JOIN df USING (term) JOIN p USING (term) JOIN dl ON dl.doc = p.doc, st GROUP BY 1, 2)
+"""
+
+
+def _bm25(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    index = search.build_index(d, "doc_id", "text")
+    b = table(spark, sf_dir, "benchmark").filter("item_id % 10 = 0")
+    q = b.select(F.col("item_id").alias("qid"), F.explode(F.slice(search.tokens(F.col("text")), 1, 4)).alias("term"))
+    return search.bm25(index, q)
+
+
+@query("i05_bm25", _BM25 + "SELECT qid, doc, round(score, 6) AS score, matched FROM s")
+def bm25(spark, sf_dir):
+    return _bm25(spark, sf_dir).select("qid", "doc", F.round("score", 6).alias("score"), "matched")
+
+
+@query("i07_passage_search", _BM25 + "SELECT qid, doc FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rn FROM s) WHERE rn <= 8")
+def passage_search(spark, sf_dir):
+    return windows.capped_per_group(_bm25(spark, sf_dir).withColumn("score", F.round("score", 9)), "qid", [F.desc("score"), F.col("doc")], 8).select("qid", "doc")
+
+
+@query("i10_cosine_top", """SELECT b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id = 0) a, embeddings b WHERE b.vec_id <> 0 ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id LIMIT 20""")
+def cosine_top(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.top_similar(e, e.filter("vec_id = 0"), 20).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("i12_topics")
+def topics(spark, sf_dir):
+    return vectors.topics(table(spark, sf_dir, "embeddings"), 8, seed=1).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- K, L, M, N ------------------------------------------------------------------------------------------------------
+
+
+@query("k11_chain_repair", """WITH RECURSIVE m AS (SELECT doc_id AS node, doc_id // 2 AS "into" FROM documents WHERE doc_id > 0 AND doc_id % 3 <> 0), r(node, root) AS (SELECT node, "into" FROM m UNION ALL SELECT r.node, m."into" FROM r JOIN m ON r.root = m.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
+def chain_repair(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("doc_id > 0 AND doc_id % 3 <> 0")
+    return graph.follow_chains(d.select(F.col("doc_id").alias("node"), F.floor(F.col("doc_id") / 2).alias("into")), rounds=5)
+
+
+@query("k12_rollup", "SELECT o_custkey, min(o_orderdate) AS created_at, max_by(o_orderstatus, (CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END)) AS status, string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) AS notes FROM orders GROUP BY 1")
+def rollup(spark, sf_dir):
+    rank = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"), F.max_by("o_orderstatus", rank).alias("status"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("notes"))
+
+
+@query("l03_verbatim_quotes", "SELECT item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) GROUP BY 1")
+def verbatim_quotes(spark, sf_dir):
+    """Quotes found in documents: candidates share their first eight words (an equi-join), then the whole is compared."""
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    b = table(spark, sf_dir, "benchmark").select("item_id", norm(F.col("text")).alias("q"))
+    d = table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("t"))
+    b = b.withColumn("ws", F.split("q", " ")).withColumn("inner", F.array_join(F.slice("ws", 2, 6), " "))
+    grams = d.withColumn("ws", F.split("t", " ")).withColumn("inner", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - 5)), lambda i: F.array_join(F.slice("ws", i, 6), " ")))))
+    hits = grams.select("doc_id", "inner").join(b.filter(F.size("ws") >= 8).select("item_id", "inner"), "inner").select("doc_id", "item_id").distinct()
+    short = b.filter(F.size("ws") < 8).select("item_id", "q")
+    found = hits.join(d, "doc_id").join(b.select("item_id", "q"), "item_id").filter(F.contains("t", F.col("q"))).select("item_id")
+    return found.unionByName(d.join(F.broadcast(short)).filter(F.contains("t", F.col("q"))).select("item_id")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l05_tree", """WITH RECURSIVE t AS (SELECT p_partkey AS id, p_brand || p_partkey AS name, CASE WHEN p_partkey > 8 THEN p_partkey // 8 END AS parent_id FROM part), r(id, path, depth) AS (SELECT id, name, 0 FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, r.path || '/' || t.name, r.depth + 1 FROM t JOIN r ON t.parent_id = r.id) SELECT id, path, depth FROM r""")
+def tree(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    nodes = p.select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") > 8, F.floor(F.col("p_partkey") / 8)).alias("parent_id"))
+    return graph.tree_paths(nodes, depth=9)
+
+
+@query("m04_state_machine")
+def state_machine(spark, sf_dir):
+    """Events of a user in time order as attempts of one queue entry."""
+    from codexlake.streaming.queue import replay
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("ref_id"), "ts", "event_id", (F.col("value") % 1.0).alias("completeness"), F.when(F.col("event_type") == "error", "cooldown: provider").alias("error"))
+    return replay(e)
+
+
+@query("m08_rate_windows", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n_window FROM events")
+def rate_windows(spark, sf_dir):
+    return windows.rolling_counts(table(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "n_window")
+
+
+@query("n02_auto_tags", "SELECT doc_id, CASE WHEN n_chars >= 3000 THEN 'complete' WHEN n_chars < 500 THEN 'incomplete' END AS tag FROM documents WHERE n_chars >= 3000 OR n_chars < 500")
+def auto_tags(spark, sf_dir):
+    from codexlake.functions.model import as_refs
+    from codexlake.operators.tagging import auto_tags as tag
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("n_chars") >= 3000, 0.95).when(F.col("n_chars") < 500, 0.1).otherwise(0.5).alias("completeness"))
+    return tag(as_refs(d)).select(F.col("id").cast("long").alias("doc_id"), F.explode("tags").alias("tag"))
+
+
+@query("n03_topics", "SELECT topic, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN contains(lower(text), 'token') THEN 'security' END, CASE WHEN contains(lower(text), 'mail') OR contains(lower(text), '@') THEN 'contact' END, CASE WHEN contains(lower(text), 'idiot') THEN 'tone' END], lambda x: x IS NOT NULL)) AS topic FROM documents) GROUP BY 1")
+def topic_tags(spark, sf_dir):
+    from codexlake.operators.tagging import topic_tags as tag
 
-    cites = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return couple(cites).orderBy(F.desc("weight"), "src_a", "src_b").limit(50)
+    d = table(spark, sf_dir, "documents")
+    return tag(d, {"security": ["token"], "contact": ["mail", "@"], "tone": ["idiot"]}, F.lower("text")).select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
