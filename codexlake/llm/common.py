@@ -51,7 +51,7 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -137,11 +137,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "codexlake", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    batch = spark.conf.get(_BATCH)
+    try:  # Python workers get their rows in small batches: long texts must not add up
+        spark.conf.set(_BATCH, min(int(batch), 1000))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, batch)
     out = spark.read.schema(df.schema).parquet(path)
     out._codexlake_path = path
     return out

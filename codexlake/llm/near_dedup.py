@@ -79,30 +79,30 @@ def _verify(shingle: int, percent: int):
     return run
 
 
-def _block_pairs(pdf):
+def _block_pairs(cell: pa.Table) -> pa.Table:
     """One block of a bucket: probes against members by short signatures, other components only."""
-    import pandas as pd
-
-    probe, member = pdf[pdf["probe"]], pdf[~pdf["probe"]]
-    out_a, out_b = [], []
-    if len(probe) and len(member):
-        sketch = np.stack([np.frombuffer(x, np.uint8) for x in member["sketch"]])
-        comp, cid, n = member["component"].to_numpy(), member["cid"].to_numpy(), member["n"].to_numpy()
-        for pc_, pid, pn, ps in zip(probe["component"], probe["cid"], probe["n"], probe["sketch"]):
-            near = (sketch == np.frombuffer(ps, np.uint8)).mean(axis=1) >= ESTIMATE
-            near &= (comp != pc_) & (4 * np.minimum(n, pn) >= 3 * np.maximum(n, pn))
-            out_a.append(np.minimum(cid[near], pid))
-            out_b.append(np.maximum(cid[near], pid))
-    join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return pd.DataFrame({"a": join(out_a), "b": join(out_b)})
+    probe = cell["probe"].to_numpy()
+    cid, comp, n = (cell[c].to_numpy() for c in ("cid", "component", "n"))
+    sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(cid), -1)
+    rows = np.flatnonzero(~probe)
+    least = int(np.ceil(ESTIMATE * sketch.shape[1]))
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    members, m_cid, m_comp, m_n = sketch[rows], cid[rows], comp[rows], n[rows]
+    for i in np.flatnonzero(probe) if len(rows) else ():
+        fit = np.flatnonzero((m_comp != comp[i]) & (4 * np.minimum(m_n, n[i]) >= 3 * np.maximum(m_n, n[i])))
+        near = fit[np.count_nonzero(members[fit] == sketch[i], axis=1) >= least]
+        out_a.append(np.minimum(m_cid[near], cid[i]))
+        out_b.append(np.maximum(m_cid[near], cid[i]))
+    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
     """pairs(a, b) of doc ids whose texts reach the threshold, as written edges(u, v)."""
     pairs = written(pairs.distinct(), f"{name}-pairs")
+    # merge joins at every size: the plan does not flip with the input, and skewed ids are split
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.join(ids, "doc_id").select("doc_id", "text"), f"{name}-texts")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("b", "a", "text_b", "text_a")
+    texts = written(docs.join(ids.hint("merge"), "doc_id").select("doc_id", "text"), f"{name}-texts")
+    both = pairs.join(texts.toDF("a", "text_a").hint("merge"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b").select("b", "a", "text_b", "text_a")
     edges = written(both.mapInArrow(_verify(shingle, percent), "u long, v long"), f"{name}-edges")
     discard(texts)
     discard(pairs)
@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
         cell = F.xxhash64("cid", F.lit(1))
         as_member = rest.select("key", F.pmod(cell, F.col("nm")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), "cid", "component", "n", "sketch", F.lit(False).alias("probe"))
         as_probe = rest.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), F.pmod(cell, F.col("np")).cast("int").alias("j"), "cid", "component", "n", "sketch", F.lit(True).alias("probe"))
-        near = as_member.unionByName(as_probe).groupBy("key", "i", "j").applyInPandas(_block_pairs, "a long, b long")
+        parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in comparing, not in bytes
+        near = as_member.unionByName(as_probe).repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_block_pairs, "a long, b long")
         more = _verified(docs, near, shingle, percent, "nd-rest")
         if not more.isEmpty():
             comp = written(components(edges.unionByName(more)), "nd-comp")
