@@ -8,13 +8,25 @@ from pyspark.sql import types as T
 
 PERSON = "struct<family:string,given:string,orcid:string,affiliation:string>"
 
+_PERSON = T.StructType([T.StructField(n, T.StringType()) for n in ("family", "given", "orcid", "affiliation")])
+_KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "timestamp": T.TimestampType(),
+    "people": T.ArrayType(_PERSON), "strings": T.ArrayType(T.StringType()), "scores": T.MapType(T.StringType(), T.DoubleType()),
+}
+
+
+def schema(columns: str) -> T.StructType:
+    """A schema of 'name kind' pairs (no session needed); people, strings and scores are the nested kinds."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (c.split() for c in columns.replace("\n", " ").split(","))])
+
+
 #: One row of `refs`.
-REFS = T.StructType.fromDDL(
-    f"""id string, doi string, pmid string, pmcid string, arxiv_id string, isbn string, issn string, eissn string, url string,
-    oa_url string, title string, authors array<{PERSON}>, editors array<{PERSON}>, year int, month int, abstract string, ref_type string,
+REFS = schema(
+    """id string, doi string, pmid string, pmcid string, arxiv_id string, isbn string, issn string, eissn string, url string,
+    oa_url string, title string, authors people, editors people, year int, month int, abstract string, ref_type string,
     journal string, journal_abbrev string, container_title string, volume string, issue string, pages string, article_number string,
-    event_name string, publisher string, place string, edition string, series string, num_pages int, keywords array<string>,
-    language string, open_access boolean, license string, citation_count int, sources map<string,double>, extras string,
+    event_name string, publisher string, place string, edition string, series string, num_pages int, keywords strings,
+    language string, open_access boolean, license string, citation_count int, sources scores, extras string,
     completeness double, cite_key string, notes string, status string, pdf_local string, pdf_drive_id string, pdf_path string,
     created_at timestamp, updated_at timestamp"""
 )

@@ -15,15 +15,17 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from codexlake.functions.model import PERSON, TYPE_OF_BIBTEX, TYPE_OF_CROSSREF, TYPE_OF_CSL, TYPE_OF_RIS, as_refs, lookup
+from codexlake.functions.model import TYPE_OF_BIBTEX, TYPE_OF_CROSSREF, TYPE_OF_CSL, TYPE_OF_RIS, as_refs, lookup, schema
 
 #: What the splitters give for each record.
-RAW = f"""doi string, pmid string, pmcid string, arxiv_id string, isbn string, issn string, url string, oa_url string, title string, authors array<{PERSON}>, editors array<{PERSON}>,
-year int, month int, abstract string, ref_type string, journal string, container_title string, volume string, issue string, pages string, event_name string,
-publisher string, place string, edition string, series string, num_pages int, keywords array<string>, language string, open_access boolean, license string, citation_count int, cite_key string, notes string, extras string"""
-_RAW = StructType.fromDDL(RAW).names
+RAW = schema(
+    """doi string, pmid string, pmcid string, arxiv_id string, isbn string, issn string, url string, oa_url string, title string, authors people, editors people,
+    year int, month int, abstract string, ref_type string, journal string, container_title string, volume string, issue string, pages string, event_name string,
+    publisher string, place string, edition string, series string, num_pages int, keywords strings, language string, open_access boolean, license string,
+    citation_count int, cite_key string, notes string, extras string"""
+)
+_RAW = RAW.names
 _ARXIV = re.compile(r"(?i)(?:arxiv[:\s./]*(?:abs/|pdf/)?|abs/)(\d{4}\.\d{4,5}|[a-z-]+/\d{7})(?:v\d+)?")
 _DOI = re.compile(r"\b(10\.\d{4,9}/[^\s,;}\"'<>|\])]+)")
 
