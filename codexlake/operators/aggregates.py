@@ -123,8 +123,8 @@ def name_vocabulary(df: DataFrame, text: str) -> DataFrame:
 
 def merge_keywords(lists: DataFrame, key: str, keywords: str, order: str, most: int = 30) -> DataFrame:
     """Union of keyword lists by key, the first spelling of each (case ignored) kept, at most 30 of them in order."""
-    k = lists.select(key, order, F.posexplode(keywords).alias("pos", "word")).filter(F.trim("word") != "")
-    first = k.groupBy(key, F.lower(F.trim("word")).alias("low")).agg(F.min(F.struct(order, "pos", F.trim("word").alias("word"))).alias("f"))
+    k = lists.select(key, F.col(order).alias("_order"), F.posexplode(keywords).alias("_at", "word")).filter(F.trim("word") != "")
+    first = k.groupBy(key, F.lower(F.trim("word")).alias("low")).agg(F.min(F.struct("_order", "_at", F.trim("word").alias("word"))).alias("f"))
     return first.groupBy(key).agg(F.slice(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["word"]), 1, most).alias("keywords"))
 
 

@@ -114,7 +114,7 @@ def apply_pairs(refs: DataFrame, pairs: DataFrame, fill, bridges: dict[str, tupl
 def dedup_all(refs: DataFrame, fill, everything: bool = False):
     """All rules one after the other, each on what the one before left: (live, archived).
 
-    Each rule's result is checkpointed, so the plan stays short.
+    Pairs and each rule's result are checkpointed, so the plan stays short; a rule without pairs rewrites nothing.
     """
     archived = None
     rules = [(i, lambda r, i=i: veto_conflicts(veto_titles(identifier_pairs(r, i), r, strict=i == "isbn"), r, i)) for i in STRONG]
@@ -123,9 +123,14 @@ def dedup_all(refs: DataFrame, fill, everything: bool = False):
         rules.append(("url", lambda r: veto_conflicts(veto_titles(url_pairs(r), r, strict=True), r)))
         rules.append(("title_year_author", lambda r: veto_conflicts(title_year_author_pairs(r), r)))
     for name, rule in rules:
-        live, gone, _ = apply_pairs(refs, rule(refs), fill, rule=f"same_{name}")
+        pairs = rule(refs).checkpoint()
+        if pairs.isEmpty():
+            continue
+        live, gone, _ = apply_pairs(refs, pairs, fill, rule=f"same_{name}")
         refs, gone = live.checkpoint(), gone.checkpoint()
         archived = gone if archived is None else archived.unionByName(gone)
+    if archived is None:
+        archived = refs.limit(0).withColumns({"merged_into": F.lit(""), "archive_rule": F.lit("")})
     return refs, archived
 
 
