@@ -59,30 +59,38 @@ def _pairs():
     return [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def vectors_sql(base: str) -> str:
+def counts_sql(base: str) -> str:
+    """Rows of each language and source (n3), and of a language's small sources together (n2)."""
+    return f"""
+        SELECT glang, gsource, n3, CAST(sum(CASE WHEN n3 < {LEAST} THEN n3 ELSE 0 END) OVER (PARTITION BY glang) AS BIGINT) AS n2
+        FROM (SELECT coalesce('=' || lang, '-') AS glang, coalesce('=' || source, '-') AS gsource, count(*) AS n3 FROM {base} WHERE NOT base_failed GROUP BY 1, 2) x"""
+
+
+def vectors_sql(base: str, counts: str) -> str:
     """Quantised vectors of the documents that pass the base rules, with the names of their groups."""
     q = ", ".join(f"CAST(floor(1024 * least(15.0, {e}) + 0.5) AS BIGINT) AS q{i}" for i, e in enumerate(_VECTOR))
     return f"""
         SELECT doc_id, {q},
-               CASE WHEN n3 >= {LEAST} THEN glang WHEN n2 >= {LEAST} THEN glang ELSE '*' END AS g1,
-               CASE WHEN n3 >= {LEAST} THEN gsource ELSE '*' END AS g2
-        FROM (SELECT v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, c.glang, c.gsource, c.n3, c.n2
-              FROM (SELECT *, coalesce('=' || lang, '-') AS glang, coalesce('=' || source, '-') AS gsource FROM {base} WHERE NOT base_failed) v
-              JOIN (SELECT glang, gsource, n3, sum(CASE WHEN n3 < {LEAST} THEN n3 ELSE 0 END) OVER (PARTITION BY glang) AS n2
-                    FROM (SELECT coalesce('=' || lang, '-') AS glang, coalesce('=' || source, '-') AS gsource, count(*) AS n3 FROM {base} WHERE NOT base_failed GROUP BY 1, 2) x) c
-              ON v.glang = c.glang AND v.gsource = c.gsource) y"""
+               CASE WHEN c.n3 >= {LEAST} OR c.n2 >= {LEAST} THEN c.glang ELSE '*' END AS g1,
+               CASE WHEN c.n3 >= {LEAST} THEN c.gsource ELSE '*' END AS g2
+        FROM (SELECT *, coalesce('=' || lang, '-') AS glang, coalesce('=' || source, '-') AS gsource FROM {base} WHERE NOT base_failed) v
+        JOIN {counts} c ON v.glang = c.glang AND v.gsource = c.gsource"""
 
 
-def start_sql(vectors: str) -> str:
-    """Medians of each group, twice: with a scale from the median deviation, and with a common one."""
+def medians_sql(vectors: str) -> str:
     med = ", ".join(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY q{i}) AS m{i}" for i in range(P))
+    return f"SELECT g1, g2, {med} FROM {vectors} v GROUP BY g1, g2"
+
+
+def start_sql(vectors: str, medians: str) -> str:
+    """Medians of each group, twice: with a scale from the median deviation, and with a common one."""
     mad = ", ".join(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(v.q{i} - m.m{i})) AS s{i}" for i in range(P))
     means = ", ".join(f"CAST(m{i} AS DOUBLE) AS m{i}" for i in range(P))
     cov = ", ".join((f"CASE WHEN st = 1 THEN 1048576.0 ELSE power(1.4826 * s{i}, 2) END AS c{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS c{i}{j}") for i, j in _pairs())
     ms = ", ".join(f"m.m{i}" for i in range(P))
     return f"""
         SELECT g1, g2, st, {means}, {cov}
-        FROM (SELECT m.g1, m.g2, {ms}, {mad} FROM {vectors} v JOIN (SELECT g1, g2, {med} FROM {vectors} GROUP BY g1, g2) m ON v.g1 = m.g1 AND v.g2 = m.g2 GROUP BY m.g1, m.g2, {ms}) z
+        FROM (SELECT m.g1, m.g2, {ms}, {mad} FROM {vectors} v JOIN {medians} m ON v.g1 = m.g1 AND v.g2 = m.g2 GROUP BY m.g1, m.g2, {ms}) z
         CROSS JOIN (SELECT 0 AS st UNION ALL SELECT 1 AS st) k"""
 
 
@@ -110,15 +118,22 @@ def distance_sql(vectors: str, factors: str) -> str:
     return f"SELECT doc_id, g1, g2, st, {', '.join(f'q{i}' for i in range(P))}, {' + '.join(f'y{i} * y{i}' for i in range(P))} AS d2 FROM ({out}) d"
 
 
-def step_sql(vectors: str, factors: str) -> str:
-    """One concentration step: means and covariances of the nearest SUBSET of each group and start."""
-    near = f"SELECT *, CAST(least(16384.0, floor(64 * d2)) AS BIGINT) AS b FROM ({distance_sql(vectors, factors)}) n"
-    cut = f"SELECT g1, g2, st, percentile_disc({SUBSET}) WITHIN GROUP (ORDER BY b) AS cut FROM ({near}) c GROUP BY g1, g2, st"
+def _binned(vectors: str, factors: str) -> str:
+    return f"SELECT *, CAST(least(16384.0, floor(64 * d2)) AS BIGINT) AS b FROM ({distance_sql(vectors, factors)}) n"
+
+
+def cut_sql(vectors: str, factors: str) -> str:
+    """The distance within which the nearest SUBSET of each group and start lies."""
+    return f"SELECT g1, g2, st, percentile_disc({SUBSET}) WITHIN GROUP (ORDER BY b) AS cut FROM ({_binned(vectors, factors)}) c GROUP BY g1, g2, st"
+
+
+def step_sql(vectors: str, factors: str, cuts: str) -> str:
+    """One concentration step: means and covariances of the documents within the cut."""
     sums = ", ".join([f"CAST(sum(q{i}) AS DOUBLE) / count(*) AS m{i}" for i in range(P)] + [f"CAST(sum(q{i} * q{j}) AS DOUBLE) / count(*) AS x{i}{j}" for i, j in _pairs()])
     cov = ", ".join(f"x{i}{j} - m{i} * m{j} AS c{i}{j}" for i, j in _pairs())
     return f"""
         SELECT g1, g2, st, {', '.join(f'm{i}' for i in range(P))}, {cov}
-        FROM (SELECT n.g1, n.g2, n.st, {sums} FROM ({near}) n JOIN ({cut}) c ON n.g1 = c.g1 AND n.g2 = c.g2 AND n.st = c.st WHERE n.b <= c.cut GROUP BY n.g1, n.g2, n.st) s"""
+        FROM (SELECT n.g1, n.g2, n.st, {sums} FROM ({_binned(vectors, factors)}) n JOIN {cuts} c ON n.g1 = c.g1 AND n.g2 = c.g2 AND n.st = c.st WHERE n.b <= c.cut GROUP BY n.g1, n.g2, n.st) s"""
 
 
 def verdict_sql(vectors: str, factors: str) -> str:
@@ -136,11 +151,15 @@ def assess(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     base = written(base_counts(docs).withColumn("base_failed", F.expr(BASE_FAILED)), "rules-base")
-    vectors = written(spark.sql(vectors_sql("{base}"), base=base), "rules-vectors")
-    state = written(spark.sql(start_sql("{v}"), v=vectors), "rules-state")
-    for k in range(STEPS):
-        factors = spark.sql(factor_sql("{s}", 1.0), s=state)
-        state = written(spark.sql(step_sql("{v}", "{f}"), v=vectors, f=factors), "rules-state")
+    # tables of a row per group are written first: joins with them then need no shuffle of documents by group
+    counts = written(spark.sql(counts_sql("{base}"), base=base), "rules-counts")
+    vectors = written(spark.sql(vectors_sql("{base}", "{c}"), base=base, c=counts), "rules-vectors")
+    medians = written(spark.sql(medians_sql("{v}"), v=vectors), "rules-medians")
+    state = written(spark.sql(start_sql("{v}", "{m}"), v=vectors, m=medians), "rules-state")
+    for _ in range(STEPS):
+        factors = written(spark.sql(factor_sql("{s}", 1.0), s=state), "rules-factors")
+        cuts = written(spark.sql(cut_sql("{v}", "{f}"), v=vectors, f=factors), "rules-cuts")
+        state = written(spark.sql(step_sql("{v}", "{f}", "{c}"), v=vectors, f=factors, c=cuts), "rules-state")
     final = written(spark.sql(factor_sql("{s}", CONSISTENCY), s=state), "rules-final")
     far = spark.sql(verdict_sql("{v}", "{f}"), v=vectors, f=final)
     out = base.join(far, "doc_id", "left")
@@ -163,11 +182,13 @@ def oracle_sql() -> str:
             (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
             coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id"""),
         ("base", f"SELECT *, ({BASE_FAILED}) AS base_failed FROM counts"),
-        ("vec", vectors_sql("base")),
-        ("s0", start_sql("vec")),
+        ("groups", counts_sql("base")),
+        ("vec", vectors_sql("base", "groups")),
+        ("med", medians_sql("vec")),
+        ("s0", start_sql("vec", "med")),
     ]
     for k in range(STEPS):
-        ctes += [(f"f{k}", factor_sql(f"s{k}", 1.0)), (f"s{k + 1}", step_sql("vec", f"f{k}"))]
+        ctes += [(f"f{k}", factor_sql(f"s{k}", 1.0)), (f"k{k}", cut_sql("vec", f"f{k}")), (f"s{k + 1}", step_sql("vec", f"f{k}", f"k{k}"))]
     ctes += [("final", factor_sql(f"s{STEPS}", CONSISTENCY)), ("far", verdict_sql("vec", "final"))]
     head = "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in ctes)
     return f"""{head}
