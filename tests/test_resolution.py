@@ -100,7 +100,7 @@ def test_search(spark):
     assert {r.doc for r in search.search_all_prefixes(index, ["salt", "fi"]).collect()} == {2}
     changed = spark.createDataFrame([(3, "salt")], "id long, text string")
     again = search.patch_index(index, changed.select("id"), docs.filter("id <> 3").unionByName(changed), "id", "text")
-    assert {r.doc for r in search.search_all_prefixes(again, ["fish"]).collect()} == {2} or True
+    assert {r.doc for r in search.search_all_prefixes(again, ["fish"]).collect()} == {2}
     assert again.lengths.count() == 4 and search.query_terms("A deep-sea the the") == ["deep-sea", "the"]
     assert search.fallback(docs, "%", ["text"]).count() == 0
 
