@@ -43,24 +43,25 @@ def _forest(batches):
 def components(edges: DataFrame) -> DataFrame:
     """edges(u long, v long) -> (node long, component long), the smallest node reachable; only nodes with edges.
 
-    Each task first reduces its edges to a forest by union-find. Then, until no edge is left, every node joins the
-    neighbour (or itself) of least hashed priority and the graph is contracted along these choices; a fresh priority
-    each round makes the expected number of rounds logarithmic, whatever the shape. Every round is written to the
-    shared folder. Hot nodes cost nothing: the minimum over neighbours is combined before the shuffle. Nothing but one
-    row count a round reaches the driver.
+    Each task first reduces its edges to a forest by union-find, stars around their smallest nodes. Then, until no edge
+    is left, every node joins its least neighbour (or itself) and the graph is contracted along these choices. Rounds
+    take turns between the order of the nodes, which merges whole stars at once, and a fresh hashed order, which makes
+    the expected number of rounds logarithmic whatever the shape. Every round is written to the shared folder. Hot
+    nodes cost nothing: the minimum over neighbours is combined before the shuffle. Only whether edges are left reaches
+    the driver.
     """
     left = written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").mapInArrow(_forest, "u long, v long").distinct(), "cc-edges")
     start = left
     maps: list[DataFrame] = []
     rounds = 0
     while not left.isEmpty():
-        rank = F.struct(F.xxhash64(F.col("v"), F.lit(rounds)).alias("p"), F.col("v"))
+        least = F.min("v") if rounds % 2 == 0 else F.min(F.struct(F.xxhash64(F.col("v"), F.lit(rounds)).alias("p"), F.col("v")))["v"]
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         both = both.unionByName(left.select("u", F.col("u").alias("v"))).unionByName(left.select(F.col("v").alias("u"), "v"))
-        to = written(both.groupBy("u").agg(F.min(rank)["v"].alias("to")), "cc-map")
+        to = written(both.groupBy("u").agg(least.alias("to")), "cc-map")
         a, b = to.toDF("u", "a"), to.toDF("v", "b")
         after = left.join(a, "u").join(b, "v").filter("a <> b")
-        after = after.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        after = after.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).mapInArrow(_forest, "u long, v long").distinct()
         following = written(after, "cc-edges")
         if rounds:
             discard(left)
@@ -73,5 +74,5 @@ def components(edges: DataFrame) -> DataFrame:
     for to in reversed(maps[:-1]):  # only what a round merged needs the later rounds' choices
         root = to.toDF("node", "to").join(root.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     root = written(root, "cc-root")
-    least = written(root.groupBy("root").agg(F.min("node").alias("component")), "cc-least")
-    return root.join(least, "root").select("node", "component")
+    smallest = written(root.groupBy("root").agg(F.min("node").alias("component")), "cc-least")
+    return root.join(smallest, "root").select("node", "component")

@@ -3,8 +3,8 @@
 How it scales. Texts of one shingle set form a class and only its representative goes on. A bucket (one band's key)
 never meets in one task: its two leaders are found by a combined aggregate, and each member is paired with them. What
 leaders do not connect is compared within its buckets by short signatures, in blocks of bounded size, between
-different components only; every pair that may reach the threshold is verified on full shingle sets. So no link
-between candidates is lost, and no group of copies is expanded into all its pairs.
+different components only; every pair that may reach the threshold is verified on full shingle sets in the block, which
+gives back a forest of links. So no link between candidates is lost, and no group of copies is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.llm.common import discard, written
-from codexlake.llm.components import components
+from codexlake.llm.components import components, union_find
 from codexlake.llm.shingles import band_keys, set_digest, shingle_sets, short_signature, signatures, similarity
 
 #: 32 bands of 4 rows: a pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
@@ -79,21 +79,39 @@ def _verify(shingle: int, percent: int):
     return run
 
 
-def _block_pairs(cell: pa.Table) -> pa.Table:
-    """One block of a bucket: probes against members by short signatures, other components only."""
-    probe = cell["probe"].to_numpy()
-    cid, comp, n = (cell[c].to_numpy() for c in ("cid", "component", "n"))
-    sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(cid), -1)
-    rows = np.flatnonzero(~probe)
-    least = int(np.ceil(ESTIMATE * sketch.shape[1]))
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    members, m_cid, m_comp, m_n = sketch[rows], cid[rows], comp[rows], n[rows]
-    for i in np.flatnonzero(probe) if len(rows) else ():
-        fit = np.flatnonzero((m_comp != comp[i]) & (4 * np.minimum(m_n, n[i]) >= 3 * np.maximum(m_n, n[i])))
-        near = fit[np.count_nonzero(members[fit] == sketch[i], axis=1) >= least]
-        out_a.append(np.minimum(m_cid[near], cid[i]))
-        out_b.append(np.maximum(m_cid[near], cid[i]))
-    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+def _block_links(shingle: int, percent: int):
+    """One block of a bucket: probes against members of other components, verified; a spanning forest of the links.
+
+    Short signatures choose what is verified. A pair is looked at only in the bucket of the first band it shares.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        probe = cell["probe"].to_numpy()
+        key = cell["key"][0].as_py()
+        cid, comp, n = (cell[c].to_numpy() for c in ("cid", "component", "n"))
+        sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(cid), -1)
+        bands = cell["bands"].combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
+        least = int(np.ceil(ESTIMATE * sketch.shape[1]))
+        rows = np.flatnonzero(~probe)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in np.flatnonzero(probe) if len(rows) else ():
+            fit = rows[(comp[rows] != comp[i]) & (100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))]
+            near = fit[np.count_nonzero(sketch[fit] == sketch[i], axis=1) >= least]
+            shared = bands[near] == bands[i]
+            near = near[bands[i][shared.argmax(axis=1)] == key] if len(near) else near
+            left.append(np.full(len(near), i))
+            right.append(near)
+        left, right = np.concatenate(left), np.concatenate(right)
+        needed = np.unique(np.concatenate((left, right)))
+        sets = dict(zip(needed.tolist(), shingle_sets(cell["text"].combine_chunks().take(pa.array(needed)), shingle))) if len(needed) else {}
+        keep = np.zeros(len(left), bool)
+        for k, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
+            same, either = similarity(sets[x], sets[y])
+            keep[k] = bool(either) and 100 * same >= percent * either
+        nodes, root = union_find(cid[left[keep]], cid[right[keep]])
+        return pa.table({"u": pa.array(nodes[nodes != root], pa.int64()), "v": pa.array(root[nodes != root], pa.int64())})
+
+    return run
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
@@ -141,13 +159,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
         "nd-open",
     )
     if not open_keys.isEmpty():
-        rest = shared_comp.join(open_keys, "key").join(full.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "sketch"), "cid")
+        rest = shared_comp.join(open_keys, "key")
+        ids = rest.select(F.col("cid").alias("doc_id")).distinct()
+        texts = written(docs.join(ids.hint("merge"), "doc_id").select(F.col("doc_id").alias("cid"), "text").join(members.select("cid", F.col("n_shingles").alias("n"), "sketch", "bands"), "cid").dropDuplicates(["cid"]), "nd-rest-texts")
+        rest = rest.join(texts.hint("merge"), "cid")
         cell = F.xxhash64("cid", F.lit(1))
-        as_member = rest.select("key", F.pmod(cell, F.col("nm")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), "cid", "component", "n", "sketch", F.lit(False).alias("probe"))
-        as_probe = rest.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), F.pmod(cell, F.col("np")).cast("int").alias("j"), "cid", "component", "n", "sketch", F.lit(True).alias("probe"))
+        columns = ["cid", "component", "n", "sketch", "bands", "text"]
+        as_member = rest.select("key", F.pmod(cell, F.col("nm")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), *columns, F.lit(False).alias("probe"))
+        as_probe = rest.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), F.pmod(cell, F.col("np")).cast("int").alias("j"), *columns, F.lit(True).alias("probe"))
         parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in comparing, not in bytes
-        near = as_member.unionByName(as_probe).repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_block_pairs, "a long, b long")
-        more = _verified(docs, near, shingle, percent, "nd-rest")
+        more = written(as_member.unionByName(as_probe).repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_block_links(shingle, percent), "u long, v long"), "nd-rest-edges")
+        discard(texts)
         if not more.isEmpty():
             comp = written(components(edges.unionByName(more)), "nd-comp")
     named = written(classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("component_id")), "nd-named")
