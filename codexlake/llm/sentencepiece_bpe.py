@@ -254,6 +254,12 @@ class PieceModel:
                 self._cache[segment] = found
         return found
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self._cache, self._older = {}, {}
+        self._fitting.clear()
+        self._shorter.cache_clear()
+
     def _pieces_text(self, ids: list[int]) -> str:
         parts: list[str] = []
         pending = bytearray()
@@ -301,7 +307,7 @@ def load_model(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
-def _apply(path: str, with_ids: bool):
+def _apply(path: str, with_ids: bool, keep_caches: bool = True):
     def run(batches):
         model = load_model(path)
         for batch in batches:
@@ -321,6 +327,8 @@ def _apply(path: str, with_ids: bool):
                     digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
                     columns += [pa.array([digest(s) for s in ids], pa.string()), pa.array([digest(s) for s in texts], pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep_caches:
+            model.forget()
 
     return run
 
@@ -334,9 +342,12 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_apply(model_path, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
-def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """As encode_documents, with SHA-256 digests in place of ids and decoded text."""
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_apply(model_path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def token_digests(docs: DataFrame, model_path: str, keep_caches: bool = True) -> DataFrame:
+    """As encode_documents, with SHA-256 digests in place of ids and decoded text.
+
+    Without keep_caches a task leaves no cached segments behind in its worker: for sessions that go on to other work.
+    """
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_apply(model_path, False, keep_caches), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_model() -> str:

@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.token_digests(docs, sentencepiece_bpe.default_model())
+    return sentencepiece_bpe.token_digests(docs, sentencepiece_bpe.default_model(), keep_caches=False)
 
 
 STAGES = [
