@@ -2,9 +2,9 @@
 
 How it scales. Texts of one shingle set form a class and only its representative goes on. A bucket (one band's key)
 never meets in one task: its two leaders are found by a combined aggregate, and each member is paired with them. What
-leaders do not connect is compared within its buckets by short signatures, in blocks of bounded size, between
-different components only; every pair that may reach the threshold is verified on full shingle sets in the block, which
-gives back a forest of links. So no link between candidates is lost, and no group of copies is expanded into its pairs.
+leaders do not connect is compared within its buckets on full shingle sets, in blocks of bounded size, between different
+components only; a block gives back a forest of links. So no link between candidates is lost, and no group of copies is
+expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -16,18 +16,16 @@ from pyspark.sql import functions as F
 
 from codexlake.llm.common import discard, written
 from codexlake.llm.components import components, union_find
-from codexlake.llm.shingles import band_keys, set_digest, shingle_sets, short_signature, signatures, similarity
+from codexlake.llm.shingles import band_keys, set_digest, shingle_sets, signatures, similarity
 
 #: 32 bands of 4 rows: a pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 SLOTS, ROWS = 128, 4
 #: Members of a bucket on either side of one block comparison.
 BLOCK = 256
-#: Estimated similarity from which a pair is verified; 0.75 less than it with a probability under 1e-3 (standard error 0.033).
-ESTIMATE = 0.64
 #: Rows of a batch worked on at once.
 STEP = 512
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+_SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
 def _sketches(shingle: int):
@@ -41,8 +39,7 @@ def _sketches(shingle: int):
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array([set_digest(s) for s in sets], pa.binary()), bands, pa.array([r.tobytes() for r in short_signature(sig)], pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                    [part.column(0), pa.array(size), pa.array([set_digest(s) for s in sets], pa.binary()), bands], names=["doc_id", "n_shingles", "digest", "bands"]
                 )
 
     return run
@@ -80,35 +77,47 @@ def _verify(shingle: int, percent: int):
 
 
 def _block_links(shingle: int, percent: int):
-    """One block of a bucket: probes against members of other components, verified; a spanning forest of the links.
+    """One block of a bucket: probes against members of other components on full sets; a spanning forest of the links.
 
-    Short signatures choose what is verified. A pair is looked at only in the bucket of the first band it shares.
+    Only sizes that cannot reach the threshold are passed over. A pair is looked at only in the bucket of the first band
+    it shares. Shingles are numbered in the block, so a probe's overlaps with all members are counted in one pass.
     """
 
     def run(cell: pa.Table) -> pa.Table:
         probe = cell["probe"].to_numpy()
         key = cell["key"][0].as_py()
         cid, comp, n = (cell[c].to_numpy() for c in ("cid", "component", "n"))
-        sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(cid), -1)
         bands = cell["bands"].combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
-        least = int(np.ceil(ESTIMATE * sketch.shape[1]))
         rows = np.flatnonzero(~probe)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in np.flatnonzero(probe) if len(rows) else ():
+        fits: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(probe).tolist() if len(rows) else ():
             fit = rows[(comp[rows] != comp[i]) & (100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))]
-            near = fit[np.count_nonzero(sketch[fit] == sketch[i], axis=1) >= least]
-            shared = bands[near] == bands[i]
-            near = near[bands[i][shared.argmax(axis=1)] == key] if len(near) else near
-            left.append(np.full(len(near), i))
-            right.append(near)
+            if len(fit):
+                fit = fit[bands[i][(bands[fit] == bands[i]).argmax(axis=1)] == key]
+            if len(fit):
+                fits[i] = fit
+        if not fits:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        members = np.unique(np.concatenate(list(fits.values())))
+        needed = np.union1d(members, np.array(list(fits)))
+        sets = dict(zip(needed.tolist(), shingle_sets(cell["text"].combine_chunks().take(pa.array(needed)), shingle)))
+        sizes = np.array([len(sets[m]) for m in members.tolist()])
+        names, flat = np.unique(np.concatenate([sets[m] for m in members.tolist()]), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        left, right = [], []
+        has = np.zeros(len(names), np.int32)
+        for i, fit in fits.items():
+            at = np.searchsorted(names, sets[i])
+            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == sets[i])]
+            has[at] = 1
+            same = np.add.reduceat(has[flat], starts)
+            has[at] = 0
+            j = np.searchsorted(members, fit)
+            fit = fit[100 * same[j] >= percent * (sizes[j] + len(sets[i]) - same[j])]
+            left.append(np.full(len(fit), i))
+            right.append(fit)
         left, right = np.concatenate(left), np.concatenate(right)
-        needed = np.unique(np.concatenate((left, right)))
-        sets = dict(zip(needed.tolist(), shingle_sets(cell["text"].combine_chunks().take(pa.array(needed)), shingle))) if len(needed) else {}
-        keep = np.zeros(len(left), bool)
-        for k, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
-            same, either = similarity(sets[x], sets[y])
-            keep[k] = bool(either) and 100 * same >= percent * either
-        nodes, root = union_find(cid[left[keep]], cid[right[keep]])
+        nodes, root = union_find(cid[left], cid[right])
         return pa.table({"u": pa.array(nodes[nodes != root], pa.int64()), "v": pa.array(root[nodes != root], pa.int64())})
 
     return run
@@ -142,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     full = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")), "nd-classes")
     rep = classes.select("cid").distinct()
-    members = full.select(F.col("doc_id").alias("cid"), "n_shingles", "bands", "sketch").join(rep, "cid")
+    members = full.select(F.col("doc_id").alias("cid"), "n_shingles", "bands").join(rep, "cid")
     keys = members.select("cid", F.explode("bands").alias("key"))
     rank = F.struct(F.xxhash64("cid"), F.col("cid"))
     leaders = written(keys.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.min(rank)["cid"].alias("b")).filter("a <> z").drop("z"), "nd-leaders")
@@ -161,10 +170,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     if not open_keys.isEmpty():
         rest = shared_comp.join(open_keys, "key")
         ids = rest.select(F.col("cid").alias("doc_id")).distinct()
-        texts = written(docs.join(ids.hint("merge"), "doc_id").select(F.col("doc_id").alias("cid"), "text").join(members.select("cid", F.col("n_shingles").alias("n"), "sketch", "bands"), "cid").dropDuplicates(["cid"]), "nd-rest-texts")
+        texts = written(docs.join(ids.hint("merge"), "doc_id").select(F.col("doc_id").alias("cid"), "text").join(members.select("cid", F.col("n_shingles").alias("n"), "bands"), "cid").dropDuplicates(["cid"]), "nd-rest-texts")
         rest = rest.join(texts.hint("merge"), "cid")
         cell = F.xxhash64("cid", F.lit(1))
-        columns = ["cid", "component", "n", "sketch", "bands", "text"]
+        columns = ["cid", "component", "n", "bands", "text"]
         as_member = rest.select("key", F.pmod(cell, F.col("nm")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), *columns, F.lit(False).alias("probe"))
         as_probe = rest.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), F.pmod(cell, F.col("np")).cast("int").alias("j"), *columns, F.lit(True).alias("probe"))
         parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in comparing, not in bytes

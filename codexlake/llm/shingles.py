@@ -128,8 +128,3 @@ def band_keys(h: np.ndarray, rows: int = 4) -> np.ndarray:
         for i in range(rows):
             key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + bits[:, :, i])
     return key.view(np.int64)
-
-
-def short_signature(h: np.ndarray) -> np.ndarray:
-    """One byte a slot, to estimate similarity cheaply."""
-    return (mix64(h.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)

@@ -84,6 +84,33 @@ def test_near_duplicate_chains(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == brute_links(rows)
 
 
+def test_leftover_pairs_are_compared_on_full_sets():
+    """A pair at 0.75 whose signatures agree in 76 of 128 slots only, below the 82 (0.64) that were once asked for."""
+    import pyarrow as pa
+
+    from codexlake.llm.common import mix64
+    from codexlake.llm.shingles import band_keys, shingle_sets, signatures, similarity
+
+    r = random.Random(1653)
+    words = [f"w{r.randrange(10**6)}" for _ in range(2804)]
+    other = list(words)
+    for k in range(80):
+        other[15 + 30 * k] = f"x{k}"
+    texts = [" ".join(words), " ".join(other), prose(2804, 3)]
+    sets = shingle_sets(pa.array(texts))
+    h = signatures(sets)
+    short = (mix64(h.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+    keys = band_keys(h)
+    assert similarity(sets[0], sets[1]) == (2400, 3200) and int((short[0] == short[1]).sum()) == 76
+    key = keys[0][keys[0] == keys[1]][0]
+    keys[2][keys[0] == key] = key
+    rows = [0, 1, 2, 1, 2]  # three members, two probes
+    columns = {"cid": np.array([5, 6, 7])[rows], "component": np.array([5, 6, 7])[rows], "n": np.array([len(s) for s in sets])[rows], "key": np.full(5, key), "probe": np.arange(5) > 2}
+    cell = pa.table({c: pa.array(v) for c, v in columns.items()} | {"text": [texts[i] for i in rows], "bands": [keys[i].tolist() for i in rows], "sketch": [short[i].tobytes() for i in rows]})
+    assert near_dedup._block_links(5, 75)(cell).to_pylist() == [{"u": 6, "v": 5}]
+    assert near_dedup._block_links(5, 76)(cell).num_rows == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)] + [(200, x) for x in range(201, 230)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
