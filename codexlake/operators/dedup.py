@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from codexlake.functions.model import filled
 from codexlake.functions.scalar import PLACEHOLDER_TITLES, quality_score
 from codexlake.operators.windows import survivors
 
+#: The characters of a normalised title.
+_TITLE = np.frombuffer(b" 0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
+
 
 def _key(name: str) -> Column:
     return F.when(filled(F.trim(name)), F.lower(F.trim(name)))
@@ -134,18 +141,53 @@ def dedup_all(refs: DataFrame, fill, everything: bool = False):
     return refs, archived
 
 
+def _near_titles(least: float):
+    """One cell of a block: (id_a, id_b, score) of its pairs whose sorted words reach the ratio.
+
+    The characters two titles do not share bound the ratio from above, and so does what is left of a title while it is
+    read: pairs that cannot reach it by these bounds are not read to the end.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, high, chunk = cell["id"].to_pylist(), cell["high"].to_numpy(), cell["chunk"].to_numpy()
+        across = cell["i"][0].as_py() != cell["j"][0].as_py()
+        words = [" ".join(sorted(t.split())) for t in cell["t"].to_pylist()]
+        size = np.array([len(t) for t in words])
+        counts = np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128)[_TITLE] for t in words], dtype=np.int32)
+        out = []
+        for x, a in enumerate(words):
+            allowed = ~(high[x + 1 :] & high[x])
+            if across:
+                allowed &= chunk[x + 1 :] != chunk[x]
+            y = x + 1 + np.flatnonzero(allowed & (np.abs(size[x + 1 :] - size[x]) <= 0.4 * np.maximum(size[x + 1 :], size[x])))
+            y = y[100 * np.abs(counts[y] - counts[x]).sum(axis=1) <= (100 - least) * (size[y] + size[x]) + 1e-6]
+            masks = T.char_masks(a) if len(y) else {}
+            for k in y.tolist():
+                score = T.indel_ratio_from(masks, a, words[k], least)
+                if score is not None and ids[x] != ids[k]:
+                    out.append((min(ids[x], ids[k]), max(ids[x], ids[k]), score))
+        kind = cell.schema.field("id").type
+        return pa.table({"id_a": pa.array([o[0] for o in out], kind), "id_b": pa.array([o[1] for o in out], kind), "score": pa.array([o[2] for o in out], pa.float64())})
+
+    return run
+
+
 def fuzzy_title_pairs(refs: DataFrame, id_col: str = "id", title: str = "title", least: float = 90, likely: float = 95, largest: int = 200) -> DataFrame:
     """(id_a, id_b, score, label): titles of one first word (3 letters and more) and similar length, token-sort ratio.
 
-    Blocks of more than `largest` rows are left to the exact rules: the method compares only small blocks.
+    Blocks of any size are compared. Lengths that can reach the ratio are in one or in neighbouring classes; the titles
+    of a class and the next are dealt into chunks of about `largest` rows, and every two chunks meet in one task.
     """
-    w = refs.select(F.col(id_col).alias("id"), T.udf_ascii_title()(F.col(title)).alias("t")).withColumn("block", F.split_part("t", F.lit(" "), F.lit(1))).filter(F.length("block") >= 3)
-    size = w.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(f"n BETWEEN 2 AND {largest}").select("block")
-    w = w.join(size, "block")
-    a, b = w.select("block", F.col("id").alias("id_a"), F.col("t").alias("a")), w.select("block", F.col("id").alias("id_b"), F.col("t").alias("b"))
-    near = a.join(b, "block").filter("id_a < id_b AND abs(length(a) - length(b)) <= 0.4 * greatest(length(a), length(b))")
-    scored = near.withColumn("score", T.udf_token_sort()("a", "b")).filter(F.col("score") >= least)
-    return scored.select("id_a", "id_b", "score", F.when(F.col("score") >= likely, "likely").otherwise("possible").alias("label"))
+    w = refs.select(F.col(id_col).alias("id"), T.udf_ascii_title()(F.col(title)).alias("t")).withColumn("block", F.split_part("t", F.lit(" "), F.lit(1))).filter((F.length("block") >= 3) & F.col("id").isNotNull())
+    step = -math.log(max(0.6, least / (200 - least))) + 1e-6
+    w = w.withColumn("class", F.floor(F.log(F.length("t")) / step))
+    w = w.select("id", "t", "block", F.explode(F.array(F.struct("class", F.lit(False).alias("high")), F.struct((F.col("class") - 1).alias("class"), F.lit(True).alias("high")))).alias("c")).select("id", "t", "block", "c.*")
+    size = w.groupBy("block", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("high")).alias("low")).filter("n > 1 AND low > 0").select("block", "class", F.ceil(F.col("n") / largest).cast("int").alias("chunks"))
+    w = w.join(size, ["block", "class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    w = w.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = w.select("id", "t", "high", "chunk", "block", "class", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    found = cells.groupBy("block", "class", "i", "j").applyInArrow(_near_titles(least), f"id_a {w.schema['id'].dataType.simpleString()}, id_b {w.schema['id'].dataType.simpleString()}, score double")
+    return found.select("id_a", "id_b", "score", F.when(F.col("score") >= likely, "likely").otherwise("possible").alias("label"))
 
 
 def duplicate_report(refs: DataFrame) -> DataFrame:

@@ -297,8 +297,8 @@ def fuzzy_titles(spark, sf_dir):
     """Near-equal first lines of documents, blocked by their first word."""
     from codexlake.operators.dedup import fuzzy_title_pairs
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title")).filter("length(title) BETWEEN 25 AND 400")
-    return fuzzy_title_pairs(d)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    return fuzzy_title_pairs(d.filter((F.length("title") > 10) & (F.length(T.udf_ascii_title()("title")) >= 10)))
 
 
 @query("d20_import_anti", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_partkey NOT IN (SELECT s_suppkey FROM supplier)")

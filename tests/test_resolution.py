@@ -52,6 +52,31 @@ def test_conflicts_and_collisions(spark):
     assert dedup.duplicate_report(refs).filter("rule = 'isbn'").first().n == 2
 
 
+def test_fuzzy_titles_of_large_blocks(spark, sf):
+    """One first word in 450 titles, more than a block once held, against all pairs."""
+    import random
+
+    from codexlake.functions import text as T
+    from codexlake.plans.carriers import fuzzy_titles
+
+    r = random.Random(2)
+    titles = ["the " + " ".join(r.choice(["tide", "wave", "reef", "kelp", "moon", "sand"]) + str(r.randrange(3)) for _ in range(r.randrange(2, 9))) for _ in range(430)]
+    titles += [t[: r.randrange(12, len(t))] + "x" for t in titles[:20] if len(t) > 12]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    want = {(a, b): T.token_sort_ratio(titles[a], titles[b]) for b in range(len(titles)) for a in range(b) if abs(len(titles[a]) - len(titles[b])) <= 0.4 * max(len(titles[a]), len(titles[b]))}
+    got = [(r.id_a, r.id_b, r.score) for r in dedup.fuzzy_title_pairs(df).collect()]
+    assert len(got) > 100 and sorted(got) == sorted((*k, v) for k, v in want.items() if v >= 90)
+    lines = {x.doc_id: x.text.split("\n")[0] for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = {i for x in fuzzy_titles(spark, sf).collect() for i in (x.id_a, x.id_b)}
+    print(len(held), sum(not 25 <= len(lines[i]) <= 400 for i in held))
+    copies = {}
+    for i, t in lines.items():
+        words = T.ascii_title(t)
+        if len(t) > 10 and len(words) >= 10 and len(words.split()[0]) >= 3:
+            copies.setdefault(words, []).append(i)
+    assert {i for ids in copies.values() if len(ids) > 1 for i in ids} <= held
+
+
 def test_fusion(spark):
     person = lambda f, g, o=None: (f, g, o, None)
     rows = [
