@@ -1,15 +1,18 @@
 """HTML extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams a page's events. Text is gathered in blocks (lines: what stands between two
-block-level borders), each with its number of tags and its share of link text. Ratios of text to tags are smoothed over
-neighbouring lines by a Gaussian and divided into two clusters; the lines above the threshold are content. The region is
-the deepest container that holds most of the content's text, and all its blocks are taken but those of parts that are
-marked as something else (menus, forms, adverts, comments ...) or that hold no content line of their own.
+The standard library's parser streams a page's events. Text is gathered in lines (what stands between two block-level
+borders), each with its tags and its share of link text. A line's ratio is its unlinked text over its tags, where an
+enclosing form, advert, comment list and the like counts as WEIGHT tags, and text of menus, headers and footers as link
+text. Ratios are smoothed by a Gaussian within a stretch of equal weight and divided into two clusters on a logarithmic
+scale; lines above the threshold are content. So a class name decides nothing by itself: a wrapper around the whole page
+weighs on all its lines alike, and the clustering still finds the article among them. Short lines come back if they
+stand in a container that holds content.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -19,45 +22,83 @@ from pyspark.sql import functions as F
 
 FEED = 1 << 18
 SIGMA = 1.5
-#: Share of the content lines' text that the region must hold.
-COVER = 0.75
+#: Tags that an enclosing part which is marked as something else counts for in a line's ratio.
+WEIGHT = 1000.0
+#: Marks beyond this many weigh no more.
+DEEPEST = 4
+#: Share of a page's unlinked text that a marked container must hold, beside its title, to be a wrapper of the article.
+WRAPPER = 0.4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea option svg math iframe object canvas audio video dialog menu".split())
-CONTAINERS = frozenset("html body main article section div td th table center ul ol dl blockquote figure details header hgroup".split())
+#: Elements whose text is no text of the page.
+UNSEEN = frozenset("head title script style noscript template select textarea option svg math iframe object canvas audio video".split())
+#: Elements whose text counts as link text; a header's only outside the article.
+ASIDE = frozenset("nav footer aside dialog menu button".split())
+CONTAINERS = frozenset("html body main article section div td th table center ul ol dl blockquote figure details header hgroup footer nav aside form dialog menu".split())
 SOFT = frozenset("td th table ul ol dl blockquote figure details hgroup".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr thead tbody tfoot caption figcaption address hr summary fieldset legend".split()) | DROPPED
+BLOCKS = CONTAINERS | UNSEEN | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr thead tbody tfoot caption figcaption address hr summary fieldset legend button".split())
 #: Words of class, id and role that mark something other than the article.
 MARKED = frozenset(
-    """ad ads advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs byline-ads comment comments
+    """ad ads advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments
     commentlist complementary consent contentinfo cookie cookies copyright dialog discussion disqus footer form gdpr login menu menubar
     modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended
     related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget
     widgets alert masthead topbar""".split()
 )
-_PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Words beside a marked one that make a class name say how a page looks or behaves, not what the part is.
+STATE = frozenset("has have with without no not is show shows hide hides hidden enabled disabled enable disable open closed allow allows count layout page".split())
+ARTICLE = frozenset("post article entry story content".split())
+_PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 #: A start tag of these ends an open element of the same kind.
-_SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SIBLINGS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: ... but never beyond these.
-_BORDER = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "p": {"td", "th", "li", "div", "section", "article", "blockquote", "body"}, "option": {"select"}}
+_BORDER = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": ("td", "th", "li", "div", "section", "article", "blockquote", "body"), "option": ("select",)}
+_HEADINGS = ("h2", "h3", "h4", "h5", "h6")
+#: A stray end tag of an inner element closes none of these.
+_STRONG = ("article", "main", "body", "table", "td")
+
+
+def _words(value: str | None) -> list[list[str]]:
+    """Lower-cased words of each name of a class, id or role."""
+    return [[w.lower() for w in _PART.split(name) if w] for name in (value or "").split()]
 
 
 class _Events(HTMLParser):
-    """Gathers a page's blocks."""
+    """Gathers a page's lines and its tree of containers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, dropped, container
+        self.open: list[tuple[str, bool, int]] = []  # tag, unseen, container
+        self.places: dict[str, list[int]] = defaultdict(list)  # tag -> where it is open, so that no lookup scans the stack
         self.parent = [-1]
         self.kind = ["#"]
-        self.blocks: list[tuple[str, int, int, int]] = []  # text, tags, link characters, container
-        self.links = self.drops = self.tags = self.linked = 0
+        self.mark = [False]
+        self.aside = [False]
+        self.titled: list[int] = [-1]  # container of the first title outside of marked elements, or of the article
+        self.blocks: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, container, lesser heading
+        self.links = self.hidden = self.tags = self.linked = 0
         self.articles = 0
         self.parts: list[str] = []
 
     def updatepos(self, i, j):
         return j  # positions are not needed
 
+    def goahead(self, end):
+        # where the last tag and comment of what is read end: beyond, none is looked for again and again
+        self.last_tag, self.last_comment, self.ending = self.rawdata.rfind(">"), self.rawdata.rfind("-->"), end
+        super().goahead(end)
+
+    def parse_starttag(self, i):
+        return super().parse_starttag(i) if i < self.last_tag else -1
+
+    def parse_endtag(self, i):
+        return super().parse_endtag(i) if i < self.last_tag else -1
+
+    def parse_comment(self, i, report=1):
+        if i < self.last_comment:
+            return super().parse_comment(i, report)
+        return len(self.rawdata) if self.ending else -1  # an open comment ends with the page
+
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i, report)
 
@@ -65,26 +106,45 @@ class _Events(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.tags, self.linked, self.open[-1][2] if self.open else 0))
+                self.blocks.append((text, self.tags, self.linked, self.open[-1][2] if self.open else 0, self._last(_HEADINGS) >= 0))
                 self.tags = 0
             self.parts.clear()
             self.linked = 0
 
+    def _push(self, tag: str, unseen: bool, container: int) -> None:
+        self.places[tag].append(len(self.open))
+        self.open.append((tag, unseen, container))
+        self.hidden += unseen
+        self.links += tag == "a"
+        self.articles += tag in ("article", "main")
+
     def _pop(self) -> None:
-        tag, dropped, _ = self.open.pop()
-        self.drops -= dropped
+        tag, unseen, _ = self.open.pop()
+        self.places[tag].pop()
+        self.hidden -= unseen
         self.links -= tag == "a"
         self.articles -= tag in ("article", "main")
 
+    def _last(self, tags) -> int:
+        """Where the innermost open element of these is, or -1."""
+        return max((at[-1] for at in map(self.places.get, tags) if at), default=-1)
+
+    def _aside(self, tag: str, here: int) -> bool:
+        """Whether an element's name says that it is something other than the article."""
+        return tag in ASIDE or (tag == "header" and not self.articles and self.kind[here] != "+")
+
     def _marked(self, tag: str, attrs) -> bool:
-        if tag in ("html", "body", "main", "article"):
+        """Whether an element is marked as something other than the article."""
+        if tag in ("html", "body", "main"):
             return False
+        if tag == "form":
+            return True
         for name, value in attrs:
-            if value and name in ("class", "id", "role") and not MARKED.isdisjoint(_PART.split(value.lower())):
+            if name in ("class", "id", "role") and any(not MARKED.isdisjoint(w) and STATE.isdisjoint(w) for w in _words(value)):
                 return True
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            if name == "aria-hidden" and value == "true":
                 return True
-        return tag == "header" and not self.articles
+        return False
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -95,43 +155,41 @@ class _Events(HTMLParser):
             self._flush()
             same = _SIBLINGS.get(tag)
             if same:
-                border = _BORDER[tag]
-                for k in range(len(self.open) - 1, -1, -1):
-                    if self.open[k][0] in same:
-                        while len(self.open) > k:
-                            self._pop()
-                        if tag not in ("tr", "td", "th"):
-                            break
-                    elif self.open[k][0] in border:
-                        break
-        self.tags += not self.drops
+                border = self._last(_BORDER[tag])
+                at = min((p[-1] for p in map(self.places.get, same) if p and p[-1] > border), default=-1) if tag in ("tr", "td", "th") else self._last(same)
+                if at > border:
+                    while len(self.open) > at:
+                        self._pop()
+        self.tags += not self.hidden
         if tag in VOID:
             return
         here = self.open[-1][2] if self.open else 0
-        dropped = tag in DROPPED or bool(attrs and (block or tag == "span") and self._marked(tag, attrs)) or (tag == "header" and not self.articles)
-        if tag in CONTAINERS and not dropped:
+        unseen = tag in UNSEEN or any(n == "hidden" for n, _ in attrs)
+        aside = self._aside(tag, here)
+        marked = (block or (tag == "span" and bool(attrs))) and self._marked(tag, attrs)
+        if (tag in CONTAINERS or marked or aside) and not unseen:
             self.parent.append(here)
-            self.kind.append(tag)
+            said = not marked and tag in ("div", "section") and any(not ARTICLE.isdisjoint(w) for n, v in attrs if n in ("class", "id") for w in _words(v))
+            self.kind.append("+" if said else tag)
+            self.mark.append(marked)
+            self.aside.append(aside or self.aside[here])
             here = len(self.parent) - 1
-        self.open.append((tag, dropped, here))
-        self.drops += dropped
-        self.links += tag == "a"
-        self.articles += tag in ("article", "main")
+        if tag in ("h1", "article", "main") and not unseen and self.titled[0] < 0 and self._last(("header", "nav", "footer", "aside")) < 0:
+            self.titled[0] = here
+        self._push(tag, unseen, here)
 
     def handle_endtag(self, tag):
-        if tag == "br" or (tag == "p" and not any(t == "p" for t, _, _ in self.open)):
+        at = self.places.get(tag)
+        if tag == "br" or (tag == "p" and not at):
             self.parts.append(" ")
             return
         if tag in BLOCKS:
             self._flush()
-        self.tags += not self.drops
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if tag not in CONTAINERS and self.open[k][0] in ("article", "main", "body", "table", "td"):
-                return  # a stray end tag of an inner element closes no outer one
+        self.tags += not self.hidden
+        if at and (tag in CONTAINERS or at[-1] >= self._last(_STRONG)):
+            stop = at[-1]
+            while len(self.open) > stop:
+                self._pop()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -139,7 +197,7 @@ class _Events(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if not self.drops:
+        if not self.hidden:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
@@ -172,6 +230,59 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _depths(events: _Events, unlinked: np.ndarray) -> np.ndarray:
+    """Marks around each container; a marked container that wraps the article does not count."""
+    n = len(events.parent)
+    held = np.zeros(n)
+    for block, text in zip(events.blocks, unlinked):
+        held[block[3]] += text
+    for c in range(n - 1, 0, -1):  # parents come before their children
+        held[events.parent[c]] += held[c]
+    wraps = set()
+    c = events.titled[0]
+    while c > 0:
+        if held[c] >= WRAPPER * held[0]:
+            wraps.add(c)
+        c = events.parent[c]
+    depth = np.zeros(n, dtype=np.int64)
+    for c in range(1, n):
+        depth[c] = min(DEEPEST, depth[events.parent[c]] + (events.mark[c] and c not in wraps))
+    return depth
+
+
+def content_lines(events: _Events, cut: float | None = None) -> np.ndarray:
+    """Which of a page's lines are chosen. A `cut` given replaces the clustering's threshold."""
+    length = np.array([len(b[0]) for b in events.blocks], dtype=float)
+    tags = np.array([b[1] for b in events.blocks], dtype=float)
+    linked = np.array([b[2] for b in events.blocks], dtype=float)
+    where = np.array([b[3] for b in events.blocks])
+    linked = np.where(np.array(events.aside)[where], length, linked)
+    unlinked = np.maximum(length - linked, 0)
+    depth = _depths(events, unlinked)[where]
+    ratio = unlinked / (np.maximum(1, tags) * WEIGHT**depth)
+    even = ratio.copy()
+    borders = np.flatnonzero(np.diff(depth)) + 1
+    for a, b in zip(np.concatenate(([0], borders)), np.append(borders, len(ratio))):
+        even[a:b] = smooth(ratio[a:b])
+    if not ratio.any():
+        return np.zeros(len(ratio), bool)
+    value = np.log(np.maximum(even / ratio.max(), 1 / WEIGHT))
+    content = (value >= (threshold(value) if cut is None else cut)) & (2 * linked < length)
+    level = int(np.bincount(depth[content], weights=(unlinked / WEIGHT**depth)[content], minlength=1).argmax())
+    # short lines come back where their container, or the list, table or quotation they stand in, is among content
+    good = np.zeros(len(events.parent), bool)
+    good[where[content]] = True
+    text_of, link_of = np.bincount(where, weights=length, minlength=len(good)), np.bincount(where, weights=linked, minlength=len(good))
+    for c in range(1, len(good)):
+        good[c] |= events.kind[c] in SOFT and not events.mark[c] and good[events.parent[c]] and 2 * link_of[c] <= text_of[c]
+    chosen = content | (good[where] & (2 * linked < length) & (depth <= level))
+    # a lesser heading that only links of its own part follow announces them
+    for i in np.flatnonzero(chosen)[::-1]:
+        if events.blocks[i][4] and i + 1 < len(chosen) and not chosen[i + 1] and not events.aside[where[i + 1]] and 2 * linked[i + 1] >= length[i + 1]:
+            chosen[i] = False
+    return chosen
+
+
 def extract_text(html: str | None) -> str:
     """The article's text of one page, blocks joined by two line feeds; '' if there is none."""
     if not html:
@@ -180,45 +291,9 @@ def extract_text(html: str | None) -> str:
     for at in range(0, len(html), FEED):
         events.feed(html[at : at + FEED])
     events.finish()
-    blocks = events.blocks
-    if not blocks:
+    if not events.blocks:
         return ""
-    length = np.array([len(b[0]) for b in blocks], dtype=float)
-    tags = np.array([b[1] for b in blocks], dtype=float)
-    linked = np.array([b[2] for b in blocks], dtype=float)
-    ratio = np.maximum(length - linked, 0) / np.maximum(1, tags)
-    smoothed = np.log1p(smooth(ratio))
-    content = smoothed >= threshold(smoothed)
-    if not content.any():
-        content[:] = True
-    where = [b[3] for b in blocks]
-    weight = np.zeros(len(events.parent))
-    for c, keep, n in zip(where, content, length):
-        if keep:
-            weight[c] += n
-    for c in range(len(weight) - 1, 0, -1):  # parents come before their children
-        weight[events.parent[c]] += weight[c]
-    region = 0
-    for c in range(1, len(weight)):  # the last and so deepest that holds enough
-        if weight[c] >= COVER * weight[0] and events.kind[c] not in ("ul", "ol", "dl", "table", "blockquote", "figure"):
-            region = c
-    for c in range(1, len(weight)):  # an article element that holds enough is the region as a whole
-        if events.kind[c] in ("article", "main") and weight[c] >= COVER * weight[0]:
-            region = c
-    inside = [False] * len(weight)
-    inside[region] = True
-    for c in range(region + 1, len(weight)):
-        inside[c] = inside[events.parent[c]]
-    if events.kind[region] in ("article", "main"):
-        return "\n\n".join([b[0] for b in blocks if inside[b[3]]])
-    text_of, linked_of = [0] * len(weight), [0] * len(weight)
-    for text, _, n, c in blocks:
-        text_of[c] += len(text)
-        linked_of[c] += n
-    good = [False] * len(weight)
-    for c in range(region, len(weight)):  # lists, tables and quotations belong to what they stand in, unless they are links
-        good[c] = c == region or weight[c] > 0 or (inside[c] and events.kind[c] in SOFT and good[events.parent[c]] and 2 * linked_of[c] <= text_of[c])
-    return "\n\n".join([b[0] for b in blocks if inside[b[3]] and good[b[3]]])
+    return "\n\n".join([b[0] for b, keep in zip(events.blocks, content_lines(events)) if keep])
 
 
 def _run(batches):
@@ -232,7 +307,7 @@ def _run(batches):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html, ...) -> page_id, url, text, n_chars; one row per input row.
 
-    Null and empty pages, and pages without text, give '' and 0. n_chars counts code points. Pages without an article
-    element give the region found by ratios. Nothing is capped; other columns are ignored.
+    Null and empty pages, and pages without text, give '' and 0. n_chars counts code points. Lines that are mostly link
+    text are left out wherever they stand. Nothing is capped; other columns are ignored.
     """
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_run, "page_id long, url string, text string, n_chars long")

@@ -328,6 +328,48 @@ def test_pages_against_their_article_element(spark, sf):
         assert html_extract.extract_text(p.html) == "\n\n".join(b for b in blocks if b)
 
 
+ARTICLE = "<h1>Title of it</h1><p>" + "This is a long paragraph of words. " * 8 + "</p><p>Short.</p><p>" + "Another paragraph of words here. " * 6 + "</p>"
+COMMENTS = "<div id='comments'><h3>Comments</h3><p>" + "I like this article very much indeed. " * 30 + "</p><p>" + "Me too, a long comment. " * 40 + "</p></div>"
+NAV = "<nav><ul><li><a href=1>Home page</a><li><a href=2>About us all</a></ul></nav>"
+FOOT = "<footer>&copy; 2024 Foot and some more text which is long</footer>"
+WANT = "\n\n".join(("Title of it", " ".join(["This is a long paragraph of words."] * 8), "Short.", " ".join(["Another paragraph of words here."] * 6)))
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "layout-no-sidebar", "content with-comments", "post share-enabled", "page-form", "sidebar-wrapper"])
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<div>%s</div>"])
+def test_a_layout_class_around_the_page_loses_nothing(name, inner):
+    assert html_extract.extract_text(f"<html><body><div class='{name}'>{NAV}{inner % ARTICLE}{COMMENTS}</div>{FOOT}") == WANT
+
+
+def test_parts_beside_the_article():
+    links = "<h3>Read next</h3><ul><li><a href=x>Other article here</a><li><a href=y>One more</a></ul>"
+    page = f"<body><div class='siteFooter'>site foot text, all rights</div><article>{ARTICLE}{links}</article><div class=cookieNotice>We use cookies for all kinds of things.</div>{FOOT}"
+    assert html_extract.extract_text(page) == WANT
+    assert html_extract.extract_text(f"<body><form id=aspnetForm>{NAV}<div>{ARTICLE}</div></form>{FOOT}") == WANT
+    assert html_extract.extract_text(f"<div>{ARTICLE}</div><!-- open {COMMENTS}") == WANT
+
+
+def test_the_threshold_decides(sf):
+    import pyarrow.parquet as pq
+
+    changed = 0
+    for page in pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist():
+        events = html_extract._Events()
+        events.feed(page)
+        events.finish()
+        changed += not np.array_equal(html_extract.content_lines(events), html_extract.content_lines(events, cut=-np.inf))
+    assert changed > 10
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for part in ("<b></i>", "<a ", "<!--", "</", "<div></b>", "<li>x", "<![x[", "<a href='"):
+        began = time.perf_counter()
+        html_extract.extract_text(part * 20000)
+        assert time.perf_counter() - began < 5, part
+
+
 def test_nothing_is_read_twice_by_a_wide_plan(spark, hard):
     assert "CartesianProduct" not in near_dedup.near_duplicates(hard)._jdf.queryExecution().toString()
     assert hard.select(F.count("*")).first()[0] == len(hard_rows())
