@@ -16,22 +16,6 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and \t \n \v \f \r. ``bytes.split()`` splits on exactly these.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-#: Words kept in a worker's hash cache; it is emptied when full, so its memory is bounded.
-CACHE_WORDS = 400_000
-
-
-class HashCache(dict):
-    """word (bytes) -> unsigned 64-bit hash, computed on first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (shift, xor, multiply)."""
     x = x ^ (x >> np.uint64(30))
@@ -82,9 +66,10 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(col: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(col: pa.Array, fold: bool = True, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a string column, and where each row's words end among them.
 
+    With `kinds` (a value for each byte) a word also ends where its bytes' kind changes.
     Works on the column's buffer as it stands, PIECE bytes at a time, so memory is bounded for texts of any length.
     """
     data, offsets = text_buffer(col)
@@ -101,12 +86,16 @@ def word_hashes(col: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarra
             stop = at + int(gap[-1]) if len(gap) and gap[-1] > 0 else min(n, stop + PIECE)
         part = data[at:stop]
         inside = ~_GAP[part]
+        change = row_start[at + 1 : stop]
+        if kinds is not None:
+            kind = kinds[part]
+            change = change | (kind[1:] != kind[:-1])
         fresh = inside.copy()
-        fresh[1:] &= ~inside[:-1] | row_start[at + 1 : stop]
+        fresh[1:] &= ~inside[:-1] | change
         begin = np.flatnonzero(fresh)
         if len(begin):
             over = ~inside
-            over[1:] |= row_start[at + 1 : stop]
+            over[1:] |= change
             # a word ends where the next gap or row begins
             edge = np.append(np.flatnonzero(over), len(part))
             end = edge[np.searchsorted(edge, begin, side="right")]

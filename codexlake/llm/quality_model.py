@@ -1,9 +1,10 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer numpy network.
 
-Words fall into hashed buckets. A bucket's index vector is sparse and random; its word vector is the sum of the index
-vectors around its occurrences. Shape marks (symbols in a word, all capitals, a word that repeats the one before, a
-repeated five-word window ...) count as words too. Texts are pooled by the mean of their word vectors, the network's
-logit is divided by a temperature fitted on a calibration part of the labelled sample.
+Words and runs of signs fall into hashed buckets, as they are written. A bucket's index vector is sparse and random; its
+word vector is the sum of the index vectors around its occurrences in all documents. A text is pooled into the mean of
+its word vectors and the mean of the products of neighbouring ones (how much a word is like the next). The network's
+logit is divided by a temperature fitted on a calibration part of the labelled sample. Contexts are summed as whole
+numbers and vectors held in 1/256 steps, so neither the order of tasks nor a batch's other rows touch a score.
 """
 
 from __future__ import annotations
@@ -15,19 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.llm.common import discard, mix64, text_buffer, word_hashes, written
-from codexlake.llm.common import held_out
+from codexlake.llm.common import discard, held_out, word_hashes, written
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 14, 64, 6
 #: Labelled documents of either label that the model is fitted on, at most about; chosen by a hash of doc_id.
 SAMPLE = 4000
-MARKS = 8
 HIDDEN = 32
+#: Weights of words one, two and three apart.
+NEAR = (6, 3, 2)
+#: Tokens whose contexts are added up at once, and pooled at once.
+CHUNK, GROUP = 1 << 20, 1 << 13
+#: Parts of the table of vectors; sums of so many tasks are merged by one.
+SLICES, FAN = 16, 64
+#: Steps of a unit that vectors are held in; sums over a group of tokens fit 32 bits.
+GRID = 256
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    vectors: np.ndarray  # buckets x dimensions
+    vectors: np.ndarray  # buckets x dimensions, whole numbers of 1/GRID
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -37,110 +44,138 @@ class QualityModel:
     temperature: float
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse ternary index vectors of all buckets, always the same."""
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """Where and with which sign every bucket's sparse index vector is not zero, always the same."""
     rng = np.random.default_rng(7)
-    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    at = rng.integers(0, DIMENSIONS, (BUCKETS, NONZERO))
-    out[np.arange(BUCKETS)[:, None], at] = rng.choice(np.array([-1, 1], np.float32), (BUCKETS, NONZERO))
-    return out
+    return rng.integers(0, DIMENSIONS, (BUCKETS, NONZERO)), rng.choice(np.array([-1.0, 1.0]), (BUCKETS, NONZERO))
 
 
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[np.frombuffer(b"#*$%&|<>@^~=_{}[]\\", np.uint8)] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LOWER = np.zeros(256, bool)
-_LOWER[97:123] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_BANG = np.zeros(256, bool)
-_BANG[[33, 63]] = True
-_GAP = np.zeros(256, bool)
-_GAP[[32, 9, 10, 11, 12, 13]] = True
+#: Kinds of bytes that a word is cut between: signs of ASCII apart from letters, digits and all beyond ASCII.
+_KINDS = np.array([int(i < 128 and not chr(i).isalnum()) for i in range(256)], np.uint8)
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, end of each row among them): every word's bucket and those of its marks, row by row."""
-    words, ends = word_hashes(col)
-    data, offsets = text_buffer(col)
-    n = len(words)
-    rows = len(ends)
-    row = np.repeat(np.arange(rows), np.diff(np.concatenate(([0], ends))))
-    buckets = (words >> np.uint64(20)).astype(np.int64) % (BUCKETS - MARKS) + MARKS
-    marked = np.zeros((MARKS, n), bool)
-    if n:
-        inside = ~_GAP[data]
-        fresh = inside.copy()
-        fresh[1:] &= ~inside[:-1]
-        borders = offsets[1:-1][offsets[1:-1] < len(data)]
-        fresh[borders] |= inside[borders]
-        starts = np.flatnonzero(fresh)
-        for k, kind in enumerate((_SYMBOL, _UPPER, _LOWER, _DIGIT, _BANG)):
-            total = np.add.reduceat(kind[data].astype(np.int32), starts)
-            marked[k] = total > (1 if kind is _UPPER else 0)
-        marked[1] &= ~marked[2]  # capitals and no small letter
-        marked[2] = False
-        marked[2, 1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
-        if n >= 5:
-            with np.errstate(over="ignore"):
-                window = row[:-4].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for i in range(5):
-                    window = mix64(window + words[i : n - 4 + i])
-            whole = row[:-4] == row[4:]
-            at = np.flatnonzero(whole)
-            order = at[np.argsort(window[at], kind="stable")]
-            again = order[1:][window[order[1:]] == window[order[:-1]]]
-            marked[5, again] = True
-    lone = np.bincount(row, minlength=rows) < 5
-    marked[6] = lone[row] if n else False
-    keep = np.concatenate((np.ones((1, n), bool), marked))
-    value = np.concatenate((buckets[None, :], np.broadcast_to(np.arange(MARKS)[:, None], (MARKS, n))))
-    flat = value.T[keep.T]
-    return flat, np.concatenate(([0], np.cumsum(keep.sum(axis=0))))[ends]
+    """(buckets, end of each row among them) of every word and every run of signs, row by row."""
+    words, ends = word_hashes(col, fold=False, kinds=_KINDS)
+    return (words >> np.uint64(20)).astype(np.int64) % BUCKETS, ends
 
 
 def pooled(col: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector of each row (zeros without words)."""
+    """Mean word vector and mean product of neighbouring vectors of each row (zeros without words)."""
     flat, ends = tokens(col)
     starts = np.concatenate(([0], ends[:-1]))
-    out = np.zeros((len(ends), vectors.shape[1]), np.float64)
+    d = vectors.shape[1]
+    total = np.zeros((len(ends), 2 * d), np.int64)
     some = np.flatnonzero(ends > starts)
-    at = 0
-    while at < len(some):  # groups of rows of a bounded number of tokens; a longer row alone, in pieces
-        stop = at + 1
-        while stop < len(some) and ends[some[stop]] - starts[some[at]] <= 1 << 17:
-            stop += 1
-        a, b = starts[some[at]], ends[some[stop - 1]]
-        if stop == at + 1:
-            for x in range(a, b, 1 << 17):
-                out[some[at]] += vectors[flat[x : min(b, x + (1 << 17))]].sum(axis=0, dtype=np.float64)
-        else:
-            out[some[at:stop]] = np.add.reduceat(vectors[flat[a:b]], starts[some[at:stop]] - a, axis=0)
-        at = stop
-    out[some] /= (ends - starts)[some][:, None]
+    for at in range(0, len(flat), GROUP):  # groups of a bounded number of tokens, whatever the rows; sums are exact
+        stop = min(len(flat), at + GROUP)
+        rows = some[(starts[some] < stop) & (ends[some] > at)]
+        v = vectors[flat[at : min(len(flat), stop + 1)]].astype(np.int32)
+        begin = np.maximum(starts[rows], at) - at
+        total[rows, :d] += np.add.reduceat(v[: stop - at], begin, axis=0)
+        pair = v[:-1] * v[1:]
+        last = ends[rows] - 1 - at  # a row's last token has no neighbour
+        pair[last[last < len(pair)]] = 0
+        if len(pair):
+            fits = begin < len(pair)
+            total[rows[fits], d:] += np.add.reduceat(pair, begin[fits], axis=0)
+    n = np.maximum(1, ends - starts)[:, None]
+    out = total / np.concatenate((np.full(d, GRID), np.full(d, GRID * GRID))) / n
     return out
 
 
+def _around(flat: np.ndarray, row: np.ndarray, total: np.ndarray) -> None:
+    """Add the index vectors around every token to its bucket's sum."""
+    at, sign = index_vectors()
+    for gap, weight in enumerate(NEAR, 1):
+        same = row[gap:] == row[:-gap]
+        a, b = flat[:-gap][same], flat[gap:][same]
+        for x, y in ((a, b), (b, a)):
+            for k in range(NONZERO):
+                total += (weight * np.bincount(x * DIMENSIONS + at[y, k], weights=sign[y, k], minlength=len(total))).astype(np.int64)
+
+
+def _packed(total: np.ndarray):
+    """Sums -> a batch of (slice, buckets, sums), used buckets only."""
+    table = total.reshape(BUCKETS, DIMENSIONS)
+    used = np.flatnonzero(table.any(axis=1))
+    width = BUCKETS // SLICES
+    rows = [(s, used[used // width == s]) for s in range(SLICES)]
+    rows = [(s, u) for s, u in rows if len(u)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([s for s, _ in rows], pa.int32()), pa.array([u.astype(np.int32).tobytes() for _, u in rows], pa.binary()), pa.array([_small(table[u]).tobytes() for _, u in rows], pa.binary())],
+        names=["slice", "buckets", "sums"],
+    )
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if np.abs(x).max(initial=0) < 1 << 31 else x
+
+
+def _unpacked(total: np.ndarray, buckets: bytes, sums: bytes) -> None:
+    at = np.frombuffer(buckets, np.int32)
+    total.reshape(BUCKETS, DIMENSIONS)[at] += np.frombuffer(sums, np.int32 if len(sums) == 4 * DIMENSIONS * len(at) else np.int64).reshape(len(at), DIMENSIONS)
+
+
+_SUMS = "slice int, buckets binary, sums binary"
+
+
 def _contexts(batches):
-    """Texts -> one row: this task's sums of index vectors around every bucket."""
-    index = index_vectors()
-    total = np.zeros((BUCKETS, DIMENSIONS), np.float64)
-    seen = False
+    """Texts -> this task's sums of index vectors around every bucket."""
+    total = np.zeros(BUCKETS * DIMENSIONS, np.int64)
+    flats, rows, waiting, n = [], [], 0, 0
+
+    def flush():
+        if waiting:
+            _around(np.concatenate(flats), np.concatenate(rows), total)
+            flats.clear()
+            rows.clear()
+
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             flat, ends = tokens(batch.column(0).slice(i, 256))
-            row = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
-            for gap in (1, 2, 3):
-                if len(flat) > gap:
-                    same = row[gap:] == row[:-gap]
-                    pair, n = np.unique(flat[:-gap][same] * BUCKETS + flat[gap:][same], return_counts=True)
-                    a, b, n = pair // BUCKETS, pair % BUCKETS, n[:, None].astype(np.float64) / gap
-                    np.add.at(total, a, index[b] * n)
-                    np.add.at(total, b, index[a] * n)
-                    seen = True
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
+            flats.append(flat)
+            rows.append(n + np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends)))))
+            n += len(ends)
+            waiting += len(flat)
+            if waiting >= CHUNK:
+                flush()
+                waiting = 0
+    flush()
+    if total.any():
+        yield _packed(total)
+
+
+def _merged(batches):
+    """Sums of many tasks -> their total."""
+    total = np.zeros(BUCKETS * DIMENSIONS, np.int64)
+    for batch in batches:
+        for buckets, sums in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            _unpacked(total, buckets, sums)
+    if total.any():
+        yield _packed(total)
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """Random-indexing vectors of all buckets from the texts of all docs, as whole numbers of 1/GRID.
+
+    Tasks give sums of bounded size, which are merged FAN at a time on the executors; the driver gets one table.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    parts, sums = texts.rdd.getNumPartitions(), texts.mapInArrow(_contexts, _SUMS)
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        sums = sums.repartition(parts).mapInArrow(_merged, _SUMS)
+    total = np.zeros(BUCKETS * DIMENSIONS, np.int64)
+    for row in sums.repartition(SLICES, "slice").mapInArrow(_merged, _SUMS).toArrow().to_pylist():
+        _unpacked(total, row["buckets"], row["sums"])
+    vectors = total.reshape(BUCKETS, DIMENSIONS).astype(np.float64)
+    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    vectors = np.where(length > 0, vectors / np.maximum(length, 1e-9), 0)
+    used = length[:, 0] > 0
+    if used.any():
+        vectors[used] -= vectors[used].mean(axis=0)
+    return np.rint(vectors * GRID).astype(np.int16)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple:
@@ -175,28 +210,20 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Fit on docs(doc_id, text) with labels(doc_id, quality) that are not held out.
+    """Word vectors from all texts of docs(doc_id, text); the network from labels(doc_id, quality) that are not held out.
 
-    At most about `sample` documents of either label are used, chosen by a hash of doc_id: the only bound here, the
-    same at every size. Rows without a label or text are left out; without any labelled row every score is 0.5.
+    At most about `sample` documents of either label are used for the network, chosen by a hash of doc_id: the only
+    bound here, the same at every size. A doc_id with both labels counts for neither; rows without a label or text are
+    left out; without any labelled row every score is 0.5.
     """
-    y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    y = y.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
     sizes = {r["quality"]: r["n"] for r in y.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.create_map(*[v for k in (0, 1) for v in (F.lit(k), F.lit(min(1.0, sample / max(1, sizes.get(k, 0)))))])
     y = y.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1 << 20)) < share[F.col("quality")] * (1 << 20))
-    rows = docs.select("doc_id", F.col("text").cast("string")).filter("text IS NOT NULL").join(F.broadcast(y), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string")).filter("text IS NOT NULL").join(F.broadcast(y), "doc_id")  # about 2 * sample labels
     kept = written(rows.select("doc_id", "text", "quality"), "quality-sample")
-    sums = kept.select("text").coalesce(8).mapInArrow(_contexts, "sums binary").toArrow()["sums"].to_pylist()
-    vectors = np.zeros((BUCKETS, DIMENSIONS), np.float64)
-    for s in sums:
-        vectors += np.frombuffer(s, np.float32).reshape(BUCKETS, DIMENSIONS)
-    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    vectors = np.where(length > 0, vectors / np.maximum(length, 1e-9), 0)
-    used = length[:, 0] > 0
-    if used.any():
-        vectors[used] -= vectors[used].mean(axis=0)
-    vectors[:MARKS] += 4 * index_vectors()[:MARKS]
-    vectors = vectors.astype(np.float32)
+    vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches):
@@ -206,14 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
                 x = pooled(part.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = kept.select("doc_id", "text", "quality").mapInArrow(pool, "doc_id long, quality int, x binary").toArrow()
+    got = kept.mapInArrow(pool, "doc_id long, quality int, x binary").toArrow()
     discard(kept)
     if not got.num_rows:
-        zero = np.zeros(DIMENSIONS)
-        return QualityModel(vectors, zero, zero + 1, np.zeros((DIMENSIONS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    x = np.stack([np.frombuffer(r) for r in got["x"].to_pylist()])[order]
-    return QualityModel(vectors, *_fit(x, got["quality"].to_numpy().astype(float)[order]))
+        zero = np.zeros(2 * DIMENSIONS)
+        return QualityModel(vectors, zero, zero + 1, np.zeros((2 * DIMENSIONS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
+    found = sorted(zip(got["doc_id"].to_pylist(), got["x"].to_pylist(), got["quality"].to_pylist()))
+    return QualityModel(vectors, *_fit(np.stack([np.frombuffer(r) for _, r, _ in found]), np.array([q for *_, q in found], dtype=float)))
 
 
 def score_texts(model: QualityModel, col: pa.Array) -> np.ndarray:
