@@ -116,9 +116,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         path = getattr(spark.sparkContext, "_codexlake_dir", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="codexlake-")

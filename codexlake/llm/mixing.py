@@ -50,17 +50,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return per.select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, copies, taken; a row per input row.
 
     size: words of the text (null and empty: 0, which takes part without effect). copies: whole repetitions plus one
     where the fractional repetition takes the row; taken = size * copies. Ties in the hash (repeated rows) go by
-    doc_id, then size, so reruns agree. A null source is a source. Weights must be positive; clashing extra columns
-    are ignored; an empty table gives an empty result.
+    doc_id, then size, so reruns agree; rows without a doc_id go by their text. A null source is a source. Weights must be
+    positive. Columns named in carry go along (for joins by a row's key); other columns are ignored; an empty table
+    gives an empty result.
     """
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "mix-sizes")
-    digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = sized.withColumn("u", digits)
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.col("text").cast("string"))), F.lit(""))))
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), mark.alias("u"), *carry), "mix-sizes")
     targets = source_targets(sized, weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("edge", F.lit(""))
@@ -76,13 +76,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
             state.join(last, F.expr("source <=> at_source"), "left").select("source", "source_size", "target", "whole", (F.col("left") - F.coalesce(F.col("at.start"), F.lit(0))).alias("left"), F.concat("edge", F.coalesce(F.col("at.digit"), F.lit(""))).alias("edge")),
             "mix-state",
         )
-    rows = sized.alias("d").join(state.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "d.size", "d.u", "s.source_size", "s.target", "s.whole", "s.left", "s.edge")
+    rows = sized.alias("d").join(state.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "d.size", "d.u", "s.source_size", "s.target", "s.whole", "s.left", "s.edge", *[f"d.{c}" for c in carry])
     at_edge = F.substring("u", 1, 2 * LEVELS) == F.col("edge")
     order = Window.partitionBy("source").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.filter(at_edge).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("extra", (F.col("before") + F.col("size") / 2.0 <= F.col("left")).cast("long")).drop("before")
     rest = rows.filter(~at_edge).withColumn("extra", (F.substring("u", 1, 2 * LEVELS) < F.col("edge")).cast("long"))
     both = edge.unionByName(rest).withColumn("copies", F.col("whole") + F.col("extra"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)
 
 
 ORACLE_SQL = r"""

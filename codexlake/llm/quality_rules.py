@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.llm.common import WORD_GAP, written
+from codexlake.llm.common import WORD_GAP, discard, written
 from codexlake.llm.mixing import GAPS
 
 #: Documents of a group, at least; smaller ones are pooled by language, then altogether.
@@ -185,12 +185,16 @@ def assess(docs: DataFrame) -> DataFrame:
     vectors = written(spark.sql(distinct_sql("{v}"), v=rows), "rules-vectors")
     medians = written(spark.sql(medians_sql("{v}"), v=vectors), "rules-medians")
     state = written(spark.sql(start_sql("{v}", "{m}"), v=vectors, m=medians), "rules-state")
+    spent = [vectors, medians, state]
     for step in range(STEPS + 1):
         factors = written(spark.sql(factor_sql("{s}"), s=state), "rules-factors")
         cuts = written(spark.sql(cut_sql("{v}", "{f}"), v=vectors, f=factors), "rules-cuts")
         if step < STEPS:
             state = written(spark.sql(step_sql("{v}", "{f}", "{c}"), v=vectors, f=factors, c=cuts), "rules-state")
+        spent += [factors, cuts, state]
     best = written(spark.sql(best_sql("{f}", "{c}"), f=factors, c=cuts), "rules-best")
+    for t in {id(t): t for t in spent}.values():
+        discard(t)
     return spark.sql(verdict_sql("{v}", "{b}"), v=rows, b=best)
 
 
