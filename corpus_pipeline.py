@@ -7,7 +7,7 @@ stage's result as Parquet into the shared folder and reads it again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexlake.llm import language_id, mixing, near_dedup, secrets, sentencepiece_bpe
@@ -19,11 +19,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.accepted(docs, language_id.train(docs))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, written so that it stays, and that column's name."""
+    key = "row"
+    while key in docs.columns:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates stays; repeated rows too become one."""
-    kept = near_dedup.near_duplicates(docs).filter("kept OR doc_id IS NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """One row of each group of near duplicates stays, that of smallest doc_id (null last).
+
+    Rows are compared, not ids: repeated rows become one, different texts under one doc_id both stay, and rows without
+    a doc_id take part like others.
+    """
+    rows, key = keyed(docs)
+    groups = near_dedup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key).alias("row")))
+    stay = groups.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(key))
+    return rows.join(stay, key, "left_semi").select(docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +47,9 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it (0 to 2), so that sources reach their target weights."""
-    twin = Window.partitionBy("doc_id").orderBy("source", "size")
-    copies = mixing.mix(docs).withColumn("twin", F.row_number().over(twin)).select(F.col("doc_id").alias("id"), "twin", "copies")
-    rows = docs.withColumn("size", mixing.word_count(F.col("text"))).withColumn("twin", F.row_number().over(twin))
-    rows = rows.alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.id AND d.twin = c.twin")).filter("c.copies > 0")
-    return rows.select([F.col(f"d.{c}") for c in docs.columns] + [F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("repetition")]).drop("repetition")
+    rows, key = keyed(docs)
+    copies = mixing.mix(rows, carry=(key,)).filter("copies > 0").select(key, F.sequence(F.lit(1), F.col("copies")).alias("times"))
+    return rows.join(copies, key).select(*docs.columns, F.explode("times")).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
