@@ -49,7 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it (0 to 2), so that sources reach their target weights."""
     rows, key = keyed(docs)
     copies = mixing.mix(rows, carry=(key,)).filter("copies > 0").select(key, F.sequence(F.lit(1), F.col("copies")).alias("times"))
-    return rows.join(copies, key).select(*docs.columns, F.explode("times")).select(docs.columns)
+    taken = rows.alias("d").join(copies.alias("c"), F.col(f"d.{key}") == F.col(f"c.{key}"))
+    return taken.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode("c.times").alias(key)).drop(key)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
