@@ -57,13 +57,12 @@ def tier_passes(queue: DataFrame, refs: DataFrame, handlers: dict[int, Callable[
 
     A handler takes its tier's queue rows and returns (ref_id, completeness, error).
     """
+    from codexlake.sources.tables import settled
     from codexlake.streaming.queue import dequeue
 
     out = None
     for tier in [*sorted(handlers), min(handlers)]:
-        rows = dequeue(queue, refs, tier, n)
-        if out is not None:
-            rows = rows.join(out.select("ref_id"), "ref_id", "left_anti")
-        done = handlers[tier](rows).withColumn("tier", F.lit(tier)).checkpoint()
+        rows = dequeue(queue, refs, tier, n, skip=out)  # those handled go before the n most urgent are taken
+        done = settled(handlers[tier](rows).withColumn("tier", F.lit(tier)))
         out = done if out is None else out.unionByName(done)
     return out

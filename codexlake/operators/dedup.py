@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.sources.tables import settled
 from codexlake.functions import text as T
 from codexlake.functions.model import filled
 from codexlake.functions.scalar import PLACEHOLDER_TITLES, quality_score
@@ -130,11 +131,11 @@ def dedup_all(refs: DataFrame, fill, everything: bool = False):
         rules.append(("url", lambda r: veto_conflicts(veto_titles(url_pairs(r), r, strict=True), r)))
         rules.append(("title_year_author", lambda r: veto_conflicts(title_year_author_pairs(r), r)))
     for name, rule in rules:
-        pairs = rule(refs).checkpoint()
+        pairs = settled(rule(refs))
         if pairs.isEmpty():
             continue
         live, gone, _ = apply_pairs(refs, pairs, fill, rule=f"same_{name}")
-        refs, gone = live.checkpoint(), gone.checkpoint()
+        refs, gone = settled(live), settled(gone)
         archived = gone if archived is None else archived.unionByName(gone)
     if archived is None:
         archived = refs.limit(0).withColumns({"merged_into": F.lit(""), "archive_rule": F.lit("")})

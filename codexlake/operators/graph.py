@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.sources.tables import settled
+
 
 def edges_of(payloads: DataFrame) -> DataFrame:
     """payloads(ref_id, work, referenced_works array) -> src, dst: distinct citation edges."""
@@ -54,21 +56,29 @@ def cited_by(cites: DataFrame, one) -> DataFrame:
     return cites.filter(F.col("dst") == F.lit(one)).select("src").distinct()
 
 
-def follow_chains(pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """pairs(node, into) of merges -> node, root: the end of each chain, by pointer doubling (2^rounds steps)."""
-    now = pairs.select("node", F.col("into").alias("root"))
-    for _ in range(rounds):
-        step = now.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        now = now.join(step, "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
-    return now
-
+def follow_chains(pairs: DataFrame) -> DataFrame:
+    """pairs(node, into) of merges -> node, root: the end of each chain, however long, by pointer doubling.
 
-def tree_paths(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """nodes(id, name, parent_id) -> id, path, depth: one join a level until no node is left (or the depth is reached)."""
-    level = nodes.filter("parent_id IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth):
-        level = nodes.join(level.select(F.col("id").alias("parent_id"), F.col("path").alias("_up")), "parent_id").select("id", F.concat_ws("/", "_up", "name").alias("path"), F.lit(d).alias("depth"))
+    Every round halves what is left of a chain, so as many as the number of pairs has binary digits reach all ends; it
+    stops when no pointer moves. A chain that runs into a circle has no end: its root is null.
+    """
+    now = settled(pairs.select("node", F.col("into").alias("root"), F.lit(True).alias("open")))
+    for _ in range(now.count().bit_length() + 1):
+        if now.filter("open").isEmpty():
+            break
+        step = now.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        now = now.join(step, "root", "left").select("node", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("open"))
+        now = settled(now)
+    return now.select("node", F.when(~F.col("open"), F.col("root")).alias("root"))
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """nodes(id, name, parent_id) -> id, path, depth: one join a level until no node is left. Circles have no root and no path."""
+    level = settled(nodes.filter("parent_id IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth")))
+    out, d = level, 0
+    while not level.isEmpty():
+        d += 1
+        level = settled(nodes.join(level.select(F.col("id").alias("parent_id"), F.col("path").alias("_up")), "parent_id").select("id", F.concat_ws("/", "_up", "name").alias("path"), F.lit(d).alias("depth")))
         out = out.unionByName(level)
     return out
 

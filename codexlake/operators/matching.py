@@ -111,3 +111,37 @@ def fill_empty(stored: DataFrame, found: DataFrame, columns: list[str], key: str
 def ingest_outcome(relevant: Column, known_id: Column, has_file: Column, resolved: Column) -> Column:
     """skipped / exists / attached / created / created_unresolved for one incoming file."""
     return F.when(~relevant, "skipped").when(known_id.isNotNull() & has_file, "exists").when(known_id.isNotNull(), "attached").when(resolved, "created").otherwise("created_unresolved")
+
+
+def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
+    """rows(id, words) -> a, b, jaccard of all pairs of sets whose Jaccard overlap reaches percent.
+
+    Sets that similar share one of each set's rarest words, as many as it may lack; only those are joined, so a word that
+    all sets hold makes no pairs.
+    """
+    each = rows.select("id", F.explode("words").alias("word"))
+    ranked = each.join(each.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
+    rarest = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("words"))
+    few = F.size("words") - F.ceil(F.size("words") * percent / 100).cast("int") + 1
+    keys = rarest.select("id", F.explode(F.slice("words", F.lit(1), few)).alias("word"))
+    pairs = keys.toDF("a", "word").join(keys.toDF("b", "word"), "word").filter("a < b").select("a", "b").distinct()
+    full = pairs.join(rows.toDF("a", "wa"), "a").join(rows.toDF("b", "wb"), "b")
+    both, either = F.size(F.array_intersect("wa", "wb")), F.size(F.array_union("wa", "wb"))
+    return full.filter(100 * both >= percent * either).select("a", "b", (both / either).alias("jaccard"))
+
+
+def titles_on_pages(titles: DataFrame, pages: DataFrame) -> DataFrame:
+    """titles(title_id, title), pages(page_id, page) -> title_id, page_id of all pages that hold a title's words (contained()).
+
+    A page that lacks at most 40 % of a title's words has one of its rarest, so only those are joined; they are ranked by
+    how many titles and pages hold them.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\W+"), lambda w: F.length(w) > 2))
+    t = titles.select("title_id", F.explode(words(F.col("title"))).alias("word"))
+    p = pages.select("page_id", F.explode(words(F.col("page"))).alias("word")).join(t.select("word").distinct(), "word", "left_semi")
+    often = p.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    each = t.join(often, "word", "left").groupBy("title_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"]).alias("ws"))
+    few = F.size("ws") - F.greatest(F.lit(2), F.ceil(F.size("ws") * 0.6).cast("int")) + 1
+    keys = each.filter(few > 0).select("title_id", F.explode(F.slice("ws", F.lit(1), few)).alias("word"))
+    pairs = p.join(keys, "word").select("title_id", "page_id").distinct()
+    return pairs.join(titles, "title_id").join(pages, "page_id").filter(contained(F.col("title"), F.col("page"))).select("title_id", "page_id")

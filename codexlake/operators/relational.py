@@ -165,3 +165,8 @@ def chunked(df: DataFrame, order: Sequence[str], size: int = 100) -> DataFrame:
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return parts.withColumn("_at", at).join(F.broadcast(before), "_p").withColumn("chunk", F.floor((F.col("_before") + F.col("_at")) / size)).drop("_p", "_at", "_before")
+
+
+def ranked(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """df with `rank`, its place from 1 in the whole order (which must be total), without a sort in one task."""
+    return chunked(df, order, 1).withColumn("rank", F.col("chunk") + 1).drop("chunk")

@@ -68,6 +68,20 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "doc").agg(F.sum(idf * weight).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
+def bm25_once(docs: DataFrame, doc: str, text: str, queries: DataFrame) -> DataFrame:
+    """bm25() without an index: texts are cut into words once, and only words that a query has leave their document."""
+    want = queries.select("qid", "term").distinct()
+    words = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ws"))
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("avgdl"))
+    hits = words.select("doc", F.size("ws").alias("dl"), F.explode("ws").alias("term")).join(want.select("term").distinct(), "term", "left_semi")
+    postings = hits.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = postings.join(df, "term").join(F.broadcast(stats)).select("doc", "term", (idf * weight).alias("w"))  # one row
+    return scored.join(want, "term").groupBy("qid", "doc").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("matched"))
+
+
 def search_all_prefixes(index: Index, words: Sequence[str]) -> DataFrame:
     """Library search: every word a prefix of some term (AND), ranked by BM25 of the terms found."""
     words = list(dict.fromkeys(w.lower() for w in words if w))

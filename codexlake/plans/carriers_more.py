@@ -13,9 +13,9 @@ from codexlake.registry import query
 from codexlake.sources.tables import table
 
 
-@query("a02_a18_json_lines", "SELECT event_id, (props::JSON->>'$.k')::INT AS k FROM events WHERE event_id % 2 = 0")
+@query("a02_a18_json_lines", "SELECT event_id, (props::JSON->>'$.k')::INT AS k FROM events")
 def json_lines(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 2 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", F.from_json("props", "k int").alias("r")).select("event_id", "r.k")
 
 
@@ -85,7 +85,7 @@ def conflicting_pairs(spark, sf_dir):
 @query("d19_local_candidates")
 def local_candidates(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("doi"), F.lit(None).cast("string").alias("pmid"), F.lit(None).cast("string").alias("arxiv_id"), F.lit(None).cast("string").alias("isbn"), F.col("p_name").alias("title"))
-    return matching.local_candidates(p.withColumnRenamed("id", "seed_id").filter("seed_id < '2'"), p)
+    return matching.local_candidates(p.withColumnRenamed("id", "seed_id"), p)
 
 
 @query("d22_guarded_collisions", "SELECT h.c_custkey AS holder, o.c_custkey AS other FROM customer h JOIN customer o ON h.c_nationkey = o.c_nationkey AND h.c_mktsegment = o.c_mktsegment AND h.c_custkey < o.c_custkey WHERE abs(h.c_acctbal - o.c_acctbal) < 300")
@@ -227,19 +227,21 @@ def token_sort(spark, sf_dir):
     return x.select("a", F.round(T.udf_token_sort()("ta", "tb"), 6).alias("sort_ratio"), F.round(T.udf_token_set()("ta", "tb"), 6).alias("set_ratio"), T.udf_titles_agree()("ta", "tb").alias("agree"))
 
 
-@query("j09_title_on_page", r"SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON b.item_id = d.doc_id WHERE len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\p{L}\p{N}_]+'), lambda w: length(w) > 2)), regexp_split_to_array(lower(d.text), '[^\p{L}\p{N}_]+'))) >= greatest(2, ceil(len(list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\p{L}\p{N}_]+'), lambda w: length(w) > 2))) * 0.6))")
+_LONG_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: length(w) > 2))"
+
+
+@query("j09_title_on_page", f"SELECT b.item_id, d.doc_id FROM (SELECT item_id, {_LONG_WORDS} AS q FROM benchmark) b JOIN (SELECT doc_id, {_LONG_WORDS} AS w FROM documents) d ON len(list_intersect(b.q, d.w)) >= greatest(2, ceil(len(b.q) * 0.6))")
 def title_on_page(spark, sf_dir):
-    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    x = b.select("item_id", F.col("text").alias("q")).join(d.select("doc_id", "text"), F.col("item_id") == F.col("doc_id"))
-    return x.filter(matching.contained(F.col("q"), F.col("text"))).select("item_id", "doc_id")
+    b, d = table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    return matching.titles_on_pages(b.toDF("title_id", "title"), d.toDF("page_id", "page")).toDF("item_id", "doc_id")
 
 
-@query("k05_duplicate_report", "SELECT 'possible' AS label, 'title' AS rule, lower(trim(t)) AS key, count(*) AS n FROM (SELECT substr(text, 1, 30) AS t FROM documents) WHERE trim(t) <> '' GROUP BY 3 HAVING count(*) > 1")
+@query("k05_duplicate_report", "SELECT 'possible' AS label, 'title' AS rule, lower(trim(t)) AS key, count(*) AS n FROM (SELECT split_part(text, chr(10), 1) AS t FROM documents) WHERE trim(t) <> '' GROUP BY 3 HAVING count(*) > 1")
 def duplicate_report(spark, sf_dir):
     from codexlake.functions.model import as_refs
     from codexlake.operators.dedup import duplicate_report as report
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 30).alias("title"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     return report(as_refs(d))
 
 
@@ -276,9 +278,9 @@ def tag_rules(spark, sf_dir):
     return tagged.filter(F.array_contains("tags", "metal")).select(F.col("id").cast("long").alias("p_partkey"))
 
 
-@query("n04_suggested_tags", r"SELECT doc_id AS id, w AS tag FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS rn FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_\-]+')) AS w FROM documents) JOIN (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS t FROM benchmark) ON t = w)) WHERE rn <= 10")
+@query("n04_suggested_tags", r"SELECT doc_id AS id, w AS tag FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS rn FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_\-]+')) AS w FROM documents) JOIN (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS t FROM benchmark) ON t = w)) WHERE rn <= 10")
 def suggested(spark, sf_dir):
     from codexlake.operators.tagging import suggest_tags
 
-    tags = table(spark, sf_dir, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(2)).alias("name"))
+    tags = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name"))
     return suggest_tags(table(spark, sf_dir, "documents"), tags, F.col("text"), id_col="doc_id")

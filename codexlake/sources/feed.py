@@ -20,7 +20,7 @@ class VersionLog(DataSource):
         return "version_log"
 
     def schema(self) -> str:
-        return "id string, title string, version int, batch_seq int"
+        return "id string, title string, version long, batch_seq long"
 
     def simpleStreamReader(self, schema):
         return _Reader(self.options["path"])
@@ -39,7 +39,7 @@ class _Reader(SimpleDataSourceStreamReader):
             v = int(p.stem)
             if v > after and (upto is None or v <= upto):
                 rows = [json.loads(x) for x in p.read_text().splitlines() if x.strip()]
-                out += [(r["id"], r.get("title"), v, v * 1_000 + i) for i, r in enumerate(rows)]
+                out += [(r["id"], r.get("title"), v, (v << 32) + i) for i, r in enumerate(rows)]
         return out
 
     def read(self, start: dict):

@@ -8,3 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One table of a folder of Parquet tables."""
     return spark.read.parquet(f"{base}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder; a folder of our own only where all runs in one process."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+            import tempfile
+
+            path = tempfile.mkdtemp(prefix="codexlake-")
+        sc.setCheckpointDir(path)
+    return df.checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,22 +36,34 @@ class VersionedTable:
         v = self.versions()[-1] if version is None else version
         return self.spark.read.parquet(f"{self.path}/v{v}")
 
-    def apply(self, batch: DataFrame, version: int) -> None:
-        """Merge a batch (columns of the table and batch_seq) as the given version."""
+    def apply(self, batch: DataFrame, version: int | None = None, mark: str | None = None) -> None:
+        """Merge a batch (columns of the table and batch_seq) as the given version, or as the next.
+
+        A version at or below the newest is skipped. A `mark` names the batch (a stream and its epoch): it is kept beside
+        the versions, and a batch whose mark is there is skipped. A batch is applied again if the driver was lost before
+        its mark was made, which changes nothing: upserts by key are idempotent.
+        """
         have = self.versions()
-        if have and version <= have[-1]:
+        fs, _ = self._fs()
+        seen = mark and self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_batches/{mark}")
+        if (seen and fs.exists(seen)) or (version is not None and have and version <= have[-1]):
             return
+        if version is None:
+            version = have[-1] + 1 if have else 1
         if have:
             base = self.read(have[-1])
             merged = upsert(base, batch, self.key, self.unique, keep=("created_at",) if "created_at" in base.columns else ())
         else:
             merged = latest(batch, [self.key], F.desc("batch_seq")).drop("batch_seq")
         merged.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        if seen:
+            fs.create(seen).close()
 
 
 def follow(changes: DataFrame, target: VersionedTable, checkpoint: str, available_now: bool = True):
     """Start a stream of changes (columns of the table and batch_seq) that upserts each micro-batch."""
-    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, epoch: target.apply(df, epoch + 1))
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # a checkpoint is one stream, whatever table it feeds
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, epoch: target.apply(df, mark=f"{stream}-{epoch}"))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -20,25 +20,34 @@ def enqueue(state: dict | None, priority: float, difficulty: int, level: int, co
     if state is None:
         return fresh(completeness, priority, level) | {"difficulty": difficulty}
     if state["status"] == "done":
-        return state | {"status": "pending", "attempts": 0, "priority": priority, "strategy_level": level, "last_error": "resurrected for deep repair"}
+        return state | {"status": "pending", "attempts": 0, "priority": priority, "strategy_level": level, "last_error": "taken up again"}
     return state | {"priority": max(state["priority"], priority)}
 
 
+#: Outcomes of an attempt in the order they are looked at: name, condition, what it changes. x holds the state, the
+#: completeness reached (now), the error, and the attempts made with this one (tries).
+_OUTCOMES = (
+    ("wait", lambda x: (x["error"] or "").startswith("cooldown"), lambda x: {"status": "pending", "last_error": x["error"]}),
+    ("reached", lambda x: x["now"] >= 0.8 or x["now"] - x["completeness_before"] > 0.05, lambda x: {"status": "done", "attempts": x["tries"], "last_error": None}),
+    ("given up", lambda x: x["strategy_level"] > 3, lambda x: {"status": "done", "attempts": x["tries"], "last_error": "given up: every strategy was tried"}),
+    ("set aside", lambda x: x["tries"] > 2, lambda x: {"status": "done", "attempts": x["tries"], "strategy_level": 4, "last_error": "set aside: left to the last strategy"}),
+    ("harder", lambda x: True, lambda x: {
+        "status": "pending", "attempts": x["tries"], "strategy_level": x["strategy_level"] + 1, "difficulty": min(3, x["strategy_level"] + 1),
+        "priority": round(max(0.0, 1.0 - x["now"]) * max(0.1, 1.0 / (1 + x["tries"])), 3), "last_error": x["error"],
+    }),
+)
+
+
+def outcome(state: dict, completeness: float, error: str | None = None) -> tuple[str, dict]:
+    """Name of an attempt's outcome and the state after it."""
+    x = state | {"now": completeness, "error": error, "tries": state["attempts"] + 1}
+    name, changes = next((name, changes) for name, holds, changes in _OUTCOMES if holds(x))
+    return name, state | changes(x)
+
+
 def complete(state: dict, completeness: float, error: str | None = None) -> dict:
-    """One attempt's outcome: cooldown, done, exhausted, deferred, or escalation at a lower priority."""
-    if error and error.startswith("cooldown"):
-        return state | {"status": "pending", "last_error": error}
-    attempts, level = state["attempts"] + 1, state["strategy_level"]
-    improved = completeness > state["completeness_before"] + 0.05
-    if improved or completeness >= 0.8:
-        return state | {"status": "done", "attempts": attempts, "last_error": None}
-    if level >= 4:
-        return state | {"status": "done", "attempts": attempts, "last_error": "exhausted: no match after full rescue"}
-    if attempts >= 3:
-        return state | {"status": "done", "attempts": attempts, "strategy_level": 4, "last_error": "deferred: hard tail (awaiting rescue)"}
-    level = min(level + 1, 4)
-    priority = round(max(0.0, 1.0 - completeness) * max(0.1, 1.0 / (1 + attempts)), 3)
-    return state | {"status": "pending", "attempts": attempts, "strategy_level": level, "difficulty": min(level, 3), "priority": priority, "last_error": error}
+    """The state after one attempt."""
+    return outcome(state, completeness, error)[1]
 
 
 def _fold(key: str, pdf: pd.DataFrame, state: dict | None) -> dict:

@@ -12,10 +12,10 @@ def test_transitions():
     one = queue.complete(s, 0.31)
     assert (one["status"], one["strategy_level"], one["priority"]) == ("pending", 1, pytest.approx(0.345))
     three = queue.complete(queue.complete(one, 0.31), 0.31)
-    assert three["status"] == "done" and three["strategy_level"] == 4 and three["last_error"].startswith("deferred")
+    assert three["status"] == "done" and three["strategy_level"] == 4 and three["last_error"].startswith("set aside")
     again = queue.enqueue(three, 2.0, 0, 4, 0.3)
     assert again["status"] == "pending" and again["attempts"] == 0
-    assert queue.complete(again, 0.31)["last_error"].startswith("exhausted")
+    assert queue.complete(again, 0.31)["last_error"].startswith("given up")
     assert queue.enqueue(s, 0.5, 0, 0, 0.3)["priority"] == 1.0 and queue.enqueue(None, 0.5, 2, 1, 0.3)["difficulty"] == 2
 
 
