@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.sources.tables import spread
+
 from codexlake.functions import text as T
 from codexlake.functions.model import filled
 
@@ -138,7 +140,7 @@ def titles_on_pages(titles: DataFrame, pages: DataFrame) -> DataFrame:
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\W+"), lambda w: F.length(w) > 2))
     t = titles.select("title_id", F.explode(words(F.col("title"))).alias("word"))
-    p = pages.select("page_id", F.explode(words(F.col("page"))).alias("word")).join(t.select("word").distinct(), "word", "left_semi")
+    p = spread(pages).select("page_id", F.explode(words(F.col("page"))).alias("word")).join(t.select("word").distinct(), "word", "left_semi")
     often = p.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     each = t.join(often, "word", "left").groupBy("title_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"]).alias("ws"))
     few = F.size("ws") - F.greatest(F.lit(2), F.ceil(F.size("ws") * 0.6).cast("int")) + 1

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.sources.tables import spread
+
 K1, B = 1.2, 0.75
 #: Words of the passage query: letters, digits, hyphens, longer than one, so many at most.
 QUERY_TERMS = 32
@@ -22,7 +24,7 @@ class Index:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of [A-Za-z0-9_-] and other letters, longer than one character."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_\-]+)")), lambda w: F.length(w) > 1)
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\-]+"), lambda w: F.length(w) > 1)
 
 
 def ref_document() -> Column:
@@ -71,7 +73,7 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
 def bm25_once(docs: DataFrame, doc: str, text: str, queries: DataFrame) -> DataFrame:
     """bm25() without an index: texts are cut into words once, and only words that a query has leave their document."""
     want = queries.select("qid", "term").distinct()
-    words = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ws"))
+    words = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))).select("doc", tokens(F.col("text")).alias("ws"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("avgdl"))
     hits = words.select("doc", F.size("ws").alias("dl"), F.explode("ws").alias("term")).join(want.select("term").distinct(), "term", "left_semi")
     postings = hits.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))

@@ -13,7 +13,7 @@ from codexlake.functions import text as T
 from codexlake.operators import aggregates as A
 from codexlake.operators import graph, matching, relational, search, vectors, windows
 from codexlake.registry import query
-from codexlake.sources.tables import table
+from codexlake.sources.tables import spread, table
 
 WORDS = r"[\p{L}\p{N}_\-]+"
 
@@ -77,7 +77,7 @@ def inverted_abstract(spark, sf_dir):
     """Texts are taken apart into {word: [positions]} and put together again."""
     from codexlake.sources.readers import abstract_from_positions
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     inv = d.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("pos")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("inv"))
     return inv.select("doc_id", abstract_from_positions(F.col("inv")).alias("abstract"))
 
@@ -538,7 +538,7 @@ def url_ranks(spark, sf_dir):
 
 @query("h20_passages")
 def passages(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.udf_passages()("text")).alias("ord", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.udf_passages()("text")).alias("ord", "text"))
     return d.select("doc_id", "ord", F.length("text").alias("n"))
 
 
@@ -611,7 +611,7 @@ def verbatim_quotes(spark, sf_dir):
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     run = lambda i: "xxhash64(" + ", ".join(f"get(h, {i} + {k})" for k in range(6)) + ")"
     hashed = F.transform(F.split(F.col("t"), " "), lambda w: F.xxhash64(w))
-    d = table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("t"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", norm(F.col("text")).alias("t"))
     b = table(spark, sf_dir, "benchmark").select("item_id", norm(F.col("text")).alias("t")).withColumn("h", hashed)
     grams = d.select("doc_id", hashed.alias("h")).select("doc_id", F.explode(F.expr(f"array_distinct(if(size(h) >= 6, transform(sequence(0, size(h) - 6), i -> {run('i')}), cast(array() as array<bigint>)))")).alias("gram"))
     long = F.size("h") >= 8  # a quote's first and last word may be cut by what stands beside it

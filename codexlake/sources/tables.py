@@ -23,3 +23,9 @@ def settled(df: DataFrame) -> DataFrame:
             path = tempfile.mkdtemp(prefix="codexlake-")
         sc.setCheckpointDir(path)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: rows of a table that is read in fewer parts (so a small one) are dealt out anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
