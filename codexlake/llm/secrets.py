@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.llm.common import discard, written
+
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-.@:%]{16,}={0,2}")
 _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
 #: A name that holds one of the words, looked at once from its beginning; possessive, so nothing is tried twice.
@@ -97,12 +99,22 @@ def features(value: str, before: str, after: str, words: frozenset[str] = frozen
 def dictionary(docs: DataFrame, most: int = DICTIONARY, often: int = OFTEN) -> frozenset[str]:
     """The corpus's most frequent words of 4 to 24 letters that stand free of letters and digits, lower-cased.
 
-    Counted over all texts; at most `most` words reach the driver, those seen under `often` times none.
+    Counted over all texts. Words come by levels of frequency (64 to a factor of e): the highest levels that together hold
+    at most `most` words, and none seen under `often` times; no more than those reach the driver.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])\p{L}{4,24}(?![\p{L}\p{N}])"), 0)).alias("word"))
     counted = words.groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= often)
-    return frozenset(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect())
+    counted = written(counted.select("word", F.floor(64 * F.log("n")).cast("int").alias("level")), "dictionary")
+    cut, total = 1 << 30, 0
+    for level, n in sorted(((r["level"], r["n"]) for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):  # some 2,600 levels at most
+        total += n
+        if total > most:
+            break
+        cut = level
+    found = frozenset(r["word"] for r in counted.filter(F.col("level") >= cut).select("word").collect())
+    discard(counted)
+    return found
 
 
 def findings_of(table: DataFrame, most: int = FINDINGS) -> list[Finding]:
