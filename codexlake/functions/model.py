@@ -53,6 +53,13 @@ TYPE_OF_CROSSREF = {
     "journal-article": "journal-article", "book": "book", "book-chapter": "book-chapter", "proceedings-article": "conference-paper",
     "posted-content": "preprint", "dissertation": "thesis", "dataset": "dataset", "report": "report", "reference-entry": "other", "monograph": "book",
 }
+TYPE_OF_OPENALEX = {
+    "journal-article": "journal-article", "book": "book", "book-chapter": "book-chapter", "proceedings-article": "conference-paper", "preprint": "preprint", "dissertation": "thesis", "dataset": "dataset",
+    "report": "report", "reference-entry": "other",
+}
+TYPE_OF_BASE = {
+    "11": "book", "111": "book-chapter", "121": "journal-article", "13": "conference-paper", "14": "report", "18": "thesis", "181": "thesis", "182": "thesis", "183": "thesis", "19": "preprint", "7": "dataset",
+}
 TYPE_OF_CSL = {
     "article-journal": "journal-article", "book": "book", "chapter": "book-chapter", "paper-conference": "conference-paper", "thesis": "thesis",
     "dataset": "dataset", "report": "report", "webpage": "website", "article": "preprint",

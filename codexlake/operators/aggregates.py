@@ -70,7 +70,7 @@ def source_tiers(refs: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str, most: int = 500) -> DataFrame:
-    """key, n, smallest and largest id of keys that occur more than once; the largest groups first. Members stay in df: group_members()."""
+    """key, n, smallest and largest id of keys that occur more than once; the largest groups first. Members: join df on the key."""
     g = df.filter(key.isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")).filter("n > 1")
     return g.orderBy(F.desc("n"), "key").limit(most)
 
@@ -147,3 +147,47 @@ def last_session(log: DataFrame, marker: str) -> DataFrame:
     """Log rows from the last line that holds the marker on (all rows without one)."""
     start = log.filter(F.contains("message", F.lit(marker))).agg(F.max("ts").alias("_start"))
     return log.join(F.broadcast(start)).filter("_start IS NULL OR ts >= _start").drop("_start")
+
+
+# What the log says of an outcome, and a provider's share of a batch.
+SAID = {"enriched": "Enriched", "requeued": "Re-queued", "save_failed": "save failed", "file_searches": "Searching PDF", "file_failures": "PDF download failed", "locked": "database is locked"}
+RESOLVED = r"(\w+) batch: resolved (\d+)/(\d+)"
+
+
+def session_metrics(log: DataFrame, said: dict[str, str] = SAID) -> DataFrame:
+    """One row: how many messages say each of the outcomes, with the first and last time of the log. One scan, no shuffle of rows."""
+    return log.agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n_lines"), *[F.count_if(F.contains("message", F.lit(text))).alias(name) for name, text in said.items()])
+
+
+def resolved_by_provider(log: DataFrame) -> DataFrame:
+    """provider, resolved, total, rate over the log's batches."""
+    part = lambda i: F.regexp_extract("message", RESOLVED, i)
+    rows = log.select(part(1).alias("provider"), F.try_to_number(part(2), F.lit("9" * 18)).cast("long").alias("resolved"), F.try_to_number(part(3), F.lit("9" * 18)).cast("long").alias("total")).filter("provider <> ''")
+    return rows.groupBy("provider").agg(F.sum("resolved").alias("resolved"), F.sum("total").alias("total")).withColumn("rate", F.col("resolved") / F.nullif("total", F.lit(0)))
+
+
+def throughput(log: DataFrame) -> DataFrame:
+    """One row from progress marks [i/n]: items from the first mark to the last, seconds between them, items a minute, days left."""
+    part = lambda i: F.try_to_number(F.regexp_extract("message", r"\[(\d+)/(\d+)\]", i), F.lit("9" * 18)).cast("long")
+    marks = log.select("ts", part(1).alias("at"), part(2).alias("of")).filter("at IS NOT NULL")
+    first, last = F.min(F.struct("at", "ts")), F.max(F.struct("at", "ts", "of"))
+    x = marks.agg(first.alias("f"), last.alias("l")).select((F.col("l.at") - F.col("f.at") + 1).alias("items"), (F.unix_timestamp("l.ts") - F.unix_timestamp("f.ts")).alias("seconds"), (F.col("l.of") - F.col("l.at")).alias("left"))
+    known = (F.col("seconds") > 0) & (F.col("items") > 1)
+    return x.select("items", "seconds", F.when(known, F.col("items") * 60.0 / F.col("seconds")).alias("per_minute"), F.when(known, F.col("left") * F.col("seconds") / F.col("items") / 86400.0).alias("days_left"))
+
+
+def outcome_counts(attempts: DataFrame, result: str = "result", folded: Sequence[str] = ("record",), by: Sequence[str] = ()) -> DataFrame:
+    """Passes by outcome; outcomes that begin with one of `folded` ('record:crossref') count under that word."""
+    name = F.coalesce(result, F.lit("unknown"))
+    for word in folded:
+        name = F.when(F.startswith(name, F.lit(word)), F.lit(word)).otherwise(name)
+    return attempts.groupBy(*by, name.alias("result")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_report(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row with a JSON object: the first row of each part under its name (null if it is empty). Parts are reports of one row."""
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.first(F.struct(*df.columns)).alias(name))
+        out = one if out is None else out.join(F.broadcast(one))  # one row each
+    return out.select(F.to_json(F.struct(*parts)).alias("report"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.functions import text as T
-from codexlake.functions.model import filled
+from codexlake.functions.model import filled, has_authors, is_strictly_complete
 from codexlake.operators.relational import cascade_lookup
 
 
@@ -66,3 +66,23 @@ def tier_passes(queue: DataFrame, refs: DataFrame, handlers: dict[int, Callable[
         done = settled(handlers[tier](rows).withColumn("tier", F.lit(tier)))
         out = done if out is None else out.unionByName(done)
     return out
+
+
+def metadata_candidates(refs: DataFrame, n: int) -> DataFrame:
+    """Records with a DOI that lack something or an open address: those short of a publisher only first, then by completeness and year."""
+    whole = F.coalesce(is_strictly_complete(), F.lit(False))
+    no_address = ~F.coalesce(filled("oa_url"), F.lit(False))
+    only_publisher = F.coalesce(filled("title") & has_authors() & F.col("year").isNotNull() & (F.col("year") != 0), F.lit(False)) & ~F.coalesce(filled("publisher"), F.lit(False))
+    rank = F.when(only_publisher, 1).when(~whole, 2).otherwise(3)
+    return refs.filter(filled("doi") & (~whole | no_address)).orderBy(rank, F.desc_nulls_last("completeness"), F.desc_nulls_last("year"), "id").limit(n)
+
+
+def file_candidates(refs: DataFrame, ledger: DataFrame, n: int) -> DataFrame:
+    """Records without a file that could get one, not tried in vain before: arXiv, open address, DOI; newest first."""
+    from codexlake.functions.scalar import entry_hash
+
+    missing = ~F.coalesce(filled("pdf_local"), F.lit(False)) & ~F.coalesce(filled("pdf_drive_id"), F.lit(False))
+    rank = F.when(filled("arxiv_id"), 1).when(filled("oa_url"), 2).when(filled("doi"), 3)
+    open_ones = refs.filter(missing & rank.isNotNull()).withColumn("entry_hash", entry_hash())
+    missed = ledger.filter(F.col("api").isin("pdf", "pdf_oa") & F.col("result").isin("miss", "error")).select(F.col("ref_id").alias("id"), "entry_hash")
+    return open_ones.join(missed, ["id", "entry_hash"], "left_anti").orderBy(rank, F.desc_nulls_last("year"), "id").limit(n).drop("entry_hash")

@@ -85,6 +85,20 @@ def udf_hit_score():
     return run
 
 
+def best_hits(refs: DataFrame, hits: DataFrame, least: float = 0.85) -> DataFrame:
+    """refs(id, title, surnames, series, volume, year), hits(ref_id, backend, title, url, snippet) -> ref_id, url, backend, score.
+
+    The best web hit of each record that is sure enough; equal scores go to the better address, then by name.
+    """
+    from codexlake.functions.scalar import url_rank
+
+    h = hits.select(F.col("ref_id").alias("id"), "backend", "url", F.col("title").alias("_hit"), "snippet")
+    x = refs.select("id", "title", "surnames", "series", "volume", "year").join(h, "id")
+    x = x.withColumn("score", F.round(udf_hit_score()("title", "surnames", "series", "volume", "year", "_hit", "snippet"), 6)).filter(F.col("score") >= least)
+    best = F.max_by(F.struct("url", "backend", "score"), F.struct("score", url_rank(F.col("url")), "url", "backend"))
+    return x.groupBy(F.col("id").alias("ref_id")).agg(best.alias("b")).select("ref_id", "b.*")
+
+
 def local_candidates(seeds: DataFrame, refs: DataFrame, most: int = 6) -> DataFrame:
     """seeds(seed_id, doi, pmid, arxiv_id, isbn, title) -> seed_id, id, score: the best local records by identifier or title."""
     from codexlake.operators.windows import capped_per_group

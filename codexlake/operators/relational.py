@@ -30,6 +30,20 @@ def in_given_order(df: DataFrame, key: str, ids: Sequence) -> DataFrame:
     return df.join(F.broadcast(wanted), key).orderBy("pos").drop("pos")
 
 
+def within_collection(refs: DataFrame, bridge: DataFrame, collection, text: str, key: str = "id") -> DataFrame:
+    """The records of one collection whose title or authors' family names hold the text, case ignored (empty text: all)."""
+    members = bridge.filter(F.col("collection_id") == F.lit(collection)).select(F.col("ref_id").alias(key))
+    low = F.lit(text.lower())
+    families = F.array_join(F.transform("authors", lambda a: F.coalesce(a["family"], F.lit(""))), " ")
+    hit = F.contains(F.lower(F.coalesce("title", F.lit(""))), low) | F.contains(F.lower(F.coalesce(families, F.lit(""))), low)
+    return refs.filter(hit).join(members, key, "left_semi")
+
+
+def shuffled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows in an order that looks random: by a seeded hash of the key, so reruns and other partitionings agree."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
 def newest(df: DataFrame, sequence: str, n: int, most: int = 1000) -> DataFrame:
     """The n most recently ingested rows, at most 1000."""
     return df.orderBy(F.desc(sequence)).limit(min(n, most))
@@ -92,6 +106,18 @@ def sparse_update(base: DataFrame, patch: DataFrame, key: str = "id") -> DataFra
     return joined.select([F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns])
 
 
+def set_integration_ids(base: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
+    """Ids that other services gave (and where files lie), null leaving a column as it is; the patch's `extras` (a JSON object) are added to the stored ones."""
+    if "extras" not in patch.columns:
+        return sparse_update(base, patch, key)
+    new, kind = "_more", "map<string,string>"
+    joined = sparse_update(base, patch.drop("extras"), key).join(patch.select(key, F.from_json("extras", kind).alias(new)), key, "left")
+    empty = F.create_map().cast(kind)
+    old, more = F.coalesce(F.from_json("extras", kind), empty), F.coalesce(new, empty)
+    both = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(more, k)), more)
+    return joined.withColumn("extras", F.when(F.col(new).isNull(), F.col("extras")).otherwise(F.to_json(both))).select(base.columns)
+
+
 def replace_unless_taken(base: DataFrame, changes: DataFrame, key: str = "id", unique: str = "doi") -> tuple[DataFrame, DataFrame]:
     """(changes with `unique` nulled where another row owns it, collisions(key, other, value))."""
     owner = base.filter(F.col(unique).isNotNull()).select(F.col(unique), F.col(key).alias("_owner"))

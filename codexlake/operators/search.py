@@ -95,6 +95,19 @@ def search_all_prefixes(index: Index, words: Sequence[str]) -> DataFrame:
     return scored.join(whole, "doc", "left_semi").select("doc", "score")
 
 
+def search_notes(notes: DataFrame, query: str, n: int = 10, project: str | None = None, include_inactive: bool = False) -> DataFrame:
+    """notes(id, project, status, claim, ...) with `score`: the n best for any of the query's words, active ones and one project's if asked.
+
+    Statistics are those of all notes; the filters only choose among the hits.
+    """
+    terms = notes.sparkSession.createDataFrame([(0, w) for w in query_terms(query)], "qid int, term string")
+    hits = bm25_once(notes, "id", "claim", terms).select(F.col("doc").alias("id"), "score")
+    for cond in (None if project is None else F.col("project") == project, None if include_inactive else F.col("status") == "active"):
+        if cond is not None:
+            notes = notes.filter(cond)
+    return notes.join(hits, "id").orderBy(F.round("score", 9).desc(), "id").limit(n)
+
+
 def fallback(docs: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
     """Substring search for queries that cannot be parsed; score 0.5."""
     safe = query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.functions.model import TYPE_OF_BIBTEX, TYPE_OF_CROSSREF, TYPE_OF_CSL, TYPE_OF_RIS, as_refs, lookup, schema
+from codexlake.functions.model import TYPE_OF_BASE, TYPE_OF_BIBTEX, TYPE_OF_CROSSREF, TYPE_OF_CSL, TYPE_OF_OPENALEX, TYPE_OF_RIS, as_refs, lookup, schema
 
 #: What the splitters give for each record.
 RAW = schema(
@@ -446,7 +446,7 @@ def _openalex(r: Column) -> dict[str, Column]:
         "doi": F.lower(F.regexp_replace(r["doi"], "^https?://doi.org/", "")), "title": r["title"], "year": r["publication_year"], "citation_count": r["cited_by_count"], "open_access": r["open_access"]["is_oa"], "oa_url": r["open_access"]["oa_url"],
         "authors": _people(r["authorships"], lambda a: F.regexp_extract(a["author"]["display_name"], r"(\S+)$", 1), lambda a: F.trim(F.regexp_replace(a["author"]["display_name"], r"\S+$", "")), lambda a: F.regexp_replace(a["author"]["orcid"], "^https?://orcid.org/", "")),
         "journal": r["primary_location"]["source"]["display_name"], "abstract": abstract_from_positions(r["abstract_inverted_index"]), "language": r["language"], "volume": r["biblio"]["volume"], "issue": r["biblio"]["issue"],
-        "pages": F.concat_ws("-", r["biblio"]["first_page"], r["biblio"]["last_page"]), "ref_type": lookup({"article": "journal-article", "book": "book", "book-chapter": "book-chapter", "dissertation": "thesis", "dataset": "dataset", "preprint": "preprint", "report": "report"}, r["type"], "unknown"),
+        "pages": F.concat_ws("-", r["biblio"]["first_page"], r["biblio"]["last_page"]), "ref_type": lookup(TYPE_OF_OPENALEX | {"article": "journal-article"}, r["type"], "unknown"),
     }
 
 
@@ -475,6 +475,14 @@ def _unpaywall(r: Column) -> dict[str, Column]:
     return {"doi": F.lower(r["doi"]), "title": r["title"], "year": r["year"], "open_access": r["is_oa"], "oa_url": F.coalesce(r["best_oa_location"]["url_for_pdf"], r["best_oa_location"]["url"]), "license": r["best_oa_location"]["license"], "journal": r["journal_name"], "publisher": r["publisher"]}
 
 
+def _base(r: Column) -> dict[str, Column]:
+    name = lambda a: F.trim(F.split_part(a, F.lit(","), F.lit(1)))
+    return {
+        "title": r["dctitle"], "doi": F.lower(F.get(r["dcdoi"], F.lit(0))), "year": F.try_to_number(F.substring(r["dcyear"], 1, 4), F.lit("9999")).cast("int"), "authors": _people(r["dccreator"], name, lambda a: F.trim(F.regexp_replace(a, r"^[^,]*,?", ""))),
+        "publisher": F.get(r["dcpublisher"], F.lit(0)), "abstract": r["dcdescription"], "url": r["dclink"], "open_access": r["dcoa"] == "1", "ref_type": lookup(TYPE_OF_BASE, F.get(r["dctypenorm"], F.lit(0)), "unknown"), "keywords": r["dcsubject"],
+    }
+
+
 _AUTHOR = "array<struct<family:string,given:string,ORCID:string>>"
 PROVIDERS: dict[str, tuple[str, Callable[[Column], dict[str, Column]], float]] = {
     "crossref": (f"DOI string, title array<string>, author {_AUTHOR}, issued struct<`date-parts`:array<array<int>>>, `container-title` array<string>, volume string, issue string, page string, publisher string, ISSN array<string>, ISBN array<string>, abstract string, URL string, `is-referenced-by-count` int, type string, subject array<string>, language string", _crossref, 1.0),
@@ -483,6 +491,7 @@ PROVIDERS: dict[str, tuple[str, Callable[[Column], dict[str, Column]], float]] =
     "dblp": ("title string, year string, venue string, volume string, pages string, doi string, ee string, authors struct<author:array<struct<text:string>>>", _dblp, 0.85),
     "google_books": ("volumeInfo struct<title:string,subtitle:string,authors:array<string>,publishedDate:string,publisher:string,industryIdentifiers:array<struct<type:string,identifier:string>>,pageCount:int,language:string,description:string>", _google_books, 0.8),
     "openlibrary": ("title string, authors array<struct<name:string>>, publish_date string, publishers array<struct<name:string>>, number_of_pages int, url string", _openlibrary, 0.8),
+    "base": ("dctitle string, dccreator array<string>, dcyear string, dcdoi array<string>, dctypenorm array<string>, dclink string, dcdescription string, dcpublisher array<string>, dcoa string, dcsubject array<string>", _base, 0.7),
     "unpaywall": ("doi string, title string, year int, is_oa boolean, best_oa_location struct<url_for_pdf:string,url:string,license:string>, journal_name string, publisher string", _unpaywall, 0.9),
 }
 
@@ -490,7 +499,7 @@ PROVIDERS: dict[str, tuple[str, Callable[[Column], dict[str, Column]], float]] =
 def parse_payloads(payloads: DataFrame, provider: str, column: str = "payload") -> DataFrame:
     """Records of a provider's JSON answers; malformed answers are dropped, the provider is noted in sources."""
     schema, project, score = PROVIDERS[provider]
-    r = payloads.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r")).filter("r IS NOT NULL AND (r.title IS NOT NULL)" if provider != "google_books" else "r.volumeInfo IS NOT NULL")
+    r = payloads.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r")).filter({"google_books": "r.volumeInfo IS NOT NULL", "base": "r.dctitle IS NOT NULL"}.get(provider, "r.title IS NOT NULL"))
     out = r.select([c.alias(n) for n, c in project(F.col("r")).items()])
     return as_refs(out).withColumn("sources", F.create_map(F.lit(provider), F.lit(score)))
 

@@ -10,6 +10,13 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def attach(spark: SparkSession, base: str, names: list[str], alias: str) -> list[str]:
+    """Tables of a second folder as views <alias>_<name>, so that one statement may read both; the views' names."""
+    for name in names:
+        table(spark, base, name).createOrReplaceTempView(f"{alias}_{name}")
+    return [f"{alias}_{name}" for name in names]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder; a folder of our own only where all runs in one process."""
     sc = df.sparkSession.sparkContext
