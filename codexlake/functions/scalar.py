@@ -96,20 +96,28 @@ def url_rank(c: Column) -> Column:
 
 def ids_in_url(c: Column) -> Column:
     """struct(doi, arxiv_id, pmid, isbn) that an address holds, percent-escapes undone."""
-    u = F.coalesce(F.try_url_decode(c), c)
-    got = lambda p: F.nullif(F.regexp_extract(u, p, 1), F.lit(""))
-    return F.struct(
-        clean_doi(got(r"(10\.\d{4,9}/[^\s?#&\"'<>]+)")).alias("doi"), got(r"(?i)arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5})").alias("arxiv_id"),
-        got(r"(?i)pubmed(?:\.ncbi\.nlm\.nih\.gov|/)/?(\d{5,9})").alias("pmid"), got(r"(?i)isbn[=/:]?(97[89]\d{10})").alias("isbn"),
-    )
+
+    def found(u: Column) -> Column:
+        got = lambda p: F.nullif(F.regexp_extract(u, p, 1), F.lit(""))
+        return F.struct(
+            clean_doi(got(r"(10\.\d{4,9}/[^\s?#&\"'<>]+)")).alias("doi"), got(r"(?i)arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5})").alias("arxiv_id"),
+            got(r"(?i)pubmed(?:\.ncbi\.nlm\.nih\.gov|/)/?(\d{5,9})").alias("pmid"), got(r"(?i)isbn[=/:]?(97[89]\d{10})").alias("isbn"),
+        )
+
+    return F.transform(F.array(F.coalesce(F.try_url_decode(c), c)), lambda u: found(u)).getItem(0)  # the address is worked out once
 
 
 def unwrap_url(c: Column, rounds: int = 6) -> Column:
-    """Follow redirect parameters (url=, u=, q=, target= ...) that hold an address, at most so many times."""
-    for _ in range(rounds):
-        inner = F.regexp_extract(c, r"(?i)[?&](?:url|u|q|target|dest|redirect|link)=(https?(?::|%3A)[^&#]+)", 1)
-        c = F.when(inner != "", F.coalesce(F.try_url_decode(inner), inner)).otherwise(c)
-    return c
+    """Follow redirect parameters (url=, u=, q=, target= ...) that hold an address, at most so many times.
+
+    A fold, not nested calls: the expression does not grow with the rounds.
+    """
+
+    def step(u: Column) -> Column:
+        inner = F.regexp_extract(u, r"(?i)[?&](?:url|u|q|target|dest|redirect|link)=(https?(?::|%3A)[^&#]+)", 1)
+        return F.when(inner != "", F.coalesce(F.try_url_decode(inner), inner)).otherwise(u)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), c, lambda u, _: step(u))
 
 
 def isbn_ok(c: Column) -> Column:

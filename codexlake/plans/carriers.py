@@ -42,13 +42,6 @@ def point_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter("c_custkey = 42").select("c_custkey", "c_name", "c_acctbal")
 
 
-@query("a04_multi_get", "SELECT pos::INT AS pos, c_custkey, c_name FROM (VALUES (0, 9), (1, 3), (2, 777777777), (3, 5)) v(pos, k) JOIN customer ON c_custkey = k ORDER BY pos")
-def multi_get(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    wanted = spark.createDataFrame([(i, k) for i, k in enumerate((9, 3, 777777777, 5))], "pos int, c_custkey long")
-    return c.join(F.broadcast(wanted), "c_custkey").select("pos", "c_custkey", "c_name").orderBy("pos")
-
-
 @query("a05_narrow_projection", "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def narrow(spark, sf_dir):
     hit = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
@@ -124,11 +117,6 @@ def cascade_delete(spark, sf_dir):
     return live.agg(F.count(F.lit(1)).alias("n")).select(F.lit("orders").alias("tbl"), "n").unionByName(lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit("lineitem").alias("tbl"), "n"))
 
 
-@query("b12_csv_lines", "SELECT c_custkey, '\"' || replace(c_name, '\"', '\"\"') || '\",' || c_mktsegment AS line FROM customer")
-def csv_lines(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit('"'), F.replace("c_name", F.lit('"'), F.lit('""')), F.lit('",'), "c_mktsegment").alias("line"))
-
-
 @query("b17_archive", "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS archived FROM customer GROUP BY 1")
 def archive(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -143,11 +131,6 @@ def insert_ignore(spark, sf_dir):
     return relational.insert_ignore(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), ["name"])
 
 
-@query("b22_file_names", r"SELECT p_partkey, substr(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g'), 1, 40) AS file FROM part")
-def file_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.substring(F.regexp_replace("p_name", "[^A-Za-z0-9]+", "_"), 1, 40).alias("file"))
-
-
 @query("b23_chunks", "SELECT chunk, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS chunk FROM orders) GROUP BY 1")
 def chunks(spark, sf_dir):
     return relational.chunked(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
@@ -156,13 +139,6 @@ def chunks(spark, sf_dir):
 # ---- C: predicates ---------------------------------------------------------------------------------------------------
 
 
-@query("c05_e08_tier_histogram", "SELECT CASE WHEN p_size >= 40 THEN 1 WHEN p_size >= 30 THEN 2 WHEN p_retailprice > 1000 AND p_brand IS NOT NULL THEN 3 WHEN p_name <> '' THEN 4 ELSE 5 END AS tier, count(*) AS n FROM part GROUP BY 1")
-def tiers(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    t = F.when(F.col("p_size") >= 40, 1).when(F.col("p_size") >= 30, 2).when((F.col("p_retailprice") > 1000) & F.col("p_brand").isNotNull(), 3).when(F.col("p_name") != "", 4).otherwise(5)
-    return A.counts_by(p, t, "tier")
-
-
 @query("c07_low_first", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 1000 ORDER BY c_acctbal, c_custkey LIMIT 50")
 def low_first(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter("c_acctbal < 1000").select("c_custkey", "c_acctbal").orderBy("c_acctbal", "c_custkey").limit(50)
@@ -173,12 +149,6 @@ def like_fallback(spark, sf_dir):
     return search.fallback(table(spark, sf_dir, "documents"), "mail7.example", ["text"]).select("doc_id", F.col("score").cast("double").alias("score"))
 
 
-@query("c12_advanced_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 50000 AND 150000 AND lower(o_orderpriority) LIKE '%urgent%'")
-def advanced_filter(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.filter(F.col("o_orderstatus").isin("F", "O") & F.col("o_totalprice").between(50000, 150000) & F.contains(F.lower("o_orderpriority"), F.lit("urgent"))).select("o_orderkey")
-
-
 @query("c13_recent", "SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 60 MINUTE AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1")
 def recent(spark, sf_dir):
     e, now = table(spark, sf_dir, "events"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
@@ -191,13 +161,6 @@ def json_predicate(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k > 50")
 
 
-@query("c15_source_tier", """SELECT count(*) FILTER (WHERE t = 'a') AS n_a, count(*) FILTER (WHERE t = 'b') AS n_b, count(*) FILTER (WHERE t = 'c') AS n_c
-    FROM (SELECT CASE WHEN o_totalprice > 200000 THEN 'a' WHEN o_orderpriority LIKE '1%' THEN 'b' ELSE 'c' END AS t FROM orders)""")
-def source_tier(spark, sf_dir):
-    t = F.when(F.col("o_totalprice") > 200000, "a").when(F.col("o_orderpriority").startswith("1"), "b").otherwise("c")
-    return table(spark, sf_dir, "orders").agg(*[F.count_if(t == k).alias(f"n_{k}") for k in "abc"])
-
-
 @query("c16_slim_projection", "SELECT doc_id, substr(text, 1, 150) AS abstract, coalesce(source, '') AS source FROM documents")
 def slim(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 150).alias("abstract"), F.coalesce("source", F.lit("")).alias("source"))
@@ -253,12 +216,6 @@ def absent_or_newer(spark, sf_dir):
     return relational.absent_or_newer(e, ledger, "user_id", "ts", "tried").select("event_id")
 
 
-@query("d11_fill_from_twin", """SELECT n_nationkey, min_by(c_name, (-c_acctbal, c_custkey)) AS best_customer FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
-def fill_from_twin(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min_by("c_name", F.struct(-F.col("c_acctbal"), F.col("c_custkey"))).alias("best_customer"))
-    return table(spark, sf_dir, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey")).select("n_nationkey", "best_customer")
-
-
 _CITES = "WITH cites AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem) "
 
 
@@ -508,11 +465,6 @@ def set_difference(spark, sf_dir):
 # ---- H: scalar functions ---------------------------------------------------------------------------------------------
 
 
-@query("h02_hash_key", "SELECT doc_id, substr(sha256('doc:' || lower(text)), 1, 24) AS id FROM documents")
-def hash_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.concat(F.lit("doc:"), F.lower("text")), 256), 1, 24).alias("id"))
-
-
 @query("h03_cite_key", r"SELECT item_id, lower(string_split(text, ' ')[1]) || '2024' || coalesce(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_à-ÿ]+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the', 'of', 'in', 'on', 'for', 'and', 'with'))[1], '') AS cite FROM (SELECT item_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM benchmark)")
 def cite_keys(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("title"))
@@ -542,12 +494,6 @@ def passages(spark, sf_dir):
     return d.select("doc_id", "ord", F.length("text").alias("n"))
 
 
-@query("h24_priority", "SELECT c_custkey, round_even(greatest(0.0::DOUBLE, 1 - least(1, greatest(0, c_acctbal / 10000))) * CASE WHEN c_mktsegment = 'BUILDING' THEN 10.0 ELSE 0.05 END::DOUBLE, 3) AS priority FROM customer")
-def priority(spark, sf_dir):
-    gap = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("c_acctbal") / 10000)))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.bround(gap * F.when(F.col("c_mktsegment") == "BUILDING", 10.0).otherwise(0.05), 3).alias("priority"))
-
-
 @query("h26_highlight", "SELECT item_id, regexp_replace(text, '(?i)(the|of)', '<mark>\\1</mark>', 'g') AS marked FROM benchmark")
 def highlight(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", search.highlight(F.col("text"), ["the", "of"]).alias("marked"))

@@ -75,26 +75,12 @@ def filtered_similarity(spark, sf_dir):
     return top_similar(e, e.filter("vec_id = 3"), 10, condition=F.col("label") < 3).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("d09_d10_conflicting_pairs", """SELECT k.doc_id AS keep_id, d.doc_id AS drop_id FROM documents k JOIN documents d ON md5(k.text) = md5(d.text) AND k.doc_id < d.doc_id WHERE k.source <> d.source""")
-def conflicting_pairs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("k"))
-    x = d.toDF("keep_id", "ks", "k").join(d.toDF("drop_id", "ds", "k"), "k").filter("keep_id < drop_id AND ks <> ds")
-    return x.select("keep_id", "drop_id")
-
-
 @query("d19_local_candidates")
 def local_candidates(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("doi"), F.lit(None).cast("string").alias("pmid"), F.lit(None).cast("string").alias("arxiv_id"), F.lit(None).cast("string").alias("isbn"), F.col("p_name").alias("title"))
     return matching.local_candidates(p.withColumnRenamed("id", "seed_id"), p)
 
 
-@query("d22_guarded_collisions", "SELECT h.c_custkey AS holder, o.c_custkey AS other FROM customer h JOIN customer o ON h.c_nationkey = o.c_nationkey AND h.c_mktsegment = o.c_mktsegment AND h.c_custkey < o.c_custkey WHERE abs(h.c_acctbal - o.c_acctbal) < 300")
-def guarded(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    x = c.toDF("holder", "c_nationkey", "c_mktsegment", "a").join(c.toDF("other", "c_nationkey", "c_mktsegment", "b"), ["c_nationkey", "c_mktsegment"])
-    return x.filter((F.col("holder") < F.col("other")) & (F.abs(F.col("a") - F.col("b")) < 300)).select("holder", "other")
-
-
 @query("d25_resume_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
@@ -107,22 +93,11 @@ def new_or_changed(spark, sf_dir):
     return relational.new_or_changed(p, log).select("page_id")
 
 
-@query("e01_e18_metrics", "SELECT count(*) AS n, count(*) FILTER (WHERE n_chars >= 800) AS rich, round(avg(n_chars), 4) AS mean FROM documents")
-def metrics(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") >= 800).alias("rich"), F.round(F.avg("n_chars"), 4).alias("mean"))
-
-
 @query("e06_queue_status", "SELECT event_type AS status, count(*) AS n, sum(user_id)::BIGINT AS attempts FROM events GROUP BY 1")
 def queue_status(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("attempts"))
 
 
-@query("e13_conditional_counts", "SELECT count(*) FILTER (WHERE p_size < 10) AS small, count(*) FILTER (WHERE p_size BETWEEN 10 AND 30) AS middle, count(*) FILTER (WHERE p_size > 30) AS large FROM part")
-def conditional_counts(spark, sf_dir):
-    s = F.col("p_size")
-    return table(spark, sf_dir, "part").agg(F.count_if(s < 10).alias("small"), F.count_if(s.between(10, 30)).alias("middle"), F.count_if(s > 30).alias("large"))
-
-
 @query("e15_e16_rollup", "SELECT o_custkey, max(o_totalprice) AS priority, min(o_orderkey) AS difficulty, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'active' WHEN bool_or(o_orderstatus = 'O') THEN 'pending' ELSE 'done' END AS status FROM orders GROUP BY 1")
 def rollup(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -136,13 +111,6 @@ def coverage(spark, sf_dir):
     return A.counts_by(table(spark, sf_dir, "documents"), F.concat("lang", F.lit(":"), "source"))
 
 
-@query("e24_name_vocabulary", r"""SELECT lower(w) AS word, count(*) FILTER (WHERE w = lower(w)) AS lower, count(*) FILTER (WHERE w <> lower(w)) AS upper FROM (SELECT unnest(regexp_extract_all(text, '[ ](\p{L}{2,})', 1)) AS w FROM documents) GROUP BY 1 HAVING count(*) FILTER (WHERE w = lower(w)) >= 5 AND count(*) FILTER (WHERE w = lower(w)) >= count(*) FILTER (WHERE w <> lower(w))""")
-def vocabulary(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[ ](\p{L}{2,})"))).alias("w"))
-    g = w.groupBy(F.lower("w").alias("word")).agg(F.count_if(F.col("w") == F.lower("w")).alias("lower"), F.count_if(F.col("w") != F.lower("w")).alias("upper"))
-    return g.filter("lower >= 5 AND lower >= upper")
-
-
 @query("e28_provider_health", "SELECT event_type AS api, (count(*) FILTER (WHERE value > 50))::DOUBLE / count(*) AS rate, count(*) FILTER (WHERE value > 50) = 0 AND count(*) >= 20 AS broken FROM events GROUP BY 1")
 def provider_health(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("api")).agg(F.count_if(F.col("value") > 50).alias("ok"), F.count_if(~(F.col("value") > 50)).alias("fail")).withColumn("streak", F.lit(0))

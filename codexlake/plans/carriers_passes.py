@@ -15,7 +15,7 @@ from codexlake.sources.tables import table
 # One library of records for the queries below: customers as works. The oracles state the same fields.
 LIB = """WITH lib AS (SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 THEN '10.1/' || c_custkey END AS doi, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS title, c_custkey % 5 <> 0 AS has_authors,
 CASE WHEN c_custkey % 7 <> 0 THEN 1990 + c_nationkey END AS year, CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN c_mktsegment END AS publisher, c_acctbal / 10000 AS completeness,
-CASE WHEN c_custkey % 6 = 0 THEN 'http://a.org/' || c_custkey END AS oa_url, CASE WHEN c_nationkey = 4 THEN '2001.' || (10000 + c_custkey) END AS arxiv_id, CASE WHEN c_custkey % 9 = 0 THEN 'x.pdf' END AS pdf_local FROM customer)
+CASE WHEN c_custkey % 6 = 0 THEN 'http://a.org/' || c_custkey END AS oa_url, CASE WHEN c_nationkey = 4 THEN '2001.' || (10000 + c_custkey) END AS arxiv_id, CASE WHEN c_custkey % 9 = 0 THEN 'x.pdf' END AS pdf_local, c_mktsegment AS segment, c_nationkey AS nation FROM customer)
 """
 
 
@@ -292,12 +292,6 @@ def completeness(spark, sf_dir):
     return _library(spark, sf_dir).select(F.col("id").cast("long").alias("id"), model.completeness().alias("completeness"))
 
 
-@query("c03_c04_complete", LIB + """SELECT count(*) FILTER (title IS NOT NULL AND has_authors AND (doi IS NOT NULL OR arxiv_id IS NOT NULL OR oa_url IS NOT NULL OR pdf_local IS NOT NULL)) AS n_complete,
-count(*) FILTER (title IS NOT NULL AND has_authors AND publisher IS NOT NULL AND year IS NOT NULL AND doi IS NOT NULL) AS n_strict FROM lib""")
-def complete(spark, sf_dir):
-    return A.library_stats(_library(spark, sf_dir)).select("n_complete", "n_strict")
-
-
 @query("c01_scan", LIB + "SELECT id FROM lib WHERE year >= 1995 AND year <= 2005")
 def scan(spark, sf_dir):
     return relational.scan(_library(spark, sf_dir), year_from=1995, year_to=2005).select(F.col("id").cast("long").alias("id"))

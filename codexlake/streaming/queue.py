@@ -96,7 +96,7 @@ def tier_predicates() -> dict[int, str]:
 
 def dequeue(queue: DataFrame, refs: DataFrame, tier: int, n: int, skip: DataFrame | None = None) -> DataFrame:
     """The n most urgent pending entries of a tier: nearly complete records (0.6 to 0.8) first, then by priority."""
-    q = queue.filter("status = 'pending'").join(refs.withColumnRenamed("id", "ref_id"), "ref_id").filter(tier_predicates()[tier])
+    q = queue.filter("status = 'pending'").join(refs.select(F.col("id").alias("ref_id"), "doi", "pmid", "arxiv_id", "isbn", "url", "year"), "ref_id").filter(tier_predicates()[tier])
     if skip is not None:
         q = q.join(skip.select("ref_id"), "ref_id", "left_anti")
     near = F.when(F.col("completeness_before").between(0.6, 0.8), 0).otherwise(1)
