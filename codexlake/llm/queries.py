@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.llm import ann, html_extract, language_id, mixing, near_dedup, quality_model, quality_rules, secrets, sentencepiece_bpe, sharding
+from codexlake.llm import align, ann, byte_bpe, html_extract, intervals, language_id, mixing, near_dedup, quality_model, quality_rules, secrets, sentencepiece_bpe, sharding
 from codexlake.llm.common import held_out, table
 
 
@@ -58,6 +58,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_digests(table(spark, sf_dir, "documents"), *byte_bpe.default_ranks())
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), *align.default_files())
+
+
+def op13_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.sales_and_sessions(*(table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks")))
+
+
 #: All links on full sets by a join over shared shingles, then components by minimum labels.
 _NEAR_DUPLICATES = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -74,9 +86,9 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.node = w.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_html_extraction, op2_minhash_near_dedup, op3_sentencepiece, op4_quality_rules, op5_language_id, op6_permutation_index, op7_secret_scan, op8_sharding, op9_source_mixing, op10_quality_classifier)
+    all_of = (op1_html_extraction, op2_minhash_near_dedup, op3_sentencepiece, op4_quality_rules, op5_language_id, op6_permutation_index, op7_secret_scan, op8_sharding, op9_source_mixing, op10_quality_classifier, op11_byte_bpe, op12_token_alignment, op13_interval_join)
     return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": _NEAR_DUPLICATES, "op4_quality_rules": quality_rules.oracle_sql(), "op9_source_mixing": mixing.ORACLE_SQL}
+    return {"op2_minhash_near_dedup": _NEAR_DUPLICATES, "op4_quality_rules": quality_rules.oracle_sql(), "op9_source_mixing": mixing.ORACLE_SQL, "op13_interval_join": intervals.ORACLE_SQL}
