@@ -237,13 +237,13 @@ def align_documents(docs: DataFrame, byte_level: str, pattern: str, pieces: str)
     columns are ignored; a doc_id that is no whole number is null in the result. Files: at the same paths on every machine.
     """
     found = written(byte_bpe.rows(docs).mapInArrow(_blocks((byte_level, pattern, pieces)), f"{_DOC}, {_BLOCK}"), "aligned")
-    pairs = found.filter("pairs IS NOT NULL").select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("at", "p")).select("block", "at", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
+    pairs = found.filter("pairs IS NOT NULL").select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("pairs", "counts")).alias("at", "p")).select("of", "at", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
     totals = pairs.groupBy("pair").agg(F.sum("n").alias("total"))
     highest = totals.groupBy(F.col("pair").bitwiseAND((1 << 20) - 1).alias("b")).agg(F.max("total").alias("highest"))
     judged = totals.join(highest, F.col("pair").bitwiseAND((1 << 20) - 1) == F.col("b")).select("pair", "total", (F.col("total") == F.col("highest")).cast("int").alias("best"))
-    known = pairs.join(written(judged, "pair-totals"), "pair").select("block", "at", "total", "best")
+    known = pairs.join(written(judged, "pair-totals"), "pair").select("of", "at", "total", "best")
     rows = found.filter("pairs IS NULL").drop("pairs", "counts")
-    with_links = rows.filter("n_links > 0").groupBy("block").cogroup(known.groupBy("block"))
+    with_links = rows.filter("n_links > 0").groupBy("block").cogroup(known.groupBy("of"))
     out = with_links.applyInArrow(_sums, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
     zero = F.lit(0).cast("long")
     out = out.unionByName(rows.filter("n_links = 0").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", zero.alias("n_best"), zero.alias("count_sum")))
