@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexlake.sources.tables import settled
+
 
 def scan(refs: DataFrame, year_from=None, year_to=None, ref_type=None, open_access_only=False) -> DataFrame:
     """The filters of every listing, each only if given; they reach the Parquet scan."""
@@ -184,10 +186,11 @@ def repair_paths(refs: DataFrame, files: DataFrame, path: str = "pdf_path") -> D
 def chunked(df: DataFrame, order: Sequence[str], size: int = 100) -> DataFrame:
     """df with `chunk`: consecutive groups of so many rows by the order, numbered without a global sort into one task.
 
-    Rows are range-partitioned; counts of the partitions (one row each) give every partition its offset.
+    Rows are range-partitioned and written before anything is counted, with the number of their part: a part's rows and
+    its place must not come from two evaluations. Counts of the parts (one row each) give every part its offset.
     """
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    parts = settled(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each part
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return parts.withColumn("_at", at).join(F.broadcast(before), "_p").withColumn("chunk", F.floor((F.col("_before") + F.col("_at")) / size)).drop("_p", "_at", "_before")

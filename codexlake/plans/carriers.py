@@ -520,11 +520,6 @@ def bm25(spark, sf_dir):
     return _bm25(spark, sf_dir).select("qid", "doc", F.round("score", 6).alias("score"), "matched")
 
 
-@query("i07_passage_search", _BM25 + "SELECT qid, doc FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rn FROM s) WHERE rn <= 8")
-def passage_search(spark, sf_dir):
-    return windows.capped_per_group(_bm25(spark, sf_dir).withColumn("score", F.round("score", 9)), "qid", [F.desc("score"), F.col("doc")], 8).select("qid", "doc")
-
-
 @query("i10_cosine_top", """SELECT b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id = 0) a, embeddings b WHERE b.vec_id <> 0 ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id LIMIT 20""")
 def cosine_top(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from codexlake.plans import carriers, carriers_more, carriers_passes, carriers_records  # noqa: F401
+    from codexlake.plans import carriers, carriers_kept, carriers_more, carriers_passes, carriers_records  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -17,6 +17,33 @@ def attach(spark: SparkSession, base: str, names: list[str], alias: str) -> list
     return [f"{alias}_{name}" for name in names]
 
 
+def kept_dir(spark: SparkSession) -> str:
+    """A folder below the one that all machines share (spark.checkpoint.dir); one of our own only where all runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        path = getattr(spark.sparkContext, "_codexlake_kept", None)
+        if path is None:
+            import tempfile
+
+            path = spark.sparkContext._codexlake_kept = "file://" + tempfile.mkdtemp(prefix="codexlake-")
+    return f"{path}/codexlake"
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A name for the state of the files that a table is read from: their paths, sizes and times."""
+    import hashlib
+
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    state = []
+    for f in sorted(df.inputFiles()):
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        status = where.getFileSystem(conf).getFileStatus(where)
+        state.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(state).encode()).hexdigest()[:24]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder; a folder of our own only where all runs in one process."""
     sc = df.sparkSession.sparkContext
