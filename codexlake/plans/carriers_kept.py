@@ -10,6 +10,7 @@ from codexlake.operators import search, vectors
 from codexlake.operators.fulltext import PassageIndex, passage_search, word_passages
 from codexlake.registry import query
 from codexlake.sources.tables import fingerprint, kept_dir, table
+from codexlake.streaming import timers
 
 SIZE = 150
 
@@ -67,3 +68,29 @@ def maintained_index(spark, sf_dir):
     index.upsert(word_passages(changed, "doc_id", "text", SIZE))
     index.remove(docs.filter("doc_id % 7 = 1").select(F.col("doc_id").alias("ref_id")))
     return index.top(_questions(spark, sf_dir), 20).select("qid", "ref_id", "ord", "rank")
+
+
+# ---- state with timers ----------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream cannot read a single file by its name
+
+
+@query("m05_lapsed_leases", """SELECT user_id::VARCHAR AS key, ts + INTERVAL 10 MINUTE AS at FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(ts) OVER () AS last FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+    WHERE event_type = 'click' AND CASE WHEN next IS NULL THEN epoch_ms(ts) + 600000 <= epoch_ms(last) ELSE next >= ts + INTERVAL 10 MINUTE END""")
+def lapsed_leases(spark, sf_dir):
+    """A click takes a user's entry, any other event ends the work on it: entries that were given back after ten minutes."""
+    rows = timers.as_rows(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", F.when(F.col("event_type") == "click", "take").otherwise("done"))
+    return timers.replayed(timers.lapses(rows, timers.Leases()), _scratch(spark, "leases")).select("key", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@query("m09_cooldown_ends", """WITH e AS (SELECT user_id, ts, event_id, event_type = 'error' AS bad, max(ts) OVER () AS last, sum((event_type IS DISTINCT FROM 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT *, count(*) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS errors FROM e WHERE bad),
+u AS (SELECT *, max(ts + to_seconds(least(300, 15 * 2 ** least(errors, 5))::INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS until, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM n)
+SELECT user_id::VARCHAR AS key, until AS at FROM u WHERE CASE WHEN next IS NULL THEN epoch_ms(until) <= epoch_ms(last) ELSE next >= until END""")
+def cooldown_ends(spark, sf_dir):
+    """Each user a service: errors make it pause, longer after each in a row; the moments at which pauses ended."""
+    rows = timers.as_rows(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", F.coalesce(F.col("event_type"), F.lit("")))
+    return timers.replayed(timers.lapses(rows, timers.Cooldowns()), _scratch(spark, "cooldowns")).select("key", F.col("at").cast("timestamp_ntz").alias("at"))
