@@ -28,7 +28,7 @@ STEP = 512
 _SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
-def _sketches(shingle: int):
+def _sketches(shingle: int, with_text: bool = False):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
@@ -38,9 +38,9 @@ def _sketches(shingle: int):
                 keys = band_keys(sig, ROWS)
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array([set_digest(s) for s in sets], pa.binary()), bands], names=["doc_id", "n_shingles", "digest", "bands"]
-                )
+                columns = [part.column(0), pa.array(size), pa.array([set_digest(s) for s in sets], pa.binary()), bands]
+                names = ["doc_id", "n_shingles", "digest", "bands"]
+                yield pa.RecordBatch.from_arrays([*columns, part.column(1)] if with_text else columns, names=[*names, "text"] if with_text else names)
 
     return run
 
@@ -136,6 +136,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, nam
     return edges
 
 
+def _one_document(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """edges(u, v) between the classes that one doc_id has rows in."""
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
+    of = written(full.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "cid"), "digest").select("doc_id", "cid"), "nd-repeated-ids")
+    return of.join(of.groupBy("doc_id").agg(F.min("cid").alias("v")), "doc_id").filter("cid <> v").select(F.col("cid").alias("u"), "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -157,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     leaders = written(keys.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.min(rank)["cid"].alias("b")).filter("a <> z").drop("z"), "nd-leaders")
     shared = written(keys.join(leaders, "key").select("key", "cid", "a", "b"), "nd-shared")
     stars = shared.select("cid", F.explode(F.array("a", "b")).alias("to")).filter("cid <> to")
-    edges = _verified(docs, stars.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")), shingle, percent, "nd-star")
+    edges = _verified(docs, stars.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")), shingle, percent, "nd-star").unionByName(_one_document(full, classes))
     comp = written(components(edges), "nd-comp")
     shared_comp = shared.select("key", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
     # buckets that hold several components still, each one's members by component
@@ -170,7 +177,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     if not open_keys.isEmpty():
         rest = shared_comp.join(open_keys, "key")
         ids = rest.select(F.col("cid").alias("doc_id")).distinct()
-        texts = written(docs.join(ids.hint("merge"), "doc_id").select(F.col("doc_id").alias("cid"), "text").join(members.select("cid", F.col("n_shingles").alias("n"), "bands"), "cid").dropDuplicates(["cid"]), "nd-rest-texts")
+        again = docs.join(ids.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(_sketches(shingle, True), _SKETCH + ", text string").filter("n_shingles > 0")
+        texts = written(again.select(F.col("doc_id").alias("cid"), "digest", F.col("n_shingles").alias("n"), "bands", "text").dropDuplicates(["cid", "digest"]).drop("digest"), "nd-rest-texts")
         rest = rest.join(texts.hint("merge"), "cid")
         cell = F.xxhash64("cid", F.lit(1))
         columns = ["cid", "component", "n", "bands", "text"]
