@@ -124,6 +124,8 @@ def nearest(
     pivots = max(1, min(pivots, n // 4))
     drawn = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(1 << 20)) <= min(1.0, 4.0 * pivots / max(1, n)) * (1 << 20))
     sample = drawn.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(pivots).toArrow()
+    if sample.num_rows < pivots:  # few ids have most rows: different vectors are drawn, whatever their ids
+        sample = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("v", F.lit(7)), "vec_id").limit(pivots).select("vec_id", "v").toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     basis = _unit(_matrix(sample["v"]))
