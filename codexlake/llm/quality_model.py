@@ -216,12 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     bound here, the same at every size. A doc_id with both labels counts for neither; rows without a label or text are
     left out; without any labelled row every score is 0.5.
     """
-    y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    y = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     y = y.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
     sizes = {r["quality"]: r["n"] for r in y.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.create_map(*[v for k in (0, 1) for v in (F.lit(k), F.lit(min(1.0, sample / max(1, sizes.get(k, 0)))))])
     y = y.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1 << 20)) < share[F.col("quality")] * (1 << 20))
-    rows = docs.select("doc_id", F.col("text").cast("string")).filter("text IS NOT NULL").join(F.broadcast(y), "doc_id")  # about 2 * sample labels
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string")).filter("text IS NOT NULL").join(F.broadcast(y), "doc_id")  # about 2 * sample labels
     kept = written(rows.select("doc_id", "text", "quality"), "quality-sample")
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -262,4 +262,4 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_texts(shared.value, part.column(1)))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

@@ -331,7 +331,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, threshold: float = 0.5
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_candidates long, findings array<{_SPAN}>" + (", text string" if redacted else ""))
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_candidates long, findings array<{_SPAN}>" + (", text string" if redacted else ""))
 
 
 def redacted(docs: DataFrame, scanner: Scanner | None = None, threshold: float = 0.5) -> DataFrame:

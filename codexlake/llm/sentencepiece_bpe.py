@@ -342,9 +342,9 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_tokens, ids array<int>, decoded string; one row per input row.
 
     Null and empty texts give no ids and an empty decoded text. Rows are independent of each other, other columns are
-    ignored, and texts of any length are encoded whole. The model file must be at the same path on every machine.
+    ignored, and texts of any length are encoded whole. A doc_id that is no whole number is null in the result. The model file must be at the same path on every machine.
     """
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_apply(model_path, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_apply(model_path, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def token_digests(docs: DataFrame, model_path: str, keep_caches: bool = True) -> DataFrame:
@@ -352,7 +352,7 @@ def token_digests(docs: DataFrame, model_path: str, keep_caches: bool = True) ->
 
     Without keep_caches a task leaves no cached segments behind in its worker: for sessions that go on to other work.
     """
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_apply(model_path, False, keep_caches), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_apply(model_path, False, keep_caches), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_model() -> str:
