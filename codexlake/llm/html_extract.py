@@ -30,13 +30,14 @@ DEEPEST = 4
 WRAPPER = 0.4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is no text of the page.
-UNSEEN = frozenset("head title script style noscript template select textarea option svg math iframe object canvas audio video".split())
+#: Elements whose text is no text of the page. Those that stand within a line do not end it; a formula is text, its source is not.
+UNSEEN = frozenset("head title script style noscript template select textarea option svg iframe object canvas audio video button annotation annotation-xml".split())
+INLINE = frozenset("script style noscript template select textarea option svg iframe object canvas audio video button annotation annotation-xml".split())
 #: Elements whose text counts as link text; a header's only outside the article.
-ASIDE = frozenset("nav footer aside dialog menu button".split())
+ASIDE = frozenset("nav footer aside dialog menu".split())
 CONTAINERS = frozenset("html body main article section div td th table center ul ol dl blockquote figure details header hgroup footer nav aside form dialog menu".split())
 SOFT = frozenset("td th table ul ol dl blockquote figure details hgroup".split())
-BLOCKS = CONTAINERS | UNSEEN | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr thead tbody tfoot caption figcaption address hr summary fieldset legend button".split())
+BLOCKS = CONTAINERS | (UNSEEN - INLINE) | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr thead tbody tfoot caption figcaption address hr summary fieldset legend".split())
 #: Words of class, id and role that mark something other than the article.
 MARKED = frozenset(
     """ad ads advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments
@@ -45,6 +46,8 @@ MARKED = frozenset(
     related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget
     widgets alert masthead topbar""".split()
 )
+#: Marked words that within the article may name one of its own parts.
+PARTS = frozenset(("discussion",))
 #: Words beside a marked one that make a class name say how a page looks or behaves, not what the part is.
 STATE = frozenset("has have with without no not is show shows hide hides hidden enabled disabled enable disable open closed allow allows count layout page".split())
 ARTICLE = frozenset("post article entry story content".split())
@@ -75,7 +78,7 @@ class _Events(HTMLParser):
         self.mark = [False]
         self.aside = [False]
         self.titled: list[int] = [-1]  # container of the first title outside of marked elements, or of the article
-        self.blocks: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, container, lesser heading
+        self.blocks: list[tuple[str, int, int, int, bool, bool]] = []  # text, tags, link characters, container, lesser heading, paragraph
         self.links = self.hidden = self.tags = self.linked = 0
         self.articles = 0
         self.parts: list[str] = []
@@ -106,7 +109,7 @@ class _Events(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.tags, self.linked, self.open[-1][2] if self.open else 0, self._last(_HEADINGS) >= 0))
+                self.blocks.append((text, self.tags, self.linked, self.open[-1][2] if self.open else 0, self._last(_HEADINGS) >= 0, bool(self.places.get("p"))))
                 self.tags = 0
             self.parts.clear()
             self.linked = 0
@@ -140,7 +143,7 @@ class _Events(HTMLParser):
         if tag == "form":
             return True
         for name, value in attrs:
-            if name in ("class", "id", "role") and any(not MARKED.isdisjoint(w) and STATE.isdisjoint(w) for w in _words(value)):
+            if name in ("class", "id", "role") and any(not (MARKED - PARTS if self.articles else MARKED).isdisjoint(w) and STATE.isdisjoint(w) for w in _words(value)):
                 return True
             if name == "aria-hidden" and value == "true":
                 return True
@@ -274,8 +277,12 @@ def content_lines(events: _Events, cut: float | None = None) -> np.ndarray:
     good[where[content]] = True
     text_of, link_of = np.bincount(where, weights=length, minlength=len(good)), np.bincount(where, weights=linked, minlength=len(good))
     for c in range(1, len(good)):
-        good[c] |= events.kind[c] in SOFT and not events.mark[c] and good[events.parent[c]] and 2 * link_of[c] <= text_of[c]
-    chosen = content | (good[where] & (2 * linked < length) & (depth <= level))
+        good[c] |= events.kind[c] in SOFT and not events.mark[c] and good[events.parent[c]] and (2 * link_of[c] <= text_of[c] or events.kind[c] == "ol")
+    # ... and so do a sentence around a long link and the items of a numbered list, as of references
+    aside = np.array(events.aside)[where]
+    sentence = np.array([b[5] for b in events.blocks]) & (length - linked >= 2)
+    numbered = np.array([k == "ol" for k in events.kind])[where]
+    chosen = content | (good[where] & ((2 * linked < length) | (~aside & (sentence | numbered))) & (depth <= level))
     # a lesser heading that only links of its own part follow announces them
     for i in np.flatnonzero(chosen)[::-1]:
         if events.blocks[i][4] and i + 1 < len(chosen) and not chosen[i + 1] and not events.aside[where[i + 1]] and 2 * linked[i + 1] >= length[i + 1]:
@@ -308,6 +315,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html, ...) -> page_id, url, text, n_chars; one row per input row.
 
     Null and empty pages, and pages without text, give '' and 0. n_chars counts code points. Lines that are mostly link
-    text are left out wherever they stand. Nothing is capped; other columns are ignored.
+    text are left out, but for paragraphs with words outside their links and numbered lists that stand among content.
+    Nothing is capped; other columns are ignored.
     """
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_run, "page_id long, url string, text string, n_chars long")
