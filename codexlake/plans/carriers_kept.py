@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from codexlake.operators import search, vectors
+from codexlake.operators import relational, search, vectors
 from codexlake.operators.fulltext import PassageIndex, passage_search, word_passages
 from codexlake.registry import query
+from codexlake.sources.library import Library
 from codexlake.sources.tables import fingerprint, kept_dir, table
 from codexlake.streaming import timers
+from codexlake.streaming.feeds import VersionedTable
+from codexlake.streaming.views import KeptCounts
 
 SIZE = 150
 
@@ -94,3 +98,43 @@ def cooldown_ends(spark, sf_dir):
     """Each user a service: errors make it pause, longer after each in a row; the moments at which pauses ended."""
     rows = timers.as_rows(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", F.coalesce(F.col("event_type"), F.lit("")))
     return timers.replayed(timers.lapses(rows, timers.Cooldowns()), _scratch(spark, "cooldowns")).select("key", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+# ---- kept statistics, restore points --------------------------------------------------------------------------------
+
+_ORDERS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 100 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 11 <> 3)"
+
+
+@query("m14_kept_statistics", f"SELECT status, count(*) AS n, round(sum(price), 2)::DOUBLE AS sum_price, round(avg(price), 4) AS avg_price FROM {_ORDERS} GROUP BY 1")
+def kept_statistics(spark, sf_dir):
+    """Statistics of the orders, counted once and then changed by two versions: a fifth is replaced, an eleventh goes."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    orders = VersionedTable(spark, _scratch(spark, "orders"))
+    view = KeptCounts(orders, _scratch(spark, "order-counts"), {"status": F.col("status")}, {"price": F.col("price")})
+    orders.apply(o.withColumn("batch_seq", F.lit(1)), log=True)
+    view.refresh()
+    orders.apply(o.filter("id % 5 = 0").withColumns({"status": F.lit("X"), "price": F.col("price") + 100, "batch_seq": F.lit(1)}), log=True)
+    orders.apply(o.limit(0).withColumn("batch_seq", F.lit(1)), removed=o.filter("id % 11 = 3"), log=True)
+    assert view.refresh()[1] == 2
+    return view.read().select("status", "n", F.round(F.col("sum_price").cast("double"), 2).alias("sum_price"), F.round("avg_price", 4).alias("avg_price"))
+
+
+@query("b18_restore_points", """WITH p AS (SELECT 'archived' AS moment, o_orderkey % 7 = 2 AS gone, o_orderkey FROM orders UNION ALL SELECT 'restored', false, o_orderkey FROM orders)
+SELECT moment, 'refs' AS name, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM p WHERE NOT gone GROUP BY 1 UNION ALL SELECT moment, 'archive', count(*) FILTER (WHERE gone), coalesce(sum(o_orderkey) FILTER (WHERE gone), 0)::BIGINT FROM p GROUP BY 1
+UNION ALL SELECT moment, 'bridge', count(*), sum(l_orderkey)::BIGINT FROM p JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT gone GROUP BY 1""")
+def restore_points(spark, sf_dir):
+    """A seventh of the records is archived with its bridge rows, all in one commit; then the point before is restored."""
+    library = Library(spark, _scratch(spark, "library"))
+    refs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
+    bridge = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ref_id"), "l_partkey")
+    empty = refs.limit(0).withColumns({"archive_rule": F.lit(""), "archived_at": F.lit("")})
+    library.commit({"refs": refs, "bridge": bridge, "archive": empty})
+    library.mark("before")
+    ids = library.read("refs").filter("id % 7 = 2").select("id")
+    live, archived = relational.archive(library.read("refs"), library.read("archive"), ids, "seventh", "2024-01-01")
+    left = relational.delete(library.read("refs"), ids, "id", [(library.read("bridge"), "ref_id")])[1]
+    then = library.commit({"refs": live, "archive": archived, "bridge": left})
+    now = library.restore("before")
+    total = lambda number, moment, name, key: library.read(name, number).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(key), F.lit(0)).alias("keys")).select(F.lit(moment).alias("moment"), F.lit(name).alias("name"), "n", "keys")
+    parts = [total(number, moment, name, key) for number, moment in ((then, "archived"), (now, "restored")) for name, key in (("refs", "id"), ("archive", "id"), ("bridge", "ref_id"))]
+    return reduce(lambda a, b: a.unionByName(b), parts)

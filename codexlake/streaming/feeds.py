@@ -36,9 +36,26 @@ class VersionedTable:
         v = self.versions()[-1] if version is None else version
         return self.spark.read.parquet(f"{self.path}/v{v}")
 
-    def apply(self, batch: DataFrame, version: int | None = None, mark: str | None = None) -> None:
-        """Merge a batch (columns of the table and batch_seq) as the given version, or as the next.
+    def has_changes(self, version: int) -> bool:
+        fs, _ = self._fs()
+        return fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_changes/v{version}/_SUCCESS"))
+
+    def changes(self, version: int) -> DataFrame:
+        """What a version changed, if it was logged: rows that went (_change -1) and rows that came (1)."""
+        return self.spark.read.parquet(f"{self.path}/_changes/v{version}")
+
+    def _log(self, old: DataFrame, new: DataFrame, version: int) -> None:
+        """Write the rows in which two versions differ: those under keys that either lacks or has with other content."""
+        content = lambda df: df.withColumn("_content", F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))
+        a, b = (content(df).select(F.col(self.key), F.col("_content").alias(name)) for df, name in ((old, "_a"), (new, "_b")))
+        keys = a.join(b, self.key, "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(self.key)
+        rows = [df.join(keys, self.key, "left_semi").withColumn("_change", F.lit(sign)) for df, sign in ((old, -1), (new, 1))]
+        rows[0].unionByName(rows[1], allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/_changes/v{version}")
+
+    def apply(self, batch: DataFrame, version: int | None = None, mark: str | None = None, removed: DataFrame | None = None, log: bool = False) -> None:
+        """Merge a batch (columns of the table and batch_seq) as the given version, or as the next; `removed` holds keys to take out.
 
+        With `log` the rows that the version changed are kept beside it, for views that follow the table.
         A version at or below the newest is skipped. A `mark` names the batch (a stream and its epoch): it is kept beside
         the versions, and a batch whose mark is there is skipped. A batch is applied again if the driver was lost before
         its mark was made, which changes nothing: upserts by key are idempotent.
@@ -55,6 +72,12 @@ class VersionedTable:
             merged = upsert(base, batch, self.key, self.unique, keep=("created_at",) if "created_at" in base.columns else ())
         else:
             merged = latest(batch, [self.key], F.desc("batch_seq")).drop("batch_seq")
+        if removed is not None:
+            merged = merged.join(removed.select(self.key), self.key, "left_anti")
+        if log and have:  # before the version itself: a version that is there has its changes
+            merged.write.mode("overwrite").parquet(f"{self.path}/_next")
+            merged = self.spark.read.parquet(f"{self.path}/_next")
+            self._log(base, merged, version)
         merged.write.mode("overwrite").parquet(f"{self.path}/v{version}")
         if seen:
             fs.create(seen).close()
