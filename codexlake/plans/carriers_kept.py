@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codexlake.operators import relational, search, vectors
 from codexlake.operators.fulltext import PassageIndex, passage_search, word_passages
 from codexlake.registry import query
+from codexlake.sources import exchange
 from codexlake.sources.library import Library
 from codexlake.sources.tables import fingerprint, kept_dir, table
 from codexlake.streaming import timers
@@ -138,3 +139,18 @@ def restore_points(spark, sf_dir):
     total = lambda number, moment, name, key: library.read(name, number).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(key), F.lit(0)).alias("keys")).select(F.lit(moment).alias("moment"), F.lit(name).alias("name"), "n", "keys")
     parts = [total(number, moment, name, key) for number, moment in ((then, "archived"), (now, "restored")) for name, key in (("refs", "id"), ("archive", "id"), ("bridge", "ref_id"))]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# ---- exchange with a service ----------------------------------------------------------------------------------------
+
+
+@query("a24_b14_push_and_pull", "SELECT o_orderkey AS version, o_orderstatus AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'PATCH' ELSE 'POST' END AS method FROM orders WHERE o_orderkey > 500 AND o_orderkey <= 2500")
+def push_and_pull(spark, sf_dir):
+    """Orders are pushed as pages in the order of their version (the same push twice, which counts once), and pulled since a version."""
+    exchange.register(spark)
+    path = _scratch(spark, "exchange")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 4 == 0, "PATCH").otherwise("POST").alias("method"))
+    for _ in range(2):
+        rows.repartitionByRange("version").sortWithinPartitions("version").write.format("page_exchange").option("path", path).option("push", "orders").mode("append").save()
+    pulled = spark.read.format("page_exchange").schema("version long, status string, method string").option("path", path).load()
+    return pulled.filter("version > 500 AND version <= 2500")
