@@ -27,6 +27,8 @@ from codexlake.llm.common import written
 
 #: Links after which a block is closed (a document is never cut), transitions and units that are kept in memory.
 BLOCK_LINKS, MOST_STEPS, CACHE_UNITS = 1_000_000, 1_000_000, 250_000
+#: Texts read at once.
+GROUP_ROWS, GROUP_CHARS = 1000, 1 << 20
 _DOC = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>, times array<int>"
 _BLOCK = "pairs array<long>, counts array<long>"
 
@@ -107,22 +109,27 @@ class Pair:
     """A byte-level vocabulary reading space + text, and pieces reading text (they add the space).
 
     Both sides' cuts (pre-tokens, runs of marks with what follows) fall together after nearly every word, so a text is read
-    unit by unit: what lies between two common cuts. The transducer starts each unit with nothing dangling; what it makes
-    of short ones is kept, by generations.
+    unit by unit: what lies between two common cuts. A group of texts' new units are encoded by the tokenizers' libraries
+    at once; the transducer starts each unit with nothing dangling. What it makes of short ones is kept, by generations.
     """
 
     def __init__(self, byte_level: str, pattern: str, pieces: str):
-        self.bpe = byte_bpe.load(byte_level, pattern)
-        self.pieces = sentencepiece_bpe.load_model(pieces)
-        m = self.pieces
-        of = [bytes([m.byte_of[i]]) if i in m.byte_of else p.replace(sentencepiece_bpe.MARK, " ").encode() for i, p in enumerate(m.pieces)]
-        self.transducer = Transducer(self.bpe.bytes_of.to_pylist(), of)
+        import sentencepiece
+        import tiktoken
+
+        ranks = byte_bpe.read_ranks(byte_level)
+        self.splitter = byte_bpe.Splitter(pattern)
+        self.first = tiktoken.Encoding("first", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        of_rank = {i: t for t, i in ranks.items()}
+        piece = lambda i, p: bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(sentencepiece_bpe.MARK, " ").encode()
+        self.transducer = Transducer([of_rank.get(i, b"") for i in range(max(of_rank) + 1)], [piece(i, self.second.id_to_piece(i)) for i in range(len(self.second))])
         self._cache: dict[str | tuple, tuple] = {}
         self._older: dict[str | tuple, tuple] = {}
 
     def units(self, text: str):
         """The text's units: one pre-token of space + text, or a tuple of several."""
-        words = itertools.chain.from_iterable(self.bpe.splitter.parts(" " + text, byte_bpe.GROUP_WORDS))
+        words = itertools.chain.from_iterable(self.splitter.parts(" " + text, byte_bpe.GROUP_WORDS))
         unit, ahead = None, 0  # ahead: characters of the unit that no segment has covered yet
         for segment in sentencepiece_bpe.segments(text):
             ahead -= len(segment)
@@ -141,37 +148,69 @@ class Pair:
                 yield tuple(unit)
                 unit = None
 
-    def ids(self, unit: str | tuple[str, ...]) -> tuple[list[int], list[int]]:
-        words = (unit,) if isinstance(unit, str) else unit
-        a = [i for w in words for i in self.bpe.fresh(w)]
-        return a, [i for s in sentencepiece_bpe.segments("".join(words), False) for i in self.pieces._segment(s)[0]]
-
-    def read(self, unit: str | tuple[str, ...]) -> tuple:
-        """(tokens of either side, groups, the groups' text, links as 64-bit integers' bytes) of a unit; () if the sides' bytes differ."""
-        found = self._older.get(unit)
-        if found is None:
-            a, b = self.ids(unit)
-            aligned = self.transducer.align(a, b)
-            found = () if aligned is None else (len(a), len(b), len(aligned[0]), ";".join(aligned[0]), array("q", aligned[1]).tobytes())
+    def _read(self, units: list) -> list[tuple]:
+        """(tokens of either side, groups, the groups' text, links as 64-bit integers' bytes) of each unit; () if the sides' bytes differ."""
+        encode, align = self.first._encode_single_piece, self.transducer.align
+        a = [encode(u) if isinstance(u, str) else [i for w in u for i in encode(w)] for u in units]
+        b = self.second.encode([u[1:] if isinstance(u, str) else "".join(u)[1:] for u in units], num_threads=1)
+        if " " in units:  # the library adds no space to an empty text
+            b[units.index(" ")] = [self.second.piece_to_id(sentencepiece_bpe.MARK)]
+        out = []
+        for first, second, found in zip(a, b, map(align, a, b)):
+            out.append(() if found is None else (len(first), len(second), len(found[0]), ";".join(found[0]), array("q", found[1]).tobytes()))
+        return out
+
+    def _known(self, units: set) -> dict:
+        """unit -> what _read gives, for a group of texts' units."""
+        here, fresh = {}, []
+        for u in units:
+            found = self._cache.get(u)
+            if found is None:
+                found = self._older.get(u)
+                if found is None:
+                    fresh.append(u)
+                    continue
+                self._keep(u, found)
+            here[u] = found
+        for u, found in zip(fresh, self._read(fresh)):
+            here[u] = found
+            self._keep(u, found)
+        return here
+
+    def _keep(self, unit, found: tuple) -> None:
         if (len(unit) if isinstance(unit, str) else sum(map(len, unit))) <= sentencepiece_bpe.CACHE_CHARS:
             if len(self._cache) >= CACHE_UNITS:
                 self._older, self._cache = self._cache, {}
             self._cache[unit] = found
-        return found
 
-    def align(self, text: str | None) -> tuple[int, int, int, str, bytes]:
-        """As read, of a text; all empty where there is no text or the two sides' bytes differ."""
-        found = []
-        known = self._cache.get
-        for unit in self.units(text) if text else ():
-            one = known(unit)
-            if one is None:
-                one = self.read(unit)
-                known = self._cache.get
-            if not one:
-                return 0, 0, 0, "", b""
-            found.append(one)
-        return *(sum([f[k] for f in found]) for k in range(3)), ";".join([f[3] for f in found]), b"".join([f[4] for f in found])
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, bytes]]:
+        """As _read, of texts; all empty where there is no text or the two sides' bytes differ."""
+        lists = [list(self.units(t)) if t else [] for t in texts]
+        known = self._known(set(itertools.chain.from_iterable(lists))).__getitem__
+        out = []
+        for units in lists:
+            found = list(map(known, units))
+            if found and all(found):
+                n_a, n_b, n_groups, groups, links = zip(*found)
+                out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)))
+            else:
+                out.append((0, 0, 0, "", b""))
+        return out
+
+
+def _groups(batches):
+    """(ids, texts) in groups of at most so many rows and about so many characters; a text leaves Arrow when its turn comes."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(doc_id)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= GROUP_CHARS or len(ids) >= GROUP_ROWS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
 
 
 @lru_cache(2)
@@ -198,9 +237,8 @@ def _blocks(paths: tuple[str, str, str]):
         both = load(*paths)
         number = TaskContext.get().partitionId() << 32
         rows, links, size = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):  # a text leaves Arrow when its turn comes
-                n_a, n_b, n_groups, groups, found = both.align(text.as_py())
+        for ids, texts in _groups(batches):
+            for doc_id, (n_a, n_b, n_groups, groups, found) in zip(ids, both.align(texts)):
                 links.append(np.frombuffer(found, np.int64))
                 rows.append((doc_id, n_a, n_b, n_groups, len(links[-1]), hashlib.sha256(groups.encode()).hexdigest() if n_a else ""))
                 size += len(links[-1]) + 1
@@ -255,9 +293,9 @@ def aligned_groups(docs: DataFrame, byte_level: str, pattern: str, pieces: str)
 
     def run(batches):
         both = load(byte_level, pattern, pieces)
-        for batch in byte_bpe.small(batches, 64):
-            groups = [g.split(";") if g else [] for g in (both.align(x)[3] for x in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.list_(pa.string()))], names=["doc_id", "groups"])
+        for ids, texts in _groups(batches):
+            groups = [found[3].split(";") if found[3] else [] for found in both.align(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.list_(pa.string()))], names=["doc_id", "groups"])
 
     return byte_bpe.rows(docs).mapInArrow(run, "doc_id long, groups array<string>")
 

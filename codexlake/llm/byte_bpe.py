@@ -14,7 +14,7 @@ import heapq
 import itertools
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens that are worked on at once, characters from which a text is cut into parts, pre-tokens kept with their ids.
-GROUP_WORDS, LONG_TEXT, CACHE_WORDS, CACHE_CHARS = 400_000, 1 << 20, 250_000, 48
+GROUP_WORDS, LONG_TEXT, CACHE_WORDS, CACHE_CHARS = 400_000, 1 << 20, 400_000, 48
 #: Keys in a bucket of the perfect hash, displacements tried at once, and at most.
 BUCKET, TRIED, MOST_TRIED = 4, 2048, 1 << 20
 #: Odd 64-bit multipliers that move and spread a hash.
@@ -38,6 +38,7 @@ a7f1 a7f1, ab6c ab6d, 107bb 107bf, 10940 10959, 10ec5 10ec7, 10ed9 10eee, 11b0a
 16ebb 16ed3, 16ff2 16ff3, 187f8 187ff, 18cd6 18cda, 18d09 18d20, 18d80 18df2, 18e00 19191, 191a0 191d2, 1b123 1b128, 1b168 1b168,
 1d6a6 1d6a6, 1df1f 1df24, 1df2b 1df81, 1df90 1df96, 1dfcd 1dfff, 1e6c0 1e6de, 1e6e0 1e6e2, 1e6e4 1e6e5, 1e6e7 1e6ed, 1e6f0 1e6f4,
 1e6fe 1e6ff, 2b73a 2b73f, 2b81e 2b81e, 2cea2 2cead, 323b0 33479, 3d000 3fc3f"""
+YOUNGEST = "\u0558"  # the first of them
 YOUNG_NUMBERS = "11de0 11de9, 1246f 1246f, 12475 1247f, 12550 12686, 16ff4 16ff6"
 
 
@@ -58,7 +59,9 @@ class Splitter:
         self.careful = regex.compile(other, regex.V1)
 
     def _for(self, text: str):
-        return self.careful if not text.isascii() and self.young.search(text) else self.plain
+        if text.isascii() or max(text) < YOUNGEST:
+            return self.plain
+        return self.careful if self.young.search(text) else self.plain
 
     def words(self, text: str) -> list[str]:
         return self._for(text).findall(text)
@@ -146,45 +149,56 @@ class ByteBPE:
         self.hash = PerfectHash(self.tokens)
         self.rank_of = ranks
         self.single = [ranks[bytes([b])] for b in range(256)]
+        self.pair = [ranks.get(bytes(p), -1) for p in itertools.product(range(256), repeat=2)]
         self.token_of = dict(zip(self.ranks, self.tokens))
         texts = [self.token_of.get(i, b"") for i in range(max(self.ranks) + 1)]
         self.bytes_of = pa.array(texts, pa.binary())
-        self._cache: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        self._cache: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a byte string: again and again the neighbours of the smallest joint rank become one, the leftmost of equals."""
+    def merge(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of a byte string: again and again the neighbours of the smallest joint rank become one, the leftmost of equals.
+
+        A part is known by its first byte's place; end[i] is the place of the part after it, before[i] that of the part
+        before. The heap's numbers hold the joint rank, the left part and the end of the right one.
+        """
         n, rank = len(piece), self.rank_of.get
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        bits = n.bit_length()
+        low, both = (1 << bits) - 1, 2 * bits
+        end, before = [*range(1, n + 1), -1], list(range(-1, n))
         ids = [self.single[b] for b in piece]
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        of_pair = self.pair
+        heap = [r << both | i << bits | i + 2 for i, (a, b) in enumerate(itertools.pairwise(piece)) if (r := of_pair[a << 8 | b]) >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            r, i, middle, stop = heapq.heappop(heap)
-            if end[i] != middle or end[middle] != stop:  # one of the two has been joined to another since
+            entry = pop(heap)
+            i, stop = entry >> bits & low, entry & low
+            middle = end[i]
+            if end[middle] != stop:  # one of the two has been joined to another since
                 continue
-            end[i], end[middle], ids[i] = stop, -1, r
+            end[i], end[middle], ids[i] = stop, n, entry >> both
+            before[stop] = i
             if stop < n:
-                before[stop] = i
                 after = end[stop]
                 if (r := rank(piece[i:after])) is not None:
-                    heapq.heappush(heap, (r, i, stop, after))
+                    push(heap, r << both | i << bits | after)
             j = before[i]
             if j >= 0 and (r := rank(piece[j:stop])) is not None:
-                heapq.heappush(heap, (r, j, i, stop))
+                push(heap, r << both | j << bits | stop)
         out, i = [], 0
         while i < n:
             out.append(ids[i])
             i = end[i]
-        return out
+        return tuple(out)
 
-    def fresh(self, word: str) -> list[int]:
+    def fresh(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token: the perfect hash's answer, or else the merge's."""
         piece = word.encode("utf-8", "surrogatepass")
         found = self.hash.find(piece)
-        return [self.ranks[found]] if found >= 0 else self.merge(piece)
+        return (self.ranks[found],) if found >= 0 else self.merge(piece)
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         """As fresh; the ids of short pre-tokens are kept, and a full store makes way by generations."""
         ids = self._cache.get(word)
         if ids is not None:
@@ -205,7 +219,7 @@ class ByteBPE:
         return b"".join([self.token_of[i] for i in ids])
 
 
-def lay_out(words: list[str], ids_of: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def lay_out(words: list[str], ids_of: Callable[[str], Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a list of words, one after the other, and where each word's ids end; ids_of is asked once a distinct word."""
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -217,7 +231,7 @@ def lay_out(words: list[str], ids_of: Callable[[str], list[int]]) -> tuple[np.nd
     return lists.take(coded.indices).flatten().to_numpy(), np.cumsum(size[codes])
 
 
-def encoded(texts: list[str | None], parts: Callable[[str, int], Iterator[list[str]]], ids_of: Callable[[str], list[int]]) -> Iterator[tuple[int, np.ndarray]]:
+def encoded(texts: list[str | None], parts: Callable[[str, int], Iterator[list[str]]], ids_of: Callable[[str], Sequence[int]]) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the text, ids) for texts in order; a long text gives several parts one after the other."""
     rows: list[tuple[int, int]] = []
     words: list[str] = []
@@ -255,16 +269,21 @@ def bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-@lru_cache(4)
-def load(path: str, pattern: str) -> ByteBPE:
-    """The vocabulary of a local file of ranks (.tiktoken) or of a byte-level tokenizer (.json), one for each worker process."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary of a local file of ranks (.tiktoken) or of a byte-level tokenizer (.json), without special tokens."""
     with open(path, "rb") as f:
         data = f.read()
     if not path.endswith(".json"):
-        return ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}, pattern)
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
     spec, byte = json.loads(data), bytes_of_symbols()
     special = {t["content"] for t in spec["added_tokens"]}
-    return ByteBPE({bytes([byte[c] for c in t]): i for t, i in spec["model"]["vocab"].items() if t not in special}, pattern)
+    return {bytes([byte[c] for c in t]): i for t, i in spec["model"]["vocab"].items() if t not in special}
+
+
+@lru_cache(4)
+def load(path: str, pattern: str) -> ByteBPE:
+    """The encoder of a local file, one for each worker process."""
+    return ByteBPE(read_ranks(path), pattern)
 
 
 def rows(docs: DataFrame) -> DataFrame:

@@ -56,8 +56,15 @@ def _numbers(s: str) -> set[str]:
 
 
 def _initials_and_name(s: str) -> bool:
-    """A title that begins like a review's: 'A. J. Kempner. ...'."""
-    return re.match(r"(?:[A-Z]\.\s?){1,3}[A-Z][\w'-]+(?:\s[A-Z][\w'-]+)?\.\s", s) is not None
+    """A title that begins like a review's, with up to three initials, one or two names and a full stop: 'A. J. Kempner. ...'."""
+    capital = lambda c: "A" <= c <= "Z"
+    initials = 0
+    while initials < 3 and len(s) > 1 and capital(s[0]) and s[1] == ".":
+        s, initials = s[3:] if s[2:3].isspace() else s[2:], initials + 1
+    head, _, tail = s.partition(".")
+    names = re.split(r"\s", head)
+    is_name = lambda w: len(w) > 1 and capital(w[0]) and all(c.isalnum() or c in "_'-" for c in w)
+    return initials > 0 and len(names) <= 2 and all(map(is_name, names)) and tail[:1].isspace()
 
 
 def _is_about(s: str) -> bool:

@@ -141,9 +141,9 @@ def plain_rows(sides, texts):
 
 def test_units_give_what_whole_texts_give(sides):
     pair = align.load(*align.default_files())
-    for text in made(1500, 7) + HARD + ["a\n  b  \n c\n\n", "x  y\t z ", "\n "]:
+    texts = made(1500, 7) + HARD + ["a\n  b  \n c\n\n", "x  y\t z ", "\n "]
+    for text, got in zip(texts, pair.align(texts), strict=True):
         a, b, groups, links = plainly(sides, text)
-        got = pair.align(text)
         assert got[:4] == (len(a), len(b), len(groups), ";".join(groups))
         assert sorted((x >> 20, x & (1 << 20) - 1) for x in np.frombuffer(got[4], np.int64).tolist()) == sorted(links)
 
