@@ -42,6 +42,7 @@ class Transducer:
 
     def forget(self) -> None:
         self.step: dict[int, int] = {}
+        self.whole: dict[int, str] = {}  # link -> group, where two tokens of equal bytes are a group: two transitions in one
         self.residual: list[bytes] = [b"", b""]
         self.state: dict[tuple[bool, bytes], int] = {}
 
@@ -69,7 +70,7 @@ class Transducer:
         """(the groups as texts 'a1,a2|b1', links as first id << 20 | second id), or None if the two sides' bytes differ."""
         if len(self.step) > MOST_STEPS:
             self.forget()
-        step = self.step.get
+        step, whole = self.step.get, self.whole.get
         groups, links = [], []
         i = j = state = 0
         open_a = open_b = 0
@@ -90,6 +91,12 @@ class Transducer:
                 i += 1
                 if state:
                     links.append(a << 20 | b)
+                elif j < n_b and (group := whole(link := a << 20 | b_ids[j])) is not None:
+                    j += 1
+                    links.append(link)
+                    groups.append(group)
+                    open_a, open_b = i, j
+                    continue
                 to = step(state << 20 | a)
                 if to is None:
                     to = self._transition(state, a)
@@ -100,7 +107,10 @@ class Transducer:
             if to <= 0:
                 if to < 0:
                     return None
-                groups.append(",".join(map(str, a_ids[open_a:i])) + "|" + ",".join(map(str, b_ids[open_b:j])))
+                group = ",".join(map(str, a_ids[open_a:i])) + "|" + ",".join(map(str, b_ids[open_b:j]))
+                if i - open_a == 1 == j - open_b:
+                    self.whole[a << 20 | b] = group
+                groups.append(group)
                 open_a, open_b = i, j
             state = to
 
