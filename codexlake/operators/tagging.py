@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.functions.model import filled
+from codexlake.functions.topics import TOPICS
 
 
 @dataclass(frozen=True)
@@ -63,16 +67,46 @@ def auto_tags(refs: DataFrame, rules: Sequence[TagRule] = (), by_type: bool = Tr
     return refs.withColumn("tags", F.array_distinct(F.array_compact(F.array(*parts))))
 
 
-def topic_tags(refs: DataFrame, taxonomy: dict[str, Sequence[str]], text: Column | None = None) -> DataFrame:
-    """refs with `topics`: every topic one of whose triggers occurs in the text. The table is part of the plan."""
-    hay = text if text is not None else haystack()
-    found = []
-    for tag, triggers in taxonomy.items():
-        cond = F.lit(False)
+@lru_cache(8)
+def _triggers(taxonomy: tuple[tuple[str, tuple[str, ...]], ...]):
+    """(automaton of all triggers, each with the numbers of its topics; topics that an empty trigger gives to every text)."""
+    topics: dict[str, set[int]] = {}
+    for i, (_, triggers) in enumerate(taxonomy):
         for t in triggers:
-            cond = cond | F.contains(hay, F.lit(t))
-        found.append(F.when(cond, F.lit(tag)))
-    return refs.withColumn("topics", F.array_compact(F.array(*found)))
+            topics.setdefault(t, set()).add(i)
+    everywhere = topics.pop("", set())
+    if not topics:
+        return None, everywhere
+    automaton = ahocorasick.Automaton()
+    for t, of in topics.items():
+        automaton.add_word(t, of)
+    automaton.make_automaton()
+    return automaton, everywhere
+
+
+def topic_tags(refs: DataFrame, taxonomy: Mapping[str, Sequence[str]] = TOPICS, text: Column | None = None) -> DataFrame:
+    """refs with `topics`: every topic one of whose triggers occurs in the text, in the table's order; none for a null text.
+
+    The text (title, abstract and keywords by default) must be in the triggers' case. All triggers are looked for in one
+    pass over it, by an automaton that each worker builds once from the table, which travels with the plan.
+    """
+    table = tuple((topic, tuple(triggers)) for topic, triggers in taxonomy.items())
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        automaton, everywhere = _triggers(table)
+
+        def topics(t: str | None) -> list[str]:
+            if t is None:
+                return []
+            found = set(everywhere)
+            for _, of in automaton.iter(t) if automaton else ():
+                found |= of
+            return [table[i][0] for i in sorted(found)]
+
+        return texts.map(topics)
+
+    return refs.withColumn("topics", run(haystack() if text is None else text))
 
 
 def suggest_tags(refs: DataFrame, tags: DataFrame, text: Column, id_col: str = "id", most: int = 10) -> DataFrame:

@@ -592,9 +592,19 @@ def auto_tags(spark, sf_dir):
     return tag(as_refs(d)).select(F.col("id").cast("long").alias("doc_id"), F.explode("tags").alias("tag"))
 
 
-@query("n03_topics", "SELECT topic, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN contains(lower(text), 'token') THEN 'security' END, CASE WHEN contains(lower(text), 'mail') OR contains(lower(text), '@') THEN 'contact' END, CASE WHEN contains(lower(text), 'idiot') THEN 'tone' END], lambda x: x IS NOT NULL)) AS topic FROM documents) GROUP BY 1")
+def _topics_sql(column: str) -> str:
+    """SQL for the topics of a text as one string, in the table's order."""
+    from codexlake.functions.topics import TOPICS
+
+    cases = [f"CASE WHEN {' OR '.join(f"contains(lower({column}), '{t}')" for t in triggers)} THEN '{topic}' END" for topic, triggers in TOPICS.items()]
+    return f"concat_ws(',', {', '.join(cases)})"
+
+
+@query("n03_topics", f"SELECT 'document' AS kind, doc_id AS id, {_topics_sql('text')} AS topics FROM documents UNION ALL SELECT 'page', page_id, {_topics_sql('html')} FROM pages")
 def topic_tags(spark, sf_dir):
+    """The topics of every document and page, whole texts."""
     from codexlake.operators.tagging import topic_tags as tag
 
-    d = table(spark, sf_dir, "documents")
-    return tag(d, {"security": ["token"], "contact": ["mail", "@"], "tone": ["idiot"]}, F.lower("text")).select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    both = d.unionByName(table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return tag(both, text=F.lower("text")).select("kind", "id", F.array_join("topics", ",").alias("topics"))

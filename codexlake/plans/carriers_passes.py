@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codexlake.functions import repair
 from codexlake.functions.model import PERSON, TYPE_OF_BASE, as_refs, lookup
 from codexlake.operators import aggregates as A
-from codexlake.operators import backfill, matching, relational, resolution, search
+from codexlake.operators import backfill, matching, relational, resolution, search, wordsplit
 from codexlake.registry import query
 from codexlake.sources import readers, tables, writers
 from codexlake.sources.tables import table
@@ -176,6 +176,15 @@ def readable(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", repair.readable(file).alias("title"), hints.alias("h")).select("p_partkey", "title", "h.*")
 
 
+@query("h31_glued_words")
+def glued_words(spark, sf_dir):
+    """Names of parts as files glue them, split by the words of documents and names. No SQL: tested against all cuts."""
+    p = table(spark, sf_dir, "part")
+    costs = wordsplit.word_costs(table(spark, sf_dir, "documents").select("text").unionByName(p.select(F.col("p_name").alias("text"))), "text")
+    glued = p.select("p_partkey", F.initcap(F.replace(F.lower("p_name"), F.lit(" "), F.lit(""))).alias("title"))
+    return wordsplit.split_glued(glued, "p_partkey", "title", costs)
+
+
 @query("h32_clean_seed", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_name END AS title, CASE WHEN p_size * 100 BETWEEN 1400 AND 2026 THEN p_size * 100 END AS year, CASE WHEN length(hex(p_partkey * 1000003)) >= 6 THEN 1 ELSE 2 END AS n_authors FROM part")
 def clean_seed(spark, sf_dir):
     p = table(spark, sf_dir, "part")
