@@ -79,7 +79,7 @@ def features(seed: Work, cand: Work, hint_author: str | None = None, hint_year:
     want, have = [w for w in telling(raw) if w not in said], telling(cand.title)
     of_file, n = float(bool(hint_author)), max(1, len(want))
 
-    known = set(have)
+    known, wanted = set(have), set(want)
     lacking = [i for i, w in enumerate(want) if w not in known]
     if lacking and lacking[-1] == len(want) - 1 and any(x.startswith(want[-1]) for x in known):
         lacking.pop()  # the last word may be cut off
@@ -102,7 +102,7 @@ def features(seed: Work, cand: Work, hint_author: str | None = None, hint_year:
     year = hint_year or seed.year
     gap = min(abs(year - cand.year), 5) / 5 if year and cand.year else 0.0
     return [
-        1 - len(lacking) / n if want else 0.0, len(inside) / n, sum(w in set(want) for w in have) / max(1, len(have)), lead, float(marker),
+        1 - len(lacking) / n if want else 0.0, len(inside) / n, sum(w in wanted for w in have) / max(1, len(have)), lead, float(marker),
         float(bool(a and b and a.isdisjoint(b))), float(not a), gap, float(not (year and cand.year)),
         difflib.SequenceMatcher(None, " ".join(want), " ".join(have)).ratio(), min(len(want), 12) / 12, in_order / n, tail,
         float((cut_end and tail == 0) or (cut_front and lead == 0)), float(bool(parts) and parts.isdisjoint(cand_parts)), of_file, lead * of_file,

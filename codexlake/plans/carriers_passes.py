@@ -178,10 +178,10 @@ def readable(spark, sf_dir):
 
 @query("h31_glued_words")
 def glued_words(spark, sf_dir):
-    """Names of parts as files glue them, split by the words of documents and names. No SQL: tested against all cuts."""
-    p = table(spark, sf_dir, "part")
-    costs = wordsplit.word_costs(table(spark, sf_dir, "documents").select("text").unionByName(p.select(F.col("p_name").alias("text"))), "text")
-    glued = p.select("p_partkey", F.initcap(F.replace(F.lower("p_name"), F.lit(" "), F.lit(""))).alias("title"))
+    """Names and types of parts as files glue them, split by the words of documents and parts. No SQL: tested against all cuts."""
+    p = table(spark, sf_dir, "part").withColumn("title", F.concat_ws(" ", "p_name", F.lower("p_type")))
+    costs = wordsplit.word_costs(table(spark, sf_dir, "documents").select("text").unionByName(p.select(F.col("title").alias("text"))), "text")
+    glued = p.select("p_partkey", F.initcap(F.replace(F.lower("title"), F.lit(" "), F.lit(""))).alias("title"))
     return wordsplit.split_glued(glued, "p_partkey", "title", costs)
 
 
@@ -209,9 +209,8 @@ def best_hits(spark, sf_dir):
 
 @query("j07_damaged_titles")
 def damaged_titles(spark, sf_dir):
-    """First lines of documents cut in the middle, against the whole line and that of the document after it. No SQL: a fitted model over sequence ratios."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
-    works = d.filter(F.length("line") >= 20).select("doc_id", F.substring("line", 1, 120).alias("title"))
+    """First lines of documents, whole, cut in the middle, against the line itself and that of the document after it. No SQL: a fitted model over sequence ratios."""
+    works = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     side = lambda df, s, t: df.select("doc_id", t.alias(f"{s}_title"), F.array(F.lit("Ann Bell")).alias(f"{s}_authors"), F.lit(2000).alias(f"{s}_year"), F.lit("journal-article").alias(f"{s}_kind"))
     seeds = side(works, "seed", F.expr("left(title, length(title) div 2)"))
     same = side(works, "cand", F.col("title"))
