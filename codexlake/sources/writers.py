@@ -24,6 +24,11 @@ def _guard_case(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\b(\w+\p{Lu}\w*)\b", "{$1}")
 
 
+def _percent(share: Column) -> Column:
+    """A share in whole percent, halves away from zero; what rounds to nothing has no sign."""
+    return F.format_string("%.0f%%", F.round(share * 100) + 0.0)
+
+
 def bibtex(protect_case: bool = True) -> Column:
     """One BibTeX entry with aligned fields."""
     title = _tex(F.col("title"))
@@ -62,7 +67,7 @@ def markdown(number: Column | None = None) -> Column:
     line = lambda name, c: F.when(filled(c), F.concat(F.lit(f"- **{name}**: "), c))
     rest = F.array(
         line("Authors", F.array_join(F.transform("authors", lambda a: F.concat_ws(" ", a["given"], a["family"])), ", ")), line("Year", F.col("year").cast("string")), line("Venue", F.coalesce("journal", "container_title")), line("DOI", F.concat(F.lit("[" ), F.col("doi"), F.lit("](https://doi.org/"), F.col("doi"), F.lit(")"))),
-        line("URL", F.col("url")), line("Keywords", F.array_join("keywords", ", ")), F.concat(F.lit("- **Completeness**: "), bar, F.format_string(" %.0f%%", score * 100)), line("Sources", F.array_join(F.transform(sources, lambda s: F.format_string("%s (%.2f)", s["k"], -s["s"])), ", ")), F.when(filled("abstract"), F.concat(F.lit("\n> "), F.col("abstract"))),
+        line("URL", F.col("url")), line("Keywords", F.array_join("keywords", ", ")), F.concat(F.lit("- **Completeness**: "), bar, F.lit(" "), _percent(score)), line("Sources", F.array_join(F.transform(sources, lambda s: F.format_string("%s (%.2f)", s["k"], -s["s"])), ", ")), F.when(filled("abstract"), F.concat(F.lit("\n> "), F.col("abstract"))),
     )
     return F.concat(head, F.lit("\n\n"), F.array_join(F.array_compact(rest), "\n"), F.lit("\n"))
 
@@ -93,7 +98,7 @@ def json_line() -> Column:
 def flat(refs: DataFrame) -> DataFrame:
     """Records for CSV: lists joined by semicolons, completeness in percent."""
     people = lambda c: F.array_join(F.transform(c, _given_first), "; ")
-    out = refs.withColumns({"authors": people("authors"), "editors": people("editors"), "keywords": F.array_join("keywords", "; "), "sources": F.array_join(F.array_sort(F.map_keys("sources")), "; "), "completeness": F.format_string("%.0f%%", F.coalesce("completeness", F.lit(0.0)) * 100)})
+    out = refs.withColumns({"authors": people("authors"), "editors": people("editors"), "keywords": F.array_join("keywords", "; "), "sources": F.array_join(F.array_sort(F.map_keys("sources")), "; "), "completeness": _percent(F.coalesce("completeness", F.lit(0.0)))})
     return out
 
 
