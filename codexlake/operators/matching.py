@@ -100,16 +100,22 @@ def best_hits(refs: DataFrame, hits: DataFrame, least: float = 0.85) -> DataFram
 
 
 def local_candidates(seeds: DataFrame, refs: DataFrame, most: int = 6) -> DataFrame:
-    """seeds(seed_id, doi, pmid, arxiv_id, isbn, title) -> seed_id, id, score: the best local records by identifier or title."""
+    """seeds(seed_id, doi, pmid, arxiv_id, isbn, title) -> seed_id, id, score: the best local records by identifier or title.
+
+    Equal scores go by id, so of all records with one value of a key only the first `most` can be among a seed's best:
+    the seeds meet those, however many records share a title.
+    """
     from codexlake.operators.windows import capped_per_group
 
+    norm = T.udf_ascii_title()
+    keys = [(filled(c), F.lower(c), score) for c, score in (("doi", 1.0), ("pmid", 0.97), ("arxiv_id", 0.95), ("isbn", 0.85))] + [(F.lit(True), norm("title"), 0.8)]
     parts = None
-    for column, score in (("doi", 1.0), ("pmid", 0.97), ("arxiv_id", 0.95), ("isbn", 0.85)):
-        one = seeds.filter(filled(column)).select("seed_id", F.lower(column).alias("_k")).join(refs.filter(filled(column)).select("id", F.lower(column).alias("_k")), "_k").select("seed_id", "id", F.lit(score).alias("score"))
+    for there, key, score in keys:
+        side = lambda df, name: df.filter(there).select(name, key.alias("_k")).filter("_k <> ''").distinct()  # noqa: B023, E731
+        first = capped_per_group(side(refs, "id"), "_k", [F.col("id")], most)
+        one = side(seeds, "seed_id").join(first, "_k").select("seed_id", "id", F.lit(score).alias("score"))
         parts = one if parts is None else parts.unionByName(one)
-    norm = T.udf_ascii_title()
-    by_title = seeds.select("seed_id", norm("title").alias("_k")).filter("_k <> ''").join(refs.select("id", norm("title").alias("_k")), "_k").select("seed_id", "id", F.lit(0.8).alias("score"))
-    best = parts.unionByName(by_title).groupBy("seed_id", "id").agg(F.max("score").alias("score"))
+    best = parts.groupBy("seed_id", "id").agg(F.max("score").alias("score"))
     return capped_per_group(best, "seed_id", [F.desc("score"), F.col("id")], most)
 
 
