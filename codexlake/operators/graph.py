@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.sources.tables import settled
 
+#: Pairs that one task counts, about.
+PAIRS_A_TASK = 2_000_000
+
 
 def edges_of(payloads: DataFrame) -> DataFrame:
     """payloads(ref_id, work, referenced_works array) -> src, dst: distinct citation edges."""
@@ -21,11 +26,19 @@ def lookup_status(refs: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def coupling(cites: DataFrame) -> DataFrame:
-    """Pairs of citing works that share cited works: src_a < src_b, weight = shared works."""
-    edges = cites.select("src", "dst").distinct()
+    """Pairs of citing works that share cited works: src_a < src_b, weight = shared works.
+
+    The pairs are numbered beforehand by how often each work is cited, and dealt into tasks of so many.
+    """
+    shared = cites.select("src", "dst").distinct().groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    pairs = shared.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    parts = max(cites.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS_A_TASK))
+    edges = cites.select("src", "dst").repartition(parts, "dst").distinct()
     a = edges.withColumnRenamed("src", "src_a")
     b = edges.withColumnRenamed("src", "src_b")
-    return a.join(b, "dst").filter("src_a < src_b").groupBy("src_a", "src_b").agg(F.count(F.lit(1)).alias("weight"))
+    # hardly any pair comes twice in a task before they are dealt, so they are counted after that only
+    met = a.join(b, "dst").filter("src_a < src_b").select("src_a", "src_b").repartition(parts, "src_a", "src_b")
+    return met.groupBy("src_a", "src_b").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def cocitation(cites: DataFrame) -> DataFrame:
