@@ -166,4 +166,7 @@ def titles_on_pages(titles: DataFrame, pages: DataFrame) -> DataFrame:
     few = F.size("ws") - F.greatest(F.lit(2), F.ceil(F.size("ws") * 0.6).cast("int")) + 1
     keys = each.filter(few > 0).select("title_id", F.explode(F.slice("ws", F.lit(1), few)).alias("word"))
     pairs = p.join(keys, "word").select("title_id", "page_id").distinct()
-    return pairs.join(titles, "title_id").join(pages, "page_id").filter(contained(F.col("title"), F.col("page"))).select("title_id", "page_id")
+    # of a page only the words that some title has count, so the texts are not needed again
+    held = p.groupBy("page_id").agg(F.collect_set("word").alias("held"))
+    full = pairs.join(each, "title_id").join(held, "page_id")
+    return full.filter(F.size(F.array_intersect("ws", "held")) >= F.greatest(F.lit(2), F.ceil(F.size("ws") * 0.6))).select("title_id", "page_id")
