@@ -152,7 +152,7 @@ def understand(spark, sf_dir):
     size, turn = F.col("p_size").cast("string"), F.col("p_partkey") % 3
     head = F.when(turn == 0, F.concat(F.lit("LNCS "), size, F.lit(": "))).when(turn == 1, F.concat(F.lit("Lecture Notes in Logic vol. "), size, F.lit(", "))).otherwise("")
     u = repair.understand(F.concat(head, F.lit("{\\bf "), F.col("p_name"), F.lit("} is <i>suf ficient</i>")))
-    return table(spark, sf_dir, "part").select("p_partkey", u.alias("u")).select("p_partkey", "u.*")
+    return tables.spread(table(spark, sf_dir, "part")).select("p_partkey", u.alias("u")).select("p_partkey", "u.*")
 
 
 @query("h25_cleaner_twin", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'The ' || p_name ELSE 'Shop | The ' || p_name END AS title FROM part")
@@ -199,7 +199,7 @@ def clean_seed(spark, sf_dir):
 @query("a23_best_hits", "SELECT p_partkey AS ref_id, 'https://doi.org/10.1/' || p_partkey AS url, 'two' AS backend FROM part WHERE p_size % 4 <> 0")
 def best_hits(spark, sf_dir):
     """Three hits a record: two with the title, of which the DOI address is the better one, and another work's."""
-    p = table(spark, sf_dir, "part")
+    p = tables.spread(table(spark, sf_dir, "part"))
     key, title = F.col("p_partkey").cast("string"), F.concat("p_name", F.lit(" of the "), "p_type")
     refs = p.select(F.col("p_partkey").alias("id"), title.alias("title"), F.array().cast("array<string>").alias("surnames"), F.lit(None).cast("string").alias("series"), F.lit(None).cast("string").alias("volume"), F.lit(None).cast("int").alias("year"))
     hit = lambda name, t, url: p.select(F.col("p_partkey").alias("ref_id"), F.lit(name).alias("backend"), t.alias("title"), url.alias("url"), F.lit("").alias("snippet"), "p_size")
@@ -210,7 +210,7 @@ def best_hits(spark, sf_dir):
 @query("j07_damaged_titles")
 def damaged_titles(spark, sf_dir):
     """First lines of documents, whole, cut in the middle, against the line itself and that of the document after it. No SQL: a fitted model over sequence ratios."""
-    works = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    works = tables.spread(table(spark, sf_dir, "documents")).select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     side = lambda df, s, t: df.select("doc_id", t.alias(f"{s}_title"), F.array(F.lit("Ann Bell")).alias(f"{s}_authors"), F.lit(2000).alias(f"{s}_year"), F.lit("journal-article").alias(f"{s}_kind"))
     seeds = side(works, "seed", F.expr("left(title, length(title) div 2)"))
     same = side(works, "cand", F.col("title"))
@@ -238,7 +238,7 @@ _WORKS = "SELECT 'work ' || p_partkey || ' on ' || p_name AS title, 1990 + p_siz
 def _works(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     person = F.array(F.from_json(F.lit('{"family":"Bell","given":"Ann"}'), PERSON))
-    return as_refs(table(spark, sf_dir, "part").select(
+    return as_refs(tables.spread(table(spark, sf_dir, "part")).select(
         key.alias("id"), F.concat(F.lit("work "), key, F.lit(" on "), "p_name").alias("title"), (F.col("p_size") + 1990).alias("year"), F.concat(F.lit("10.1000/"), key).alias("doi"),
         person.alias("authors"), F.col("p_type").alias("publisher"), F.lit("book").alias("ref_type"),
     ))

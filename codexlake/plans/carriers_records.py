@@ -11,7 +11,7 @@ from codexlake.operators import backfill, dedup, graph, matching, relational, se
 from codexlake.plans.carriers_passes import LIB, _library, _works
 from codexlake.registry import query
 from codexlake.sources import writers
-from codexlake.sources.tables import table
+from codexlake.sources.tables import spread, table
 
 
 def _key():
@@ -95,7 +95,7 @@ def ids_in_url(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     inner = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("https://doi.org/10.1000/x"), key)).otherwise(F.concat(F.lit("https://arxiv.org/abs/2001."), (F.col("p_partkey") + 10000).cast("string")))
     wrapped = F.concat(F.lit("https://a.org/r?url="), F.url_encode(F.concat(F.lit("https://b.org/go?target="), F.url_encode(inner))))
-    return table(spark, sf_dir, "part").select("p_partkey", scalar.ids_in_url(scalar.unwrap_url(wrapped)).alias("x")).select("p_partkey", "x.doi", "x.arxiv_id")
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", scalar.ids_in_url(scalar.unwrap_url(wrapped)).alias("x")).select("p_partkey", "x.doi", "x.arxiv_id")
 
 
 @query("h17_author_text", LIB + "SELECT id, CASE WHEN has_authors THEN 'Ann ' || segment END AS people FROM lib")

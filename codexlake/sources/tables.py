@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -60,6 +61,14 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: rows of a table that is read in fewer parts (so a small one) are dealt out anew."""
+    """df over all cores: rows of a table that is read in fewer parts, or lies in few of them, are dealt out anew.
+
+    A file is cut by its bytes, but the rows of a row group all go to one of the parts: a file with one row group gives
+    many parts of which one has the rows. Counting them reads no column.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        rows = [r[0] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).select("n").collect()]
+        if max(rows, default=0) * cores <= 2 * sum(rows):
+            return df
+    return df.repartition(4 * cores)
