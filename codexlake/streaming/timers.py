@@ -47,8 +47,8 @@ class _Deadlines(StatefulProcessor):
     def _due_ms(self, due: pd.Timestamp) -> int:
         return int(due.value // 1_000_000)
 
-    def _lapsed(self, key, due: pd.Timestamp) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "at": [due], "event": ["lapsed"]})
+    def _lapsed(self, key, due: list[pd.Timestamp]) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(due), dtype=object), "at": pd.Series(due, dtype="datetime64[ns]"), "event": pd.Series(["lapsed"] * len(due), dtype=object)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, due = {}, None
@@ -60,7 +60,7 @@ class _Deadlines(StatefulProcessor):
         for row in pdf.itertuples():
             at = pd.Timestamp(row.at) if not self.clock else pd.Timestamp(timerValues.getCurrentProcessingTimeInMs(), unit="ms")
             if due is not None and at >= due:
-                out.append(self._lapsed(key, due))
+                out.append(due)
                 state, due = self.after(state), None
             state, due = self.step(state, due, at, row)
         if old is not None and old != due:
@@ -71,7 +71,7 @@ class _Deadlines(StatefulProcessor):
             self.held.update((json.dumps(state), None if due is None else due.to_pydatetime()))
         else:
             self.held.clear()
-        yield pd.concat(out) if out else pd.DataFrame({"key": pd.Series([], dtype=str), "at": pd.Series([], dtype="datetime64[ns]"), "event": pd.Series([], dtype=str)})
+        yield self._lapsed(key, out)  # one frame a key: frames cost more than rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.held.exists():
@@ -82,7 +82,7 @@ class _Deadlines(StatefulProcessor):
                     self.held.update((json.dumps(state), None))
                 else:
                     self.held.clear()
-                yield self._lapsed(key, pd.Timestamp(due))
+                yield self._lapsed(key, [pd.Timestamp(due)])
 
     def close(self) -> None:
         pass
