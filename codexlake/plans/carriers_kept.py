@@ -44,7 +44,7 @@ def _questions(spark, sf_dir):
 def kept_index(spark, sf_dir) -> PassageIndex:
     """The index of the documents' passages; it is built once for a state of the table's files."""
     docs = table(spark, sf_dir, "documents")
-    index = PassageIndex(spark, f"{kept_dir(spark)}/passages-{fingerprint(docs)}")
+    index = PassageIndex(spark, f"{kept_dir(spark)}/passage-windows-{fingerprint(docs)}")
     if not index.manifest.newest()[0]:
         index.upsert(word_passages(docs.select("doc_id", "text"), "doc_id", "text", SIZE))
     return index
