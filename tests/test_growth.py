@@ -39,3 +39,52 @@ def test_numbers_of_addresses_are_whole(spark):
     urls = [("https://arxiv.org/abs/2001.100000",), ("https://arxiv.org/pdf/2001.10000v2",), ("https://arxiv.org/abs/0704.0001.pdf",)]
     got = spark.createDataFrame(urls, "u string").select(scalar.ids_in_url(F.col("u"))["arxiv_id"]).collect()
     assert [r[0] for r in got] == ["2001.100000", "2001.10000", "0704.0001"]
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from codexlake.sources.tables import spread
+
+    pq.write_table(pa.table({"n": list(range(40_000)), "t": [f"{i * 7919:050d}" for i in range(40_000)]}), f"{tmp_path}/t.parquet", row_group_size=40_000, compression="none")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        one = spark.read.parquet(f"file://{tmp_path}/t.parquet")
+        assert one.rdd.getNumPartitions() >= 4 and one.select(F.spark_partition_id()).distinct().count() == 1
+        parts = spread(one).groupBy(F.spark_partition_id()).count().select("count").collect()
+        assert sum(r[0] for r in parts) == 40_000 and max(r[0] for r in parts) <= 10_000
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from codexlake.operators import graph
+
+    monkeypatch.setattr(graph, "PAIRS_A_TASK", 10)
+    cites = spark.range(60).select(F.col("id").alias("src"), (F.col("id") % 3).alias("dst"))
+    got = graph.coupling(cites.unionByName(cites))
+    assert got.count() == 3 * 190 and got.filter("weight <> 1 OR src_a >= src_b").count() == 0
+    assert "REPARTITION_BY_NUM, " in got._jdf.queryExecution().executedPlan().toString() and ", 57)" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_dealt_once_to_be_put_together_again(spark, sf):
+    from codexlake import registry
+
+    plan = registry.queries()["a20_inverted_abstract"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_blocks_hold_no_references_and_ties_go_by_them(spark, tmp_path):
+    from codexlake.operators.fulltext import PassageIndex
+
+    index = PassageIndex(spark, f"file://{tmp_path}/i", buckets=4)
+    index.upsert(spark.range(5000).select(F.format_string("r%04d", F.lit(4999) - F.col("id")).alias("ref_id"), F.lit(0).alias("ord"), F.lit("same words").alias("text")).coalesce(1))
+    index.remove(spark.createDataFrame([("r0000",), ("r4999",), ("r0063",)], "ref_id string"))
+    blocks = index._read(index._state()[1], "blocks")
+    assert "ref_id" not in blocks.schema.simpleString() and blocks.agg(F.sum(F.size("at"))).first()[0] == 10_000
+    q = spark.createDataFrame([(1, "same"), (2, "words"), (2, "absent")], "qid int, term string")
+    top = index.top(q, 3).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.ref_id) for r in top] == [(i, f"r000{k}") for i in (1, 2) for k in (1, 2, 3)]
+    assert index.scores(q).count() == 2 * 4997
