@@ -143,52 +143,111 @@ def dedup_all(refs: DataFrame, fill, everything: bool = False):
 
 
 def _near_titles(least: float):
-    """One cell of a block: (id_a, id_b, score) of its pairs whose sorted words reach the ratio.
+    """The cells of one task: (a, b, id_a, id_b, score) of their pairs of sorted words that reach the ratio.
 
-    The characters two titles do not share bound the ratio from above, and so does what is left of a title while it is
-    read: pairs that cannot reach it by these bounds are not read to the end.
+    A cell's titles are in order of length, so the lengths that can reach the ratio are a stretch of them; the characters
+    two titles do not share bound the ratio from above. What is left is compared in batches of similar length.
     """
+    far = (100 - least) / 100
 
-    def run(cell: pa.Table) -> pa.Table:
-        ids, high, chunk = cell["id"].to_pylist(), cell["high"].to_numpy(), cell["chunk"].to_numpy()
-        across = cell["i"][0].as_py() != cell["j"][0].as_py()
-        words = [" ".join(sorted(t.split())) for t in cell["t"].to_pylist()]
+    def pairs_of(rows, size, counts, high, chunk, across):
+        upto = np.searchsorted(size[rows], size[rows] * (1 + far) / (1 - far) + 1e-6, "right")
+        for x, at in enumerate(rows):
+            y = rows[x + 1 : upto[x]]
+            y = y[~(high[y] & high[at]) & (size[y] - size[at] <= 0.4 * size[y])]
+            if across:
+                y = y[chunk[y] != chunk[at]]
+            y = y[np.abs(counts[y] - counts[at]).sum(axis=1) <= far * (size[y] + size[at]) + 1e-6]
+            yield np.stack([np.full(len(y), at), y], axis=1)
+
+    def run(cells: pa.Table) -> pa.Table:
+        words, ids, high, chunk = cells["s"].to_pylist(), cells["id"], cells["high"].to_numpy(), cells["chunk"].to_numpy()
         size = np.array([len(t) for t in words])
         counts = np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128)[_TITLE] for t in words], dtype=np.int32)
-        out = []
-        for x, a in enumerate(words):
-            allowed = ~(high[x + 1 :] & high[x])
-            if across:
-                allowed &= chunk[x + 1 :] != chunk[x]
-            y = x + 1 + np.flatnonzero(allowed & (np.abs(size[x + 1 :] - size[x]) <= 0.4 * np.maximum(size[x + 1 :], size[x])))
-            y = y[100 * np.abs(counts[y] - counts[x]).sum(axis=1) <= (100 - least) * (size[y] + size[x]) + 1e-6]
-            masks = T.char_masks(a) if len(y) else {}
-            for k in y.tolist():
-                score = T.indel_ratio_from(masks, a, words[k], least)
-                if score is not None and ids[x] != ids[k]:
-                    out.append((min(ids[x], ids[k]), max(ids[x], ids[k]), score))
-        kind = cell.schema.field("id").type
-        return pa.table({"id_a": pa.array([o[0] for o in out], kind), "id_b": pa.array([o[1] for o in out], kind), "score": pa.array([o[2] for o in out], pa.float64())})
+        names = list(zip(*(cells[c].to_pylist() for c in ("block", "class", "i", "j"))))
+        held: dict[tuple, list[int]] = {}
+        for at in np.argsort(size, kind="stable").tolist():
+            held.setdefault(names[at], []).append(at)
+        found, left, n = [], [], 0
+        for (_, _, i, j), rows in held.items():
+            for some in pairs_of(np.array(rows), size, counts, high, chunk, i != j):
+                left.append(some)
+                n += len(some)
+                if n >= 1 << 18:
+                    found.append(T.indel_ratios(words, np.concatenate(left), least))
+                    left, n = [], 0
+        found.append(T.indel_ratios(words, np.concatenate([np.empty((0, 2), np.int64), *left]), least))
+        x, y, score = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return pa.table({"block": cells["block"].take(pa.array(x)), "a": cells["s"].take(pa.array(x)), "b": cells["s"].take(pa.array(y)), "id_a": ids.take(pa.array(x)), "id_b": ids.take(pa.array(y)), "score": score})
 
     return run
 
 
-def fuzzy_title_pairs(refs: DataFrame, id_col: str = "id", title: str = "title", least: float = 90, likely: float = 95, largest: int = 200) -> DataFrame:
-    """(id_a, id_b, score, label): titles of one first word (3 letters and more) and similar length, token-sort ratio.
+def _titles(refs: DataFrame, id_col: str, title: str, shortest: int) -> DataFrame:
+    """id, block (the first word, 3 letters and more) and s (the words in order) of titles of so many characters."""
+    # not deterministic for the optimiser: it would run the function once more for each filter on what it gives
+    t = T.udf_ascii_title().asNondeterministic()(F.col(title))
+    w = refs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), t.alias("t")).withColumn("block", F.split_part("t", F.lit(" "), F.lit(1)))
+    w = w.filter((F.length("block") >= 3) & (F.length("t") >= shortest))
+    return w.select("id", "block", F.array_join(F.array_sort(F.split("t", " ")), " ").alias("s"))
 
-    Blocks of any size are compared. Lengths that can reach the ratio are in one or in neighbouring classes; the titles
-    of a class and the next are dealt into chunks of about `largest` rows, and every two chunks meet in one task.
-    """
-    w = refs.select(F.col(id_col).alias("id"), T.udf_ascii_title()(F.col(title)).alias("t")).withColumn("block", F.split_part("t", F.lit(" "), F.lit(1))).filter((F.length("block") >= 3) & F.col("id").isNotNull())
+
+def _title_classes(titles: DataFrame) -> DataFrame:
+    """block, s, id, n: titles of one first word and the same words, their smallest id and their number."""
+    return settled(titles.groupBy("block", "s").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+
+
+def _near_classes(classes: DataFrame, least: float, largest: int) -> DataFrame:
+    """block, a, b, id_a, id_b, score: pairs of different classes of one block, by their sorted words."""
     step = -math.log(max(0.6, least / (200 - least))) + 1e-6
-    w = w.withColumn("class", F.floor(F.log(F.length("t")) / step))
-    w = w.select("id", "t", "block", F.explode(F.array(F.struct("class", F.lit(False).alias("high")), F.struct((F.col("class") - 1).alias("class"), F.lit(True).alias("high")))).alias("c")).select("id", "t", "block", "c.*")
-    size = w.groupBy("block", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("high")).alias("low")).filter("n > 1 AND low > 0").select("block", "class", F.ceil(F.col("n") / largest).cast("int").alias("chunks"))
-    w = w.join(size, ["block", "class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    w = classes.select("block", "s", "id").withColumn("class", F.floor(F.log(F.length("s")) / step))
+    w = w.select("id", "s", "block", F.explode(F.array(F.struct("class", F.lit(False).alias("high")), F.struct((F.col("class") - 1).alias("class"), F.lit(True).alias("high")))).alias("c")).select("id", "s", "block", "c.*")
+    size = w.groupBy("block", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("high")).alias("low"), F.sum(F.length("s")).alias("chars")).filter("n > 1 AND low > 0")
+    size = settled(size.select("block", "class", "n", F.greatest(F.ceil(F.col("n") / largest), F.ceil(F.col("chars") / 2**23)).cast("int").alias("chunks")))
+    rows, cells = size.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("chunks") > 1, F.col("chunks") * (F.col("chunks") + 1) / 2)), F.lit(0)).cast("long")).first()
+    small = rows // largest + 1
+    w = w.join(size, ["block", "class"]).withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int"))
     w = w.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = w.select("id", "t", "high", "chunk", "block", "class", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    found = cells.groupBy("block", "class", "i", "j").applyInArrow(_near_titles(least), f"id_a {w.schema['id'].dataType.simpleString()}, id_b {w.schema['id'].dataType.simpleString()}, score double")
-    return found.select("id_a", "id_b", "score", F.when(F.col("score") >= likely, "likely").otherwise("possible").alias("label"))
+    w = w.select("id", "s", "high", "chunk", "block", "class", "chunks", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    # small blocks share a group, about `largest` rows in each; two chunks of a large one have their own
+    group = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block", "class"), F.lit(small))).otherwise(F.xxhash64("block", "class", "i", "j"))
+    kind = w.schema["id"].dataType.simpleString()
+    # as many tasks as groups: the work is in the pairs, of which the bytes of the titles say nothing
+    return w.withColumn("group", group).repartition(min(small + cells, 2000), "group").groupBy("group").applyInArrow(_near_titles(least), f"block string, a string, b string, id_a {kind}, id_b {kind}, score double")
+
+
+def _labelled(pairs: DataFrame, likely: float, *more: str) -> DataFrame:
+    return pairs.filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "score", F.when(F.col("score") >= likely, "likely").otherwise("possible").alias("label"), *more)
+
+
+def fuzzy_title_classes(refs: DataFrame, id_col: str = "id", title: str = "title", least: float = 90, likely: float = 95, largest: int = 2000, shortest: int = 0) -> DataFrame:
+    """(id_a, id_b, score, label, same_words): what fuzzy_title_pairs finds, with one row a title instead of all pairs of copies.
+
+    Titles of one first word and the same words are a class, named by its smallest id. Rows with same_words say that id_b
+    is of the class of id_a; the others are pairs of classes, and their score is that of any two of their members.
+    """
+    titles = _titles(refs, id_col, title, shortest)
+    classes = _title_classes(titles)
+    key = F.md5(F.concat_ws("|", "block", "s"))
+    members = titles.select(F.col("id").alias("id_b"), key.alias("k")).join(classes.filter("n > 1").select(F.col("id").alias("id_a"), key.alias("k")), "k")
+    same = members.select("id_a", "id_b", F.lit(100.0).alias("score"), F.lit(True).alias("same_words"))
+    near = _near_classes(classes, least, largest).select("id_a", "id_b", "score", F.lit(False).alias("same_words"))
+    return _labelled(same.unionByName(near), likely, "same_words")
+
+
+def fuzzy_title_pairs(refs: DataFrame, id_col: str = "id", title: str = "title", least: float = 90, likely: float = 95, largest: int = 2000, shortest: int = 0) -> DataFrame:
+    """(id_a, id_b, score, label): all pairs of titles of one first word (3 letters and more) and similar length, token-sort ratio.
+
+    Blocks of any size are compared. Lengths that can reach the ratio are in one or in neighbouring classes; the titles
+    of a class and the next are dealt into chunks of about `largest` rows, and every two chunks meet in one task. Titles
+    of the same words are compared once; their pairs are as many as the square of the copies (see fuzzy_title_classes).
+    """
+    titles = _titles(refs, id_col, title, shortest)
+    near = _near_classes(_title_classes(titles), least, largest)
+    side = lambda name, words: titles.select("block", F.col("s").alias(words), F.col("id").alias(name))
+    pairs = near.select("block", "a", "b", "score").join(side("id_a", "a"), ["block", "a"]).join(side("id_b", "b"), ["block", "b"])
+    same = side("id_a", "a").join(side("id_b", "a"), ["block", "a"]).filter("id_a < id_b").withColumn("score", F.lit(100.0))
+    return _labelled(pairs.select("id_a", "id_b", "score").unionByName(same.select("id_a", "id_b", "score")), likely)
 
 
 def duplicate_report(refs: DataFrame) -> DataFrame:

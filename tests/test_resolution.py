@@ -151,3 +151,55 @@ def test_tags_and_windows(spark):
     q = spark.createDataFrame([("k", 1.0, 2, 3, 1, None, 0.5, "done"), ("k", 3.0, 1, 0, 4, None, 0.2, "pending")], "into string, priority double, difficulty int, strategy_level int, attempts int, last_attempt timestamp, completeness_before double, status string")
     r = aggregates.queue_rollup(q, "into").first()
     assert (r.priority, r.difficulty, r.attempts, r.status) == (3.0, 1, 4, "pending")
+
+
+def test_fuzzy_titles_of_many_copies(spark):
+    """Copies are a row each, not all pairs; classes and their pairs say what all pairs say, also over chunks and long titles."""
+    import random
+
+    from codexlake.functions import text as T
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("aeihnrst") for _ in range(r.randrange(2, 9)))
+    titles = ["and " + " ".join(word() for _ in range(r.randrange(3, 40))) for _ in range(60)]
+    for t in titles[:60]:
+        words = t.split()
+        titles += [" ".join([words[0], *r.sample(words[1:], len(words) - 1)]), t[: 9 * len(t) // 10], t + " " + word()]
+    titles += [titles[0]] * 40 + [titles[7].upper()] * 20
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    plain = [T.ascii_title(t) for t in titles]
+    want = {(a, b): v for b in range(len(titles)) for a in range(b) for v in [T.token_sort_ratio(plain[a], plain[b])] if v >= 90 and abs(len(plain[a]) - len(plain[b])) <= 0.4 * max(len(plain[a]), len(plain[b]))}
+    pairs = [((x.id_a, x.id_b), x.score) for x in dedup.fuzzy_title_pairs(df, largest=50).collect()]
+    assert len(pairs) > 1000 and sorted(pairs) == sorted(want.items())
+    rows = dedup.fuzzy_title_classes(df, largest=50).collect()
+    first = {x.id_b: x.id_a for x in rows if x.same_words}
+    near = {(x.id_a, x.id_b): x.score for x in rows if not x.same_words}
+    assert len(first) + len(near) == len(rows) < 400 and not {i for p in near for i in p} & first.keys()
+    top = lambda i: first.get(i, i)
+    found = {}
+    for b in range(len(titles)):
+        for a in range(b):
+            score = 100.0 if top(a) == top(b) else near.get((min(top(a), top(b)), max(top(a), top(b))))
+            if score is not None:
+                found[a, b] = score
+    assert found == want
+
+
+def test_ratios_of_batches_are_those_of_pairs():
+    import random
+
+    import numpy as np
+
+    from codexlake.functions import text as T
+
+    r = random.Random(4)
+    words = []
+    for n in (1, 9, 62, 63, 64, 65, 127, 128, 200, 700):
+        for _ in range(3):
+            a = [r.choice("abcdef 012") for _ in range(n)]
+            words += ["".join(a), *["".join(c if r.random() > f else r.choice("abz") for c in a) for f in (0.03, 0.08, 0.12, 0.2)]]
+    pairs = np.array([(a, b) if len(words[a]) <= len(words[b]) else (b, a) for b in range(len(words)) for a in range(b)])
+    for least in (60, 90):
+        x, y, ratio = T.indel_ratios(words, pairs, least)
+        want = [(a, b, v) for a, b in pairs.tolist() for v in [T.indel_ratio(words[a], words[b])] if v >= least]
+        assert sorted(zip(x.tolist(), y.tolist(), ratio.tolist())) == sorted(want) and len(want) > 50
