@@ -8,11 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.sources.tables import spread
+from codexlake.sources.tables import settled
 
 K1, B = 1.2, 0.75
 #: Words of the passage query: letters, digits, hyphens, longer than one, so many at most.
 QUERY_TERMS = 32
+#: Pairs of a query and a term up to which they go to every task.
+SENT_TERMS = 100_000
 
 
 @dataclass
@@ -71,17 +73,23 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def bm25_once(docs: DataFrame, doc: str, text: str, queries: DataFrame) -> DataFrame:
-    """bm25() without an index: texts are cut into words once, and only words that a query has leave their document."""
-    want = queries.select("qid", "term").distinct()
-    words = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))).select("doc", tokens(F.col("text")).alias("ws"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("avgdl"))
-    hits = words.select("doc", F.size("ws").alias("dl"), F.explode("ws").alias("term")).join(want.select("term").distinct(), "term", "left_semi")
-    postings = hits.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """bm25() without an index: texts are cut into words once, and only words that a query has are kept.
+
+    Texts are dealt by document before they are cut, so their words are not dealt again, and what is one row a query and
+    term goes to every task. The word of no letters, once in each text, counts all of them.
+    """
+    want = settled(queries.select("qid", "term").filter("term <> ''").distinct())
+    sent = F.broadcast if want.count() <= SENT_TERMS else (lambda df: df)
+    known = want.select("term").distinct().unionByName(want.sparkSession.createDataFrame([("",)], "term string"))
+    words = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition("doc").select("doc", tokens(F.col("text")).alias("ws"))
+    hits = words.select("doc", F.size("ws").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "ws")).alias("term")).join(sent(known), "term", "left_semi")
+    postings = settled(hits.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("all")))
+    stats = postings.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum("all") / F.sum("tf")).alias("avgdl"))
+    df = postings.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(df, "term").join(F.broadcast(stats)).select("doc", "term", (idf * weight).alias("w"))  # one row
-    return scored.join(want, "term").groupBy("qid", "doc").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("matched"))
+    asked = want.join(df, "term").join(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "avgdl")  # one row
+    return postings.join(sent(asked), "term").groupBy("qid", "doc").agg(F.sum(F.col("idf") * weight).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
 def search_all_prefixes(index: Index, words: Sequence[str]) -> DataFrame:

@@ -88,3 +88,23 @@ def test_blocks_hold_no_references_and_ties_go_by_them(spark, tmp_path):
     top = index.top(q, 3).orderBy("qid", "rank").collect()
     assert [(r.qid, r.ref_id) for r in top] == [(i, f"r000{k}") for i in (1, 2) for k in (1, 2, 3)]
     assert index.scores(q).count() == 2 * 4997
+
+
+def test_bm25_once_deals_words_once_and_counts_every_text(spark):
+    """Also texts without a word that a query has, and without any; two rows of one document are two texts of one document."""
+    from codexlake.operators import search
+
+    docs = spark.createDataFrame([(1, "the tide and the moon"), (2, "a b c"), (3, None), (4, "moon moon moon rock"), (5, "other things here"), (6, "tide")], "id long, text string")
+    q = spark.createDataFrame([("x", "moon"), ("x", "tide"), ("x", "moon"), ("y", "the"), ("y", ""), ("z", "none")], "qid string, term string")
+    got = search.bm25_once(docs, "id", "text", q)
+    want = search.bm25(search.build_index(docs, "id", "text"), q)
+    row = lambda df: sorted((r.qid, r.doc, round(r.score, 9), r.matched) for r in df.collect())
+    assert row(got) == row(want) and len(row(got)) == 4
+    # neither the words nor their texts are cut or dealt again behind what is kept
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "RepartitionByExpression" not in plan
+    twice = search.bm25_once(docs.unionByName(docs.filter("id = 6")), "id", "text", q).filter("doc = 6").first()
+    n, df, avgdl, tf, dl = 7, 2, 14 / 7, 2, 1
+    import math
+
+    assert twice.matched == 1 and abs(twice.score - math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) < 1e-9
