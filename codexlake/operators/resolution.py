@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
+import functools
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.functions.text import sequence_ratio
+
 # Words that carry no meaning in titles, and those a title that was cut off may end in.
 STOP = frozenset(
     "the a an of in on and or to for with by from as at is are its into via de la le el der die das und do da dos em e o os um uma del les des du y en et il sur zur zum von".split()
@@ -37,9 +40,27 @@ class Work(NamedTuple):
     kind: str | None = None
 
 
+class _Unmarked(dict):
+    """A table for translate() that drops marks, filled with the characters it meets."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = kept = None if unicodedata.combining(chr(c)) else c
+        return kept
+
+
+_UNMARKED = _Unmarked()
+
+
+@functools.lru_cache(maxsize=16)  # the titles of one pair, which are asked for again and again
 def plain(s: str | None) -> str:
     """Lower case without marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(c)).lower()
+    s = s or ""
+    return (s if s.isascii() else unicodedata.normalize("NFKD", s).translate(_UNMARKED)).lower()
+
+
+@functools.lru_cache(maxsize=16)
+def _words(s: str | None) -> tuple[str, ...]:
+    return tuple(re.findall(r"\w+", plain(s)))
 
 
 def telling(s: str | None) -> list[str]:
@@ -52,7 +73,7 @@ def _name_parts(people: Sequence[str]) -> set[str]:
 
 
 def _numbers(s: str) -> set[str]:
-    return {w for w in re.findall(r"\w+", plain(s)) if w in ROMAN or (len(w) <= 3 and w.isdecimal())}
+    return {w for w in _words(s) if w in ROMAN or (len(w) <= 3 and w.isdecimal())}
 
 
 def _initials_and_name(s: str) -> bool:
@@ -68,10 +89,29 @@ def _initials_and_name(s: str) -> bool:
 
 
 def _is_about(s: str) -> bool:
-    words = re.findall(r"\w+", plain(s))
+    words = _words(s)
     return not ABOUT.isdisjoint(words) or not ABOUT_PAIRS.isdisjoint(zip(words, words[1:]))
 
 
+def _in_order(want: list[str], have: list[str]) -> tuple[int, int]:
+    """(words found, words left): every wanted word at the first word behind the last one found that begins with it."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(have):
+        places.setdefault(w, []).append(i)
+    known, found, behind = sorted(places), 0, 0
+    for w in want:
+        first = len(have)
+        for k in range(bisect_left(known, w), len(known)):
+            if not known[k].startswith(w):
+                break
+            at = places[known[k]]
+            i = bisect_left(at, behind)
+            first = min(first, at[i] if i < len(at) else first)
+        if first < len(have):
+            found, behind = found + 1, first + 1
+    return found, len(have) - behind
+
+
 def features(seed: Work, cand: Work, hint_author: str | None = None, hint_year: int | None = None) -> list[float]:
     """The 17 values of FEATURES. A hint is the author and year that a file-like title names; its words do not count."""
     raw = re.sub(r"(?i)^(?:microsoft word|untitled)\s*-\s*|\.(?:pdf|docx?|tex|dvi|ps|indd)$|\(\d\)$|_", " ", seed.title).strip()
@@ -87,14 +127,10 @@ def features(seed: Work, cand: Work, hint_author: str | None = None, hint_year:
     begin = have.index(want[0]) if want and want[0] in known else len(have)
     lead = min(begin, 6) / 6
 
-    rest, in_order = have, 0
-    for w in want:
-        at = next((i for i, x in enumerate(rest) if x.startswith(w)), None)
-        if at is not None:
-            rest, in_order = rest[at + 1 :], in_order + 1
-    tail = min(len(rest), 6) / 6 if in_order else 1.0
+    in_order, rest = _in_order(want, have)
+    tail = min(rest, 6) / 6 if in_order else 1.0
 
-    words = re.findall(r"\w+", plain(raw))
+    words = _words(raw)
     cut_end, cut_front = bool(words) and words[-1] in CUT_STOP, raw[:1].islower() and not hint_author
     parts, cand_parts = _numbers(raw), _numbers(cand.title)
     marker = (_is_about(cand.title) or _initials_and_name(cand.title)) and not _is_about(seed.title)
@@ -104,7 +140,7 @@ def features(seed: Work, cand: Work, hint_author: str | None = None, hint_year:
     return [
         1 - len(lacking) / n if want else 0.0, len(inside) / n, sum(w in wanted for w in have) / max(1, len(have)), lead, float(marker),
         float(bool(a and b and a.isdisjoint(b))), float(not a), gap, float(not (year and cand.year)),
-        difflib.SequenceMatcher(None, " ".join(want), " ".join(have)).ratio(), min(len(want), 12) / 12, in_order / n, tail,
+        sequence_ratio(" ".join(want), " ".join(have)), min(len(want), 12) / 12, in_order / n, tail,
         float((cut_end and tail == 0) or (cut_front and lead == 0)), float(bool(parts) and parts.isdisjoint(cand_parts)), of_file, lead * of_file,
     ]
 
@@ -165,7 +201,7 @@ def book_title_fits(seed: str | None, cand: str | None) -> str | None:
     heavy = [w for w in want if len(w) > 2]
     if len(heavy) < 2:
         return None
-    near = lambda other: bool(other) and difflib.SequenceMatcher(None, " ".join(want), " ".join(other)).ratio() >= 0.9
+    near = lambda other: bool(other) and sequence_ratio(" ".join(want), " ".join(other)) >= 0.9
     if sum(w in set(have) for w in heavy) < 0.85 * len(heavy) and not near(have) and not near(_book_words((cand or "").split(":")[0])):
         return None
     return "short" if len(heavy) <= 2 or 2 * len(heavy) < sum(len(w) > 2 for w in have) else "whole"
