@@ -23,24 +23,24 @@ def _key(name: str) -> Column:
     return F.when(filled(F.trim(name)), F.lower(F.trim(name)))
 
 
-def identifier_pairs(refs: DataFrame, identifier: str) -> DataFrame:
-    return survivors(refs, [_key(identifier)], quality_score())
+def identifier_pairs(refs: DataFrame, identifier: str, sides=()) -> DataFrame:
+    return survivors(refs, [_key(identifier)], quality_score(), sides=sides)
 
 
-def url_title_year_pairs(refs: DataFrame) -> DataFrame:
+def url_title_year_pairs(refs: DataFrame, sides=()) -> DataFrame:
     """Same address, title and year, placeholders left out."""
     title = F.lower(F.trim("title"))
     usable = refs.filter(~title.isin(*PLACEHOLDER_TITLES) & ~F.col("title").ilike("%just a moment%") & ~F.col("title").ilike("%download limit exceeded%"))
-    return survivors(usable, [_key("url"), F.when(title != "", title), F.col("year")], quality_score())
+    return survivors(usable, [_key("url"), F.when(title != "", title), F.col("year")], quality_score(), sides=sides)
 
 
-def url_pairs(refs: DataFrame) -> DataFrame:
+def url_pairs(refs: DataFrame, sides=()) -> DataFrame:
     """Same address of 16 characters and more."""
-    return survivors(refs.filter((F.length(F.trim("url")) >= 16) & ~F.col("url").rlike(r"^https?://[^/]+/?$")), [_key("url")], quality_score())
+    return survivors(refs.filter((F.length(F.trim("url")) >= 16) & ~F.col("url").rlike(r"^https?://[^/]+/?$")), [_key("url")], quality_score(), sides=sides)
 
 
-def title_year_author_pairs(refs: DataFrame) -> DataFrame:
-    return survivors(refs, [_key("title"), F.col("year"), F.lower(F.try_element_at("authors", F.lit(1))["family"])], quality_score())
+def title_year_author_pairs(refs: DataFrame, sides=()) -> DataFrame:
+    return survivors(refs, [_key("title"), F.col("year"), F.lower(F.try_element_at("authors", F.lit(1))["family"])], quality_score(), sides=sides)
 
 
 def type_family(c: Column) -> Column:
@@ -48,20 +48,22 @@ def type_family(c: Column) -> Column:
 
 
 def both_sides(pairs: DataFrame, refs: DataFrame, *columns: str) -> DataFrame:
-    k = refs.select(F.col("id").alias("keep_id"), *[F.col(c).alias(f"k_{c}") for c in columns])
-    d = refs.select(F.col("id").alias("drop_id"), *[F.col(c).alias(f"d_{c}") for c in columns])
-    return pairs.join(k, "keep_id").join(d, "drop_id")
+    """pairs with columns of both records, as k_ and d_; those that the pairs bring along are not looked up again."""
+    for side, key in (("k", "keep_id"), ("d", "drop_id")):
+        lacking = [c for c in columns if f"{side}_{c}" not in pairs.columns]
+        if lacking:
+            pairs = pairs.join(refs.select(F.col("id").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in lacking]).hint("merge"), key)
+    return pairs
 
 
 def veto_titles(pairs: DataFrame, refs: DataFrame, strict: bool) -> DataFrame:
     """Pairs whose titles agree. Strict: near-identical and of one kind of item; else shared words must dominate."""
-    norm = T.udf_ascii_title()
-    x = both_sides(pairs, refs, "title", "ref_type").withColumns({"a": norm("k_title"), "b": norm("d_title")})
+    x = both_sides(pairs, refs, "title", "ref_type")
     if strict:
-        ok = (F.col("a") != "") & (F.col("b") != "") & (T.udf_token_sort()("a", "b") >= 92) & (type_family(F.col("k_ref_type")) == type_family(F.col("d_ref_type")))
+        ok = T.udf_titles_same()("k_title", "d_title") & (type_family(F.col("k_ref_type")) == type_family(F.col("d_ref_type")))
     else:
-        ok = (F.col("a") == "") | (F.col("b") == "") | ((T.udf_token_set()("a", "b") >= 60) & (T.udf_token_sort()("a", "b") >= 45))
-    return x.filter(ok).select("keep_id", "drop_id")
+        ok = T.udf_titles_compatible()("k_title", "d_title")
+    return x.filter(ok).select(pairs.columns)
 
 
 STRONG = ("doi", "pmid", "pmcid", "arxiv_id", "isbn")
@@ -69,12 +71,12 @@ STRONG = ("doi", "pmid", "pmcid", "arxiv_id", "isbn")
 
 def veto_conflicts(pairs: DataFrame, refs: DataFrame, besides: str | None = None) -> DataFrame:
     """Pairs without two different values of a strong identifier."""
-    x = both_sides(pairs, refs, *STRONG)
+    strong = [c for c in STRONG if c != besides]
+    x = both_sides(pairs, refs, *strong)
     bad = F.lit(False)
-    for c in STRONG:
-        if c != besides:
-            bad = bad | F.coalesce(filled(f"k_{c}") & filled(f"d_{c}") & (F.lower(f"k_{c}") != F.lower(f"d_{c}")), F.lit(False))
-    return x.filter(~bad).select("keep_id", "drop_id")
+    for c in strong:
+        bad = bad | F.coalesce(filled(f"k_{c}") & filled(f"d_{c}") & (F.lower(f"k_{c}") != F.lower(f"d_{c}")), F.lit(False))
+    return x.filter(~bad).select(pairs.columns)
 
 
 def collision_merges(collisions: DataFrame, refs: DataFrame) -> DataFrame:
@@ -87,51 +89,59 @@ def collision_merges(collisions: DataFrame, refs: DataFrame) -> DataFrame:
     return once.join(once.select(F.col("drop_id").alias("keep_id")), "keep_id", "left_anti")
 
 
+def _donors(pairs: DataFrame, refs: DataFrame) -> DataFrame:
+    """The merged-away rows with their keep_id and _ord, their order by quality, then id."""
+    return pairs.join(refs.withColumn("_ord", F.struct(-quality_score(), F.col("id"))).withColumnRenamed("id", "drop_id").hint("merge"), "drop_id")
+
+
+def _best_filled(column: str) -> Column:
+    return F.min_by(column, F.when(filled(F.col(column).cast("string")), F.col("_ord")))
+
+
 def fill_plan(pairs: DataFrame, refs: DataFrame, columns) -> DataFrame:
     """keep_id and, for each column, the value of the best merged-away row that has one (best quality, then id)."""
-    order = F.struct(-quality_score(), F.col("id"))
-    donors = pairs.join(refs.withColumn("_ord", order).withColumnRenamed("id", "drop_id"), "drop_id")
-    picked = [F.min_by(c, F.when(filled(F.col(c).cast("string")), F.col("_ord"))).alias(c) for c in columns]
-    return donors.groupBy("keep_id").agg(*picked)
+    return _donors(pairs, refs).groupBy("keep_id").agg(*[_best_filled(c).alias(c) for c in columns])
 
 
 def apply_pairs(refs: DataFrame, pairs: DataFrame, fill, bridges: dict[str, tuple[DataFrame, str]] | None = None, rule: str = "duplicate"):
     """(live, archived, bridges): keepers filled from their twins and rolled up, twins archived, bridges re-pointed.
 
     Scalars are filled only where empty; citation counts and completeness take the maximum, open access any, created_at
-    the earliest. Everything is keyed by keep_id: as many shuffles as tables, none by content.
+    the earliest. Everything is keyed by keep_id: as many shuffles as tables, none by content. Pairs are two identifiers a
+    row, so a task keeps its share of them and records pass by unsorted; no table goes whole to every task.
     """
-    plan = fill_plan(pairs, refs, fill).select("keep_id", *[F.col(c).alias(f"_f_{c}") for c in fill])
-    rolled = pairs.join(refs.select(F.col("id").alias("drop_id"), "citation_count", "completeness", "open_access", "created_at"), "drop_id")
-    rolled = rolled.groupBy("keep_id").agg(F.max("citation_count").alias("_cc"), F.max("completeness").alias("_co"), F.bool_or("open_access").alias("_oa"), F.min("created_at").alias("_cr"))
-    live = refs.join(pairs.select(F.col("drop_id").alias("id")), "id", "left_anti").join(plan.withColumnRenamed("keep_id", "id"), "id", "left").join(rolled.withColumnRenamed("keep_id", "id"), "id", "left")
+    rolled = [F.max("citation_count").alias("_cc"), F.max("completeness").alias("_co"), F.bool_or("open_access").alias("_oa"), F.min("created_at").alias("_cr")]
+    plan = _donors(pairs, refs).groupBy(F.col("keep_id").alias("id")).agg(*[_best_filled(c).alias(f"_f_{c}") for c in fill], *rolled)
+    live = refs.join(pairs.select(F.col("drop_id").alias("id")).hint("shuffle_hash"), "id", "left_anti").join(plan.hint("merge"), "id", "left")
     for c in fill:
         live = live.withColumn(c, F.when(filled(F.col(c).cast("string")), F.col(c)).otherwise(F.col(f"_f_{c}")))
     live = live.withColumns({
         "citation_count": F.greatest("citation_count", "_cc"), "completeness": F.greatest("completeness", "_co"),
         "open_access": F.when(F.coalesce("open_access", F.lit(False)) | F.coalesce("_oa", F.lit(False)), True).otherwise(F.coalesce("open_access", "_oa")), "created_at": F.least("created_at", "_cr"),
     }).select(refs.columns)
-    archived = refs.join(pairs.select(F.col("drop_id").alias("id"), F.col("keep_id").alias("merged_into")), "id").withColumn("archive_rule", F.lit(rule))
+    archived = refs.join(pairs.select(F.col("drop_id").alias("id"), F.col("keep_id").alias("merged_into")).hint("shuffle_hash"), "id").withColumn("archive_rule", F.lit(rule))
     moved = {}
     for name, (bridge, key) in (bridges or {}).items():
         to = pairs.select(F.col("drop_id").alias(key), F.col("keep_id").alias("_to"))
-        moved[name] = bridge.join(to, key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to").dropDuplicates()
+        moved[name] = bridge.join(to.hint("shuffle_hash"), key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to").dropDuplicates()
     return live, archived, moved
 
 
 def dedup_all(refs: DataFrame, fill, everything: bool = False):
     """All rules one after the other, each on what the one before left: (live, archived).
 
-    Pairs and each rule's result are checkpointed, so the plan stays short; a rule without pairs rewrites nothing.
+    Pairs and each rule's result are checkpointed, so the plan stays short; a rule without pairs rewrites nothing. What
+    the vetoes look at comes along with the pairs.
     """
     archived = None
-    rules = [(i, lambda r, i=i: veto_conflicts(veto_titles(identifier_pairs(r, i), r, strict=i == "isbn"), r, i)) for i in STRONG]
-    rules.append(("url_title_year", lambda r: veto_conflicts(url_title_year_pairs(r), r)))
+    looked = lambda i=None: ("title", "ref_type", *[c for c in STRONG if c != i])
+    rules = [(i, lambda r, i=i: veto_conflicts(veto_titles(identifier_pairs(r, i, looked(i)), r, strict=i == "isbn"), r, i)) for i in STRONG]
+    rules.append(("url_title_year", lambda r: veto_conflicts(url_title_year_pairs(r, STRONG), r)))
     if everything:
-        rules.append(("url", lambda r: veto_conflicts(veto_titles(url_pairs(r), r, strict=True), r)))
-        rules.append(("title_year_author", lambda r: veto_conflicts(title_year_author_pairs(r), r)))
+        rules.append(("url", lambda r: veto_conflicts(veto_titles(url_pairs(r, looked()), r, strict=True), r)))
+        rules.append(("title_year_author", lambda r: veto_conflicts(title_year_author_pairs(r, STRONG), r)))
     for name, rule in rules:
-        pairs = settled(rule(refs))
+        pairs = settled(rule(refs).select("keep_id", "drop_id"))
         if pairs.isEmpty():
             continue
         live, gone, _ = apply_pairs(refs, pairs, fill, rule=f"same_{name}")

@@ -8,18 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def survivors(df: DataFrame, keys: Sequence[Column | str], quality: Column, created: str = "created_at", id_col: str = "id") -> DataFrame:
+def survivors(df: DataFrame, keys: Sequence[Column | str], quality: Column, created: str = "created_at", id_col: str = "id", sides: Sequence[str] = ()) -> DataFrame:
     """(keep_id, drop_id) pairs: in each key group the row of best quality stays, ties to the oldest, then smallest id.
 
-    The best row comes from a combined aggregate and is joined back, so a hot key never sorts in one task.
+    `sides` are columns to have of both rows besides, as k_ and d_. The best row comes from a combined aggregate and is
+    joined back, so a hot key never sorts in one task: a task holds its share of the best rows. The join says its kind, for
+    by the size of a file, which says little of the rows computed from it, the planner sends whole tables to every task.
     """
     named = [k if isinstance(k, Column) else F.col(k) for k in keys]
-    work = df.select(F.col(id_col).alias("id"), F.col(created).alias("created"), quality.alias("quality"), *[k.alias(f"k{i}") for i, k in enumerate(named)])
+    held = [f"d_{c}" for c in sides]
+    work = df.select(F.col(id_col).alias("id"), F.col(created).alias("created"), quality.alias("quality"), *[k.alias(f"k{i}") for i, k in enumerate(named)], *[F.col(c).alias(h) for c, h in zip(sides, held)])
     names = [f"k{i}" for i in range(len(named))]
     for n in names:
         work = work.filter(F.col(n).isNotNull())
-    best = work.groupBy(*names).agg(F.min_by("id", F.struct(-F.col("quality"), F.col("created"), F.col("id"))).alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return work.join(best, names).filter("id <> keep_id").select("keep_id", F.col("id").alias("drop_id"))
+    best = work.groupBy(*names).agg(F.min_by(F.struct("id", *held), F.struct(-F.col("quality"), F.col("created"), F.col("id"))).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    best = best.select(*names, F.col("best.id").alias("keep_id"), *[F.col(f"best.d_{c}").alias(f"k_{c}") for c in sides])
+    return work.join(best.hint("shuffle_hash"), names).filter("id <> keep_id").select("keep_id", F.col("id").alias("drop_id"), *[f"k_{c}" for c in sides], *held)
 
 
 def rank_fusion(rankings: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:

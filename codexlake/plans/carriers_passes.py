@@ -324,7 +324,7 @@ def dedup_driver(spark, sf_dir):
     """Parts as records, those of one name, brand and size under one ISBN; every group ends in its smallest id."""
     from codexlake.operators.dedup import dedup_all
 
-    p = table(spark, sf_dir, "part")
+    p = tables.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
     title = F.concat("p_name", F.lit(" of the "), "p_brand", F.lit(" kind"))
     refs = as_refs(p.select(F.format_string("%09d", "p_partkey").alias("id"), title.alias("title"), F.concat(F.lit("10.1/"), F.sha1(F.concat_ws("|", title, F.col("p_size").cast("string")))).alias("doi"), F.lit("book").alias("ref_type"), F.lit(0.5).alias("completeness"), F.lit("2020-01-01").cast("timestamp").alias("created_at")))
     live, gone = dedup_all(refs, ["abstract"])

@@ -108,3 +108,39 @@ def test_bm25_once_deals_words_once_and_counts_every_text(spark):
     import math
 
     assert twice.matched == 1 and abs(twice.score - math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) < 1e-9
+
+
+def test_records_of_a_small_file_go_whole_to_no_task(spark, sf):
+    """Duplicates are found and merged by shuffles, however small the file is; what the vetoes look at is not looked up again."""
+    from codexlake.functions.model import as_refs
+    from codexlake.operators import dedup
+
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    title = F.when(F.col("p_partkey") % 5 != 0, F.concat("p_name", F.lit(" "), "p_brand"))
+    refs = as_refs(p.select(F.format_string("%09d", "p_partkey").alias("id"), title.alias("title"), F.md5("p_name").alias("doi"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).alias("pmid"), F.lit(0.5).alias("completeness")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plain = dedup.veto_conflicts(dedup.veto_titles(dedup.identifier_pairs(refs, "doi"), refs, strict=False), refs, "doi")
+    live, gone, moved = dedup.apply_pairs(refs, plain, ["abstract"], {"tags": (refs.select(F.col("id").alias("ref_id")), "ref_id")})
+    assert not any("Broadcast" in plan(df) for df in (plain, live, gone, moved["tags"]))
+    held = dedup.identifier_pairs(refs, "doi", ("title", "ref_type", "pmid", "pmcid", "arxiv_id", "isbn"))
+    held = dedup.veto_conflicts(dedup.veto_titles(held, refs, strict=False), refs, "doi")
+    assert plan(held).count("Join") == 1
+    rows = lambda df: sorted(tuple(r) for r in df.select("keep_id", "drop_id").collect())
+    assert rows(held) == rows(plain) and 0 < len(rows(held)) < dedup.identifier_pairs(refs, "doi").count()
+
+
+def test_titles_of_a_pair_are_judged_as_by_their_ratios():
+    import random
+
+    from codexlake.functions import text as T
+
+    r = random.Random(5)
+    titles = [None, "", "?!", *[" ".join(r.choice(["The", "tide", "Tidés", "moon", "reef", "kelp", "2"]) for _ in range(r.randrange(1, 7))) for _ in range(60)]]
+    found = set()
+    for a in titles:
+        for b in titles:
+            x, y = T.ascii_title(a), T.ascii_title(b)
+            same, fits = x != "" and y != "" and T.token_sort_ratio(x, y) >= 92, x == "" or y == "" or (T.token_set_ratio(x, y) >= 60 and T.token_sort_ratio(x, y) >= 45)
+            assert T.titles_same(a, b) is same and T.titles_compatible(a, b) is fits
+            found.add((same, fits))
+    assert found == {(True, True), (False, True), (False, False)}
