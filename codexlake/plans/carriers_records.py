@@ -164,7 +164,7 @@ WHERE k <> p.p_partkey AND p.p_name = h.p_name AND abs(p.p_size - h.p_size) <= 3
 def guarded_collisions(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey")
     first = p.groupBy("p_brand").agg(F.min("p_partkey").cast("string").alias("other"))
-    merges = dedup.collision_merges(p.join(first, "p_brand").select(F.col("p_partkey").cast("string").alias("id"), "other"), _kinds(spark, sf_dir))
+    merges = dedup.collision_merges(p.join(first.hint("shuffle_hash"), "p_brand").select(F.col("p_partkey").cast("string").alias("id"), "other"), _kinds(spark, sf_dir))
     return merges.select(F.col("keep_id").cast("long"), F.col("drop_id").cast("long"))
 
 
